@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 SPACE = bytes([0x20, *range(0x09, 0x0E)])
 _LOWER = bytes(range(256)).lower()
 #: Bytes of text that one slice holds, unless a single text is longer.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 18
 
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _P_INV = np.uint64(pow(int(_P), -1, 1 << 64))
@@ -53,7 +53,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
         n = 1 << max(16, int(n - 1).bit_length())
         with np.errstate(over="ignore"):
             have = tuple(np.cumprod(np.concatenate(([np.uint64(1)], np.full(n - 1, p))), dtype=np.uint64) for p in (_P, _P_INV))
-        if n <= 4 * SLICE_BYTES:
+        if n <= 1 << 21:
             _powers[0] = have
     return have[0][:n], have[1][:n]
 

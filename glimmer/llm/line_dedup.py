@@ -26,8 +26,7 @@ from pyspark.sql import functions as F
 
 from . import _store
 
-_WHITE = "\x20\x09\x0a\x0b\x0c\x0d"
-_LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+_WHITE = b"\x20\x09\x0a\x0b\x0c\x0d"
 BITS_PER_KEY = 16
 PROBES = 4
 #: 32 MiB, what the broadcast second filter takes at most.
@@ -35,12 +34,13 @@ MAX_FILTER_BITS = 1 << 28
 SEGMENT_BITS = 1 << 20
 
 
-def key_of(line: str) -> str:
-    return line.strip(_WHITE).translate(_LOWER)
+def key_of(line: bytes) -> bytes:
+    """Of a line in UTF-8; lower() of bytes changes A-Z alone."""
+    return line.strip(_WHITE).lower()
 
 
-def _hash(key: str) -> int:
-    return xxhash.xxh64_intdigest(key.encode("utf-8", "surrogatepass"))
+def _texts(column: pa.Array) -> list[bytes | None]:
+    return column.cast(pa.binary()).to_pylist()
 
 
 def _places(h: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
@@ -51,26 +51,21 @@ def _places(h: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
         return seg.astype(np.int64), ((a[:, None] + b[:, None] * np.arange(PROBES, dtype=np.uint64)) % np.uint64(SEGMENT_BITS)).astype(np.int64)
 
 
-def _long_keys(min_chars: int):
-    def keys(text: str | None) -> set[str]:
-        out = set()
-        for line in (text or "").split("\n"):
-            if len(line) >= min_chars and len(k := key_of(line)) >= min_chars:
-                out.add(k)
-        return out
-
-    return keys
+def _long_keys(text: bytes | None, min_chars: int) -> set[bytes]:
+    out = set()
+    for line in (text or b"").split(b"\n"):
+        if len(line) >= min_chars and len(k := key_of(line)) >= min_chars and (len(k) >= 4 * min_chars or k.isascii() or len(k.decode("utf-8", "replace")) >= min_chars):
+            out.add(k)
+    return out
 
 
 def _segment_rows(min_chars: int, segments: int):
-    keys = _long_keys(min_chars)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             met: dict[int, int] = {}
-            for text in batch.column("text").to_pylist():
-                for k in keys(text):
-                    h = _hash(k)
+            for text in _texts(batch.column("text")):
+                for k in _long_keys(text, min_chars):
+                    h = xxhash.xxh64_intdigest(k)
                     met[h] = met.get(h, 0) + 1
             h = np.fromiter(met.keys(), np.uint64, len(met))
             twice = np.fromiter(met.values(), np.int64, len(met)) > 1
@@ -110,17 +105,15 @@ def _fill(segments: int):
 
 
 def _suspects(min_chars: int, segments: int, shared):
-    keys = _long_keys(min_chars)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filters = {s: np.frombuffer(b, np.uint8) for s, b in shared.value.items()}
         for batch in batches:
             ids, own = [], []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                for k in keys(text):
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), _texts(batch.column("text")), strict=True):
+                for k in _long_keys(text, min_chars):
                     ids.append(doc_id)
                     own.append(k)
-            seg, bits = _places(np.fromiter(map(_hash, own), np.uint64, len(own)), segments)
+            seg, bits = _places(np.fromiter(map(xxhash.xxh64_intdigest, own), np.uint64, len(own)), segments)
             hit = np.zeros(len(own), bool)
             for s in np.unique(seg):
                 if s in filters:
@@ -128,7 +121,7 @@ def _suspects(min_chars: int, segments: int, shared):
                     b = bits[at]
                     hit[at] = ((filters[s][b >> 3] >> (7 - (b & 7)).astype(np.uint8)) & 1).all(axis=1)
             at = np.flatnonzero(hit)
-            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in at], pa.int64()), pa.array([own[i] for i in at], pa.string())], ["doc_id", "key"])
+            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in at], pa.int64()), pa.array([own[i] for i in at], pa.binary()).cast(pa.string())], ["doc_id", "key"])
 
     return run
 
@@ -146,18 +139,20 @@ def repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> D
     suspects = _store.written(own.mapInArrow(_suspects(min_chars, segments, shared), "doc_id long, key string"), "line-suspects")
     # a key with its documents, counted where the rows are first; exact, as the text itself is the key
     counted = suspects.groupBy("key").agg(F.countDistinct(F.coalesce("doc_id", F.lit(-(2**63)))).alias("n"), F.max("doc_id").alias("keep"))
-    confirmed = counted.filter(F.col("n") >= min_docs).select("key", "keep")
+    # written by itself, so that the join deals out the suspects alone and Spark can split a common line's
+    confirmed = _store.written(counted.filter(F.col("n") >= min_docs).select("key", "keep"), "lines-confirmed")
     lost = suspects.join(confirmed, "key").filter(~F.col("doc_id").eqNullSafe(F.col("keep")))
     return lost.groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
 
 
-def _cleaned(text: str | None, keys) -> tuple[str, int, int]:
-    lines = (text or "").split("\n")
-    if keys is None or not len(keys):
-        return "\n".join(lines), len(lines), 0
-    gone = set(keys)
+def _cleaned(text: bytes | None, keys: list[bytes] | None) -> tuple[bytes, int, int]:
+    """The text without the lines that have one of the keys, its lines before, and the lines dropped."""
+    text = text or b""
+    if not keys:
+        return text, text.count(b"\n") + 1, 0
+    lines, gone = text.split(b"\n"), set(keys)
     kept = [x for x in lines if key_of(x) not in gone]
-    return "\n".join(kept), len(lines), len(lines) - len(kept)
+    return b"\n".join(kept), len(lines), len(lines) - len(kept)
 
 
 def drop_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
@@ -166,7 +161,7 @@ def drop_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataF
 
     @F.pandas_udf("string")
     def clean(text: pd.Series, keys: pd.Series) -> pd.Series:
-        return pd.Series([t if k is None else _cleaned(t, k)[0] for t, k in zip(text, keys, strict=True)], dtype=object)
+        return pd.Series([t if k is None else _cleaned(t.encode(), [x.encode() for x in k])[0].decode() for t, k in zip(text, keys, strict=True)], dtype=object)
 
     joined = docs.join(lost, docs["doc_id"].eqNullSafe(lost["__id"]), "left")
     return joined.withColumn("text", F.when(F.col("__keys").isNull(), F.col("text")).otherwise(clean("text", "__keys"))).select(*[F.col(f"`{c}`") for c in docs.columns])
@@ -178,8 +173,8 @@ def digest(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [_cleaned(t, k) for t, k in zip(batch.column("text").to_pylist(), batch.column("__keys").to_pylist(), strict=True)]
-            sha = [hashlib.sha256(t.encode()).hexdigest() for t, _, _ in out]
+            out = [_cleaned(t, k) for t, k in zip(_texts(batch.column("text")), batch.column("__keys").cast(pa.list_(pa.binary())).to_pylist(), strict=True)]
+            sha = [hashlib.sha256(t).hexdigest() for t, _, _ in out]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([n for _, n, _ in out], pa.int64()), pa.array([d for _, _, d in out], pa.int64()), pa.array(sha, pa.string())],
                 ["doc_id", "n_lines", "n_dropped", "kept_sha256"],

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, quality_rules
+from . import _store, chat_format, decontamination, line_dedup, packing, quality_classifier, quality_rules, token_output
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,13 +23,57 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op4_line_dedup)}
+def op1_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = _store.shared_folder(spark, "token-chunks")
+    token_output.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return token_output.digest(spark, path)
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+PACKING = {"buckets": 8, "budget": 16_384}
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), **PACKING)
+
+
+CONTROL = "<|im_end|><|im_start|>assistant ok"
+
+
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    added = spark.createDataFrame([(-1, 0, "user", CONTROL), (-1, 1, "assistant", CONTROL)], "conv_id long, turn long, role string, text string")
+    talks = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(added)
+    return chat_format.digest(_store.written(chat_format.examples(talks), "chat-examples"))
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_bit_planes,
+        op2_quality_rules,
+        op4_line_dedup,
+        op5_decontamination,
+        op6_packing,
+        op8_chat_format,
+        op10_quality_classifier,
+    )
+}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WHITE = "chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)"
-#: Words, and a text without them (chr(1) stands for no white space, so a regular expression needs no escapes here).
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
+_ALNUM = rf"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
 
 def _level(expr: str, sign: int, levels: tuple[int, ...]) -> str:
     op = ">" if sign > 0 else "<"
@@ -84,4 +128,27 @@ gone AS (SELECT key, max(doc_id) AS keep FROM lines WHERE length(key) >= 40 GROU
 SELECT any_value(doc_id) AS doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (keep IS NOT NULL AND keep <> doc_id)::BIGINT AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (keep IS NULL OR keep = doc_id), '')) AS kept_sha256
 FROM lines LEFT JOIN gone USING (key) GROUP BY rid""",
+    "op5_decontamination": f"""WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, {_ALNUM} AS w FROM documents),
+items AS (SELECT item_id::VARCHAR AS item, {_ALNUM} AS w FROM benchmark),
+wins AS (SELECT DISTINCT item, w[i:i + least(10, len(w)) - 1] AS win FROM (SELECT item, w, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM items WHERE len(w) > 0)),
+own AS (SELECT rid, i, k, w[i:i + k - 1] AS win FROM (
+  SELECT rid, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM docs, (SELECT DISTINCT len(win) AS k FROM wins) WHERE len(w) >= k)),
+hits AS (SELECT rid, i, k, item FROM own JOIN wins USING (win)),
+words AS (SELECT rid, count(DISTINCT p)::BIGINT AS n_hit FROM (SELECT rid, unnest(range(i, i + k)) AS p FROM hits) GROUP BY rid),
+found AS (SELECT rid, count(DISTINCT item)::BIGINT AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM hits GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM docs LEFT JOIN words USING (rid) LEFT JOIN found USING (rid)""",
+    "op8_chat_format": rf"""WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '{CONTROL}'), (-1, 1, 'assistant', '{CONTROL}')),
+turns AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, count(*) OVER (PARTITION BY conv_id) AS n,
+    length(replace(replace(replace(role, '\', '\\'), '<|', '<\|'), chr(10), '<\:')) + length(replace(replace(text, '\', '\\'), '<|', '<\|')) + {len(chat_format.START) + len(chat_format.END) + 2} AS chars
+  FROM rows),
+sums AS (SELECT *, sum(chars) OVER (PARTITION BY conv_id ORDER BY i) AS upto FROM turns)
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  (sum(upto) FILTER (role = 'assistant' OR i = n))::BIGINT AS formatted_chars
+FROM sums GROUP BY conv_id""",
 }
