@@ -23,11 +23,11 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 #: Fixed levels of each measure, strictest first; the sign tells which side is bad.
 LEVELS = {
-    "symbols_pm": (1, (5, 20, 50, 100, 200, 400, 800, 1600)),
-    "word_len_high": (1, (600, 625, 650, 675, 700, 750, 800, 1000)),
-    "word_len_low": (-1, (440, 420, 400, 380, 360, 340, 320, 300)),
-    "dup_lines_pm": (1, (5, 8, 12, 16, 24, 32, 48, 64)),
-    "repeat_pm": (1, (20, 40, 60, 80, 100, 130, 160, 190)),
+    "symbols_pm": (1, (5, 10, 20, 50, 100, 150, 200, 300)),
+    "word_len_high": (1, (580, 600, 620, 640, 655, 670, 685, 700)),
+    "word_len_low": (-1, (445, 440, 435, 430, 425, 420, 415, 410)),
+    "dup_lines_pm": (1, (10, 15, 20, 25, 30, 40, 50, 60)),
+    "repeat_pm": (1, (120, 130, 140, 150, 160, 170, 180, 190)),
 }
 N_LEVELS = 8
 #: Strata up to which their thresholds are broadcast (some 40 bytes each); beyond, they are joined by shuffle.
@@ -110,12 +110,11 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float
 
 
 def apply_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = 0.01, error: float = 0.05) -> DataFrame:
-    """The rows of docs that are kept, with their own columns. Measures again instead of shuffling the texts."""
-    measured = with_counts(docs.select("doc_id", "text", F.col(stratum).alias("__stratum"))).withColumn("severity", severity()).drop("text")
-    cut = _cutoffs(_store.written(measured.select("doc_id", "__stratum", "severity", "base_failed"), "quality-counts"), labels, risk, error)
+    """The rows of docs that are kept, with their own columns. The texts are measured once and written, not shuffled."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
-    again = with_counts(docs.select(row, F.col("text").alias("text"), F.col(stratum).alias("__stratum"))).withColumn("severity", severity())
-    return _verdict(again, cut, "__stratum").filter("kept").select("__row.*")
+    measured = with_counts(docs.select("doc_id", "text", F.col(stratum).alias("__stratum"), row)).withColumn("severity", severity())
+    judged = _store.written(measured.select("doc_id", "__stratum", "severity", "base_failed", "__row"), "quality-counts")
+    return _verdict(judged, _cutoffs(judged.drop("__row"), labels, risk, error), "__stratum").filter("kept").select("__row.*")
 
 
 def _cutoffs(judged: DataFrame, labels: DataFrame, risk: float, error: float) -> DataFrame:
