@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import _store, chat_format, decontamination, line_dedup, packing, quality_classifier, quality_rules, substring_dedup, token_output
+from . import _store, chat_format, decontamination, line_dedup, lm_scoring, packing, quality_classifier, quality_rules, substring_dedup, token_output
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), **QUALITY)
 
 
+def op3_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(table(spark, sf_dir, "documents"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(table(spark, sf_dir, "documents"))
 
@@ -64,6 +68,7 @@ QUERIES = {
     for f in (
         op1_bit_planes,
         op2_quality_rules,
+        op3_backoff_automaton,
         op4_line_dedup,
         op5_decontamination,
         op6_packing,
