@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import _store, chat_format, decontamination, line_dedup, lm_scoring, packing, quality_classifier, quality_rules, substring_dedup, token_output
+from . import _store, chat_format, decontamination, jaccard_join, line_dedup, lm_scoring, packing, quality_classifier, quality_rules, substring_dedup, token_output
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +49,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 CONTROL = "<|im_end|><|im_start|>assistant ok"
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.classes(table(spark, sf_dir, "documents"))
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     added = spark.createDataFrame([(-1, 0, "user", CONTROL), (-1, 1, "assistant", CONTROL)], "conv_id long, turn long, role string, text string")
     talks = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(added)
@@ -72,6 +76,7 @@ QUERIES = {
         op4_line_dedup,
         op5_decontamination,
         op6_packing,
+        op7_jaccard_join,
         op8_chat_format,
         op9_substring_dedup,
         op10_quality_classifier,
@@ -82,6 +87,7 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WHITE = "chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)"
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
+_LOWER_WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+')"
 _ALNUM = rf"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 
@@ -169,4 +175,12 @@ words AS (SELECT rid, w[p] AS word, p FROM (SELECT rid, w, unnest(range(1, len(w
 kept AS (SELECT rid, string_agg(word, ' ' ORDER BY p) AS text, count(*) AS n FROM words ANTI JOIN gone USING (rid, p) GROUP BY rid)
 SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
 FROM docs LEFT JOIN kept USING (rid)""",
+    "op7_jaccard_join": rf"""WITH RECURSIVE docs AS (SELECT row_number() OVER () AS rid, doc_id, {_LOWER_WORDS} AS w FROM documents),
+sets AS (SELECT DISTINCT rid, CASE WHEN len(w) < 5 THEN w ELSE w[i:i + 4] END AS s FROM (SELECT rid, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM docs WHERE len(w) > 0)),
+sizes AS (SELECT rid, count(*)::BIGINT AS n FROM sets GROUP BY rid),
+pairs AS (SELECT a.rid AS a, b.rid AS b, count(*) AS c FROM sets a JOIN sets b USING (s) WHERE a.rid <> b.rid GROUP BY 1, 2),
+links AS (SELECT a, b FROM pairs JOIN sizes x ON x.rid = a JOIN sizes y ON y.rid = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+reach AS (SELECT rid, rid AS r FROM docs UNION SELECT reach.rid, b FROM reach JOIN links ON r = a)
+SELECT any_value(d.doc_id) AS doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(e.doc_id) AS component_id
+FROM docs d JOIN reach USING (rid) JOIN docs e ON e.rid = r LEFT JOIN sizes ON sizes.rid = d.rid GROUP BY d.rid""",
 }
