@@ -1 +1,6 @@
+"""Queries over a library, by theme; importing this package registers all of them."""
 
+from glimmer.plans import library, similarity
+from glimmer.plans.registry import QUERIES as ALL
+
+__all__ = ["ALL", "library", "similarity"]
