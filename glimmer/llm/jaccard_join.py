@@ -7,16 +7,17 @@ hashes, sets are told apart by a 64-bit hash of their shingles and their size; d
 1. A filter without false negatives finds nodes that can have a link: of each set's smallest hashes, so many are looked
    up that two linked documents share at least a fixed number of them. Blocks of documents send each hash once to its bucket,
    packed, and learn which ones another document has too. Most documents end here; their texts never shuffle.
-2. The sets of the others are ordered globally, common shingles last, so that a linked pair shares one of the first
-   `n - ceil(0.8 n) + 1` shingles of both. Groups of a shingle's sets go into a prefix tree: sets with the same beginning
-   share their overlaps with a probe, and subtrees are left where the remaining lengths can't reach the similarity.
-   A first round takes each set's first two shared shingles; components of its links then settle nearly all
-   groups of other shingles, as nothing new can be found in a group that lies in one component. A second round takes all groups
-   that are left, those with the same members once.
+2. How many of these sets have each shingle is counted in the same packed way. The global order is rare shingles first:
+   a linked pair shares one of the first `n - ceil(0.8 n) + 1` shingles of both, and a set with that many shingles of
+   its own ends here. Groups of a shingle's sets go into a prefix tree: sets with the same beginning share their overlaps
+   with a probe, and subtrees are left where the remaining lengths can't reach the similarity. A first round takes
+   each set's first two shared shingles; components of its links then settle nearly all groups of other shingles, as
+   nothing new can be found in a group that lies in one component. A second round takes all groups that are left, those with the
+   same members once.
 3. Groups larger than `LIMIT` sets are split into parts at random in the first round; in the second one every set outside the
    group's largest component meets every part. So no task holds a group, no pair is lost, and copies are never paired.
 
-Which shingles count as common is estimated on a bounded sample of sets; it changes the work, never the links. Repeated
+Repeated
 rows are documents of their own with equal sets. Null doc_ids take part, but name no component unless alone in it. Other
 columns are carried on by `keep_one`. Empty tables give no rows.
 """
@@ -32,18 +33,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _store, _text
-from .lm_scoring import unzipped, unzipped_sorted, zipped, zipped_sorted
+from .lm_scoring import _ASK as _COUNT
+from .lm_scoring import _sums, unzipped, unzipped_sorted, zipped, zipped_sorted
 
 SHINGLE = 5
 BLOCK_TOKENS = 1 << 20
 BUCKET_CHARS = 4 << 20
+BUCKET_SHINGLES = 1 << 19
 #: Sets and shingles that one prefix tree holds at most, about.
 LIMIT, LIMIT_SHINGLES = 2000, 1_000_000
-#: Sets that are looked at for common shingles, and occurrences there that make a shingle common; shingles at most.
-SAMPLE, COMMON, COMMON_MOST = 2000, 4, 200_000
-_TOP = np.uint64(1 << 63)
-
-
 def least_overlap(n):
     """ceil(0.8 n): what a set of n shares at least with each linked one."""
     return -(-4 * n // 5)
@@ -159,46 +157,98 @@ def _candidates(docs: DataFrame) -> DataFrame:
 
 
 def _packed_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    partition, seq, held = TaskContext.get().partitionId(), 0, 0
     for batch in batches:
         for part in _text.slices(batch, "text"):
             values, sizes = sets_of(part.column("text"))
             ends = np.cumsum(sizes)
             packed = [zipped_sorted(values[e - n : e]) for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(_nodes(values, sizes)), pa.array(sizes, pa.int64()), pa.array(packed, pa.binary())], ["node", "n", "shingles"])
+            block = np.full(len(sizes), (partition << 32) + seq)
+            yield pa.RecordBatch.from_arrays([pa.array(block), pa.array(_nodes(values, sizes)), pa.array(sizes, pa.int64()), pa.array(packed, pa.binary())], ["block", "node", "n", "shingles"])
+            held += len(values)
+            if held >= BLOCK_TOKENS:
+                held, seq = 0, seq + 1
 
 
-def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for x in batch.column("shingles").to_pylist():
-            yield pa.RecordBatch.from_arrays([pa.array(unzipped_sorted(x).view(np.int64))], ["key"])
+def _block_keys(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """The sets of a block, its distinct shingles, and how many of its nodes have each."""
+    sets = [unzipped_sorted(x) for x in table.column("shingles").to_pylist()]
+    _, once = np.unique(table.column("node").to_numpy(), return_index=True)  # rows that are alike are one node
+    keys, n = np.unique(np.concatenate([sets[i] for i in once]), return_counts=True)
+    return sets, keys, n
+
+
+def _ask_counts(buckets: int):
+    def run(table: pa.Table) -> pa.Table:
+        _, keys, n = _block_keys(table)
+        bucket = (keys % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        edges = np.searchsorted(bucket[order], np.arange(buckets + 1)).tolist()
+        block = table.column("block")[0].as_py()
+        rows = [{"kind": 0, "bucket": b, "block": block, "keys": zipped_sorted(keys[order[lo:hi]]), "n": zipped(n[order[lo:hi]].astype(np.uint32))} for b, (lo, hi) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if hi > lo]
+        return pa.Table.from_pylist(rows, schema=_COUNT)
+
+    return run
+
+
+def _order_sets(buckets: int):
+    """Sets in the global order, without the shingles that no other set has: those are only counted in n.
+
+    An order code has the class of a shingle's count (powers of two) above 60 bits of its hash. `first` says how many of
+    the codes belong to the set's prefix.
+    """
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.binary())], ["node", "n", "first", "codes"])
+        sets, keys, _ = _block_keys(left)
+        total, bucket = np.zeros(len(keys), np.int64), (keys % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        for b, x in zip(right.column("bucket").to_pylist(), right.column("totals"), strict=True):
+            total[order[edges[b] : edges[b + 1]]] = unzipped(x.as_py(), np.int64)
+        grade = np.minimum(np.ceil(np.log2(np.maximum(total, 1))), 15).astype(np.uint64)
+        codes = (grade << np.uint64(60)) | (keys >> np.uint64(3))
+        out = []
+        for node, n, x in zip(left.column("node").to_pylist(), left.column("n").to_pylist(), sets, strict=True):
+            at = np.searchsorted(keys, x)
+            shared = np.sort(codes[at[total[at] > 1]])
+            first = n - least_overlap(n) + 1 - (n - len(shared))
+            if first > 0:
+                out.append((node, n, first, zipped_sorted(shared)))
+        return pa.table([pa.array([r[i] for r in out], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["node", "n", "first", "codes"])
 
+    return run
 
-def _ordered(x: bytes, common: np.ndarray) -> np.ndarray:
-    """A set in the global order: common shingles have the top bit."""
-    values = unzipped_sorted(x)
-    if len(common):
-        at = np.minimum(np.searchsorted(common, values), len(common) - 1)
-        values = np.where(common[at] == values, values | _TOP, values)
-        values.sort()
-    return values
+
+def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = []
+        for node, n, first, x in zip(*[batch.column(c).to_pylist() for c in ("node", "n", "first", "codes")], strict=True):
+            keys = unzipped_sorted(x)[:first]
+            out.append((keys.view(np.int64), np.full(len(keys), node), np.full(len(keys), n), np.arange(len(keys))))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["key", "node", "n", "place"])
 
 
 class Node:
-    """Part of a set's beginning, and what follows it: the lengths of sets below, one of them, and whether they may be of several components."""
+    """Part of a set's beginning; of the sets below: the least size, the most codes, one of them, and whether there may be several components."""
 
-    __slots__ = ("part", "next", "ends", "low", "high", "one", "mixed")
+    __slots__ = ("part", "next", "ends", "least", "most", "one", "mixed")
 
-    def __init__(self, part: np.ndarray, n: int, one: int) -> None:
+    def __init__(self, part: np.ndarray, least: int, most: int, one: int) -> None:
         self.part, self.next, self.ends = part, {}, []
-        self.low = self.high = n
-        self.one, self.mixed = one, False
+        self.least, self.most, self.one, self.mixed = least, most, one, False
 
 
 class PrefixTree:
-    """Sets in global order with shared beginnings; finds sets of other components that are similar to a given one."""
+    """Sets as codes in global order (and sizes, as codes leave out what no other set has), with shared beginnings.
+
+    Finds sets of other components that are similar to a given one.
+    """
 
-    def __init__(self, sets: list[np.ndarray], component: list[int]) -> None:
-        self.sets, self.root = sets, None
+    def __init__(self, sets: list[np.ndarray], sizes: list[int], component: list[int]) -> None:
+        self.sets, self.sizes, self.root = sets, sizes, None
         first: dict[int, int] = {}
         self.parent = [first.setdefault(c, i) for i, c in enumerate(component)]
 
@@ -208,12 +258,12 @@ class PrefixTree:
         return i
 
     def insert(self, i: int) -> None:
-        x, mine, at = self.sets[i], self.find(i), 0
+        x, n, mine, at = self.sets[i], self.sizes[i], self.find(i), 0
         if self.root is None:
-            self.root = Node(x[:0], len(x), i)
+            self.root = Node(x[:0], n, len(x), i)
         node = self.root
         while True:
-            node.low, node.high = min(node.low, len(x)), max(node.high, len(x))
+            node.least, node.most = min(node.least, n), max(node.most, len(x))
             if self.find(node.one) != mine:
                 node.mixed = True
             if at == len(x):
@@ -221,16 +271,16 @@ class PrefixTree:
                 return
             child = node.next.get(int(x[at]))
             if child is None:
-                new = Node(x[at:], len(x), i)
+                new = Node(x[at:], n, len(x), i)
                 new.ends.append(i)
                 node.next[int(x[at])] = new
                 return
-            n = min(len(child.part), len(x) - at)
-            differ = np.flatnonzero(child.part[:n] != x[at : at + n])
-            same = int(differ[0]) if len(differ) else n
+            k = min(len(child.part), len(x) - at)
+            differ = np.flatnonzero(child.part[:k] != x[at : at + k])
+            same = int(differ[0]) if len(differ) else k
             if same < len(child.part):  # the child keeps its end, and a new node its beginning
-                upper = Node(child.part[:same], child.low, child.one)
-                upper.high, upper.mixed = child.high, child.mixed
+                upper = Node(child.part[:same], child.least, child.most, child.one)
+                upper.mixed = child.mixed
                 child.part = child.part[same:]
                 upper.next[int(child.part[0])] = child
                 node.next[int(x[at])] = upper
@@ -242,35 +292,30 @@ class PrefixTree:
         found: list[int] = []
         if self.root is None:
             return found
-        x = self.sets[i]
-        n = len(x)
-        stack = [(self.root, 0, 0, 0)]  # a node, and before it: shingles in common, of the path, of x
+        x, n = self.sets[i], self.sizes[i]
+        stack = [(self.root, 0, 0, 0)]  # a node, and before it: codes in common, of the path, of x
         while stack:
             node, common, depth, used = stack.pop()
             if not node.mixed and self.find(node.one) == self.find(i):
                 continue
-            part = node.part
-            dead = False
+            part, dead = node.part, False
             for k in range(0, len(part), 128):
                 some = part[k : k + 128]
                 at = np.searchsorted(x, some)
-                hit = (at < n) & (x[np.minimum(at, n - 1)] == some)
+                hit = (at < len(x)) & (x[np.minimum(at, len(x) - 1)] == some)
                 common, depth, used = common + int(hit.sum()), depth + len(some), int(at[-1]) + int(hit[-1])
-                # the best length among those below: the rest of x, or the nearest to it
-                best = min(max(n - used + depth, node.low), node.high)
-                if 9 * (common + min(n - used, best - depth)) < 4 * (n + best):
+                if 9 * (common + min(len(x) - used, node.most - depth)) < 4 * (n + node.least):
                     dead = True
                     break
             if dead:
                 continue
-            if node.ends and 9 * common >= 4 * (n + depth):
-                for other in node.ends:
-                    if self.find(other) != self.find(i):
-                        found.append(other)
-                        self.parent[self.find(other)] = self.find(i)
+            for other in node.ends:
+                if 9 * common >= 4 * (n + self.sizes[other]) and self.find(other) != self.find(i):
+                    found.append(other)
+                    self.parent[self.find(other)] = self.find(i)
             own = None
             for first, child in node.next.items():
-                if used < n and first == int(x[used]):
+                if used < len(x) and first == int(x[used]):
                     own = child  # likeliest, so it is looked at first
                 else:
                     stack.append((child, common, depth, used))
@@ -279,27 +324,24 @@ class PrefixTree:
         return found
 
 
-def _join(common):
-    def run(table: pa.Table) -> pa.Table:
-        """Links within a group: of probes with members, or among members where all are probes too."""
-        nodes, component, probe = table.column("node").to_pylist(), table.column("component").to_pylist(), table.column("probe").to_pylist()
-        sets = [_ordered(x, common.value) for x in table.column("shingles").to_pylist()]
-        order = sorted(range(len(sets)), key=lambda i: (len(sets[i]), nodes[i]))
-        tree = PrefixTree(sets, component)
-        out = []
-        alone = not any(p == 2 for p in probe)
+def _join(table: pa.Table) -> pa.Table:
+    """Links within a group: of probes with members, or among members where all are probes too."""
+    nodes, sizes, component, probe = (table.column(c).to_pylist() for c in ("node", "n", "component", "probe"))
+    sets = [unzipped_sorted(x) for x in table.column("codes").to_pylist()]
+    order = sorted(range(len(sets)), key=lambda i: (sizes[i], nodes[i]))
+    tree = PrefixTree(sets, sizes, component)
+    out = []
+    alone = not any(p == 2 for p in probe)
+    for i in order:
+        if alone:
+            out += [(nodes[i], nodes[j]) for j in tree.link(i)]
+        if probe[i] != 2:
+            tree.insert(i)
+    if not alone:
         for i in order:
-            if alone:
+            if probe[i] == 2:
                 out += [(nodes[i], nodes[j]) for j in tree.link(i)]
-            if probe[i] != 2:
-                tree.insert(i)
-        if not alone:
-            for i in order:
-                if probe[i] == 2:
-                    out += [(nodes[i], nodes[j]) for j in tree.link(i)]
-        return pa.table([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["a", "b"])
-
-    return run
+    return pa.table([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["a", "b"])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -318,10 +360,10 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _in_groups(rows: DataFrame, sets: DataFrame, common) -> DataFrame:
+def _in_groups(rows: DataFrame, sets: DataFrame) -> DataFrame:
     """Links of the groups that rows (key, part, block, node, component, probe) make, written."""
-    with_sets = rows.join(sets, "node").select("key", "part", "block", "node", "component", "probe", "shingles")
-    return _store.written(with_sets.groupBy("key", "part", "block").applyInArrow(_join(common), "a long, b long"), "near-links")
+    with_sets = rows.join(sets.select("node", "n", "codes"), "node").select("key", "part", "block", "node", "n", "component", "probe", "codes")
+    return _store.written(with_sets.groupBy("key", "part", "block").applyInArrow(_join, "a long, b long"), "near-links")
 
 
 def _parts(n, shingles):
@@ -330,27 +372,21 @@ def _parts(n, shingles):
 
 def _links(docs: DataFrame, found: DataFrame) -> DataFrame | None:
     """Components (node, component) of the nodes with a link to a different set."""
-    spark = docs.sparkSession
     chosen = found.filter("near").groupBy("node").agg(F.min(F.struct("doc_id", "tag")).alias("c")).select(F.col("c.doc_id").alias("id"), F.col("c.tag").alias("t"))
     texts = docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["id"]) & (docs["tag"] == chosen["t"]), "left_semi")
-    sets = _store.written(texts.select("text").mapInArrow(_packed_sets, "node long, n long, shingles binary"), "near-sets")
-    sample = sets.orderBy(F.xxhash64("node"), "node").limit(SAMPLE).select("shingles").mapInArrow(_unpacked, "key long")
-    often = sample.groupBy("key").count().filter(F.col("count") >= COMMON).orderBy(F.desc("count"), "key").limit(COMMON_MOST).select("key").toPandas()
-    common = spark.sparkContext.broadcast(np.sort(often["key"].to_numpy(np.int64).view(np.uint64)))
-
-    def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for node, n, x in zip(*[batch.column(c).to_pylist() for c in ("node", "n", "shingles")], strict=True):
-                keys = _ordered(x, common.value)[: n - least_overlap(n) + 1]
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.full(len(keys), node)), pa.array(np.full(len(keys), n)), pa.array(np.arange(len(keys)))], ["key", "node", "n", "place"])
-
-    starts = sets.mapInArrow(prefix, "key long, node long, n long, place long")
+    packed = _store.written(texts.select("text").mapInArrow(_packed_sets, "block long, node long, n long, shingles binary"), "near-sets")
+    buckets = max(16, int(packed.agg(F.sum("n")).first()[0] or 0) // BUCKET_SHINGLES)
+    asked = packed.groupBy("block").applyInArrow(_ask_counts(buckets), "kind int, bucket long, block long, keys binary, n binary")
+    sums = asked.groupBy("bucket").applyInArrow(_sums, "kind int, bucket long, block long, totals binary, tokens long, types long").select("bucket", "block", "totals")
+    ordered = packed.groupBy("block").cogroup(sums.groupBy("block")).applyInArrow(_order_sets(buckets), "node long, n long, first long, codes binary")
+    sets = _store.written(ordered.dropDuplicates(["node"]), "near-ordered")
+    starts = sets.mapInArrow(_prefixes, "key long, node long, n long, place long")
     shared = starts.groupBy("key").agg(F.count("*").alias("members"), F.sum("n").alias("size")).filter("members > 1")
     rows = _store.written(starts.join(shared, "key"), "near-prefixes")
     first = rows.groupBy("node").agg(F.slice(F.sort_array(F.collect_list(F.struct("place", "key", "members", "size"))), 1, 2).alias("k")).select("node", F.explode("k").alias("k"))
     part = F.pmod(F.xxhash64("node", "key"), _parts(F.col("members"), F.col("size"))).cast("int")
     one = first.select("node", "k.key", "k.members", "k.size").select("key", part.alias("part"), F.lit(0).alias("block"), "node", F.col("node").alias("component"), F.lit(1).alias("probe"))
-    links = _in_groups(one, sets, common)
+    links = _in_groups(one, sets)
     labels = components(links)
     labelled = rows.select("key", "node", "members", "size").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     groups = labelled.groupBy("key").agg(
@@ -371,7 +407,7 @@ def _links(docs: DataFrame, found: DataFrame) -> DataFrame | None:
     split = large.join(largest, "key").withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("others") * F.col("parts") / F.col("members"))).cast("int"))
     member = split.select("key", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "node", "component", F.lit(1).alias("probe"))
     probes = split.filter("component <> largest").select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.pmod(F.hash("node"), "blocks").cast("int").alias("block"), "node", "component", F.lit(2).alias("probe"))
-    more = _in_groups(whole.unionByName(member).unionByName(probes), sets, common)
+    more = _in_groups(whole.unionByName(member).unionByName(probes), sets)
     return components(links.unionByName(more)) if more.limit(1).count() else labels
 
 
