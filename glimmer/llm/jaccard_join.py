@@ -11,7 +11,7 @@ hashes, sets are told apart by a 64-bit hash of their shingles and their size; d
    a linked pair shares one of the first `n - ceil(0.8 n) + 1` shingles of both, and a set with that many shingles of
    its own ends here. Groups of a shingle's sets go into a prefix tree: sets with the same beginning share their overlaps
    with a probe, and subtrees are left where the remaining lengths can't reach the similarity. A first round takes
-   each set's first two shared shingles; components of its links then settle nearly all groups of other shingles, as
+   those two shingles of each prefix that most sets share; components of its links then settle most other groups, as
    nothing new can be found in a group that lies in one component. A second round takes all groups that are left, those with the
    same members once.
 3. Groups larger than `LIMIT` sets are split into parts at random in the first round; in the second one every set outside the
@@ -341,7 +341,12 @@ def _join(table: pa.Table) -> pa.Table:
         for i in order:
             if probe[i] == 2:
                 out += [(nodes[i], nodes[j]) for j in tree.link(i)]
-    return pa.table([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["a", "b"])
+    # each linked set with the smallest one of its component here, so that components are near their smallest node
+    place = {node: i for i, node in enumerate(nodes)}
+    linked = sorted({place[x] for pair in out for x in pair}, key=lambda i: nodes[i])
+    low: dict[int, int] = {}
+    ends = [(nodes[i], low.setdefault(tree.find(i), nodes[i])) for i in linked]
+    return pa.table([pa.array([a for a, _ in ends], pa.int64()), pa.array([b for _, b in ends], pa.int64())], ["a", "b"])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -383,7 +388,7 @@ def _links(docs: DataFrame, found: DataFrame) -> DataFrame | None:
     starts = sets.mapInArrow(_prefixes, "key long, node long, n long, place long")
     shared = starts.groupBy("key").agg(F.count("*").alias("members"), F.sum("n").alias("size")).filter("members > 1")
     rows = _store.written(starts.join(shared, "key"), "near-prefixes")
-    first = rows.groupBy("node").agg(F.slice(F.sort_array(F.collect_list(F.struct("place", "key", "members", "size"))), 1, 2).alias("k")).select("node", F.explode("k").alias("k"))
+    first = rows.groupBy("node").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("members")).alias("m"), "place", "key", "members", "size"))), 1, 2).alias("k")).select("node", F.explode("k").alias("k"))
     part = F.pmod(F.xxhash64("node", "key"), _parts(F.col("members"), F.col("size"))).cast("int")
     one = first.select("node", "k.key", "k.members", "k.size").select("key", part.alias("part"), F.lit(0).alias("block"), "node", F.col("node").alias("component"), F.lit(1).alias("probe"))
     links = _in_groups(one, sets)
