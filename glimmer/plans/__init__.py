@@ -1,6 +1,6 @@
 """Queries over a library, by theme; importing this package registers all of them."""
 
-from glimmer.plans import library, sequences, similarity
+from glimmer.plans import curation, library, places, sequences, similarity
 from glimmer.plans.registry import QUERIES as ALL
 
-__all__ = ["ALL", "library", "sequences", "similarity"]
+__all__ = ["ALL", "curation", "library", "places", "sequences", "similarity"]
