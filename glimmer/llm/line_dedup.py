@@ -161,10 +161,10 @@ def drop_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataF
 
     @F.pandas_udf("string")
     def clean(text: pd.Series, keys: pd.Series) -> pd.Series:
-        return pd.Series([t if k is None else _cleaned(t.encode(), [x.encode() for x in k])[0].decode() for t, k in zip(text, keys, strict=True)], dtype=object)
+        return pd.Series([t if t is None or k is None else _cleaned(t.encode(), [x.encode() for x in k])[0].decode() for t, k in zip(text, keys, strict=True)], dtype=object)
 
     joined = docs.join(lost, docs["doc_id"].eqNullSafe(lost["__id"]), "left")
-    return joined.withColumn("text", F.when(F.col("__keys").isNull(), F.col("text")).otherwise(clean("text", "__keys"))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return joined.withColumn("text", clean("text", "__keys")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def digest(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:

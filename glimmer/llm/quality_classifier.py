@@ -128,7 +128,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> list[tu
     rows = own.orderBy("id").mapInArrow(kept, "quality int, toxic int, features array<int>").toPandas() if total else None
     out = []
     for name in _CLASSES:
-        weights, bias, chosen = np.zeros(FEATURES), 0.0, picked[name]
+        weights, bias, chosen = np.zeros(FEATURES), 0.0 if name == "quality" else 30.0, picked[name]
         if rows is not None:
             sizes = np.fromiter(map(len, rows["features"]), np.int64, len(rows))
             feature = np.concatenate([np.zeros(0, np.int64), *rows["features"]]).astype(np.int64)
@@ -194,4 +194,4 @@ def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
     )
     joined = known.select("doc_id", "host", "path", "p_text").join(sites, F.col("host").eqNullSafe(F.col("__host")) & F.col("path").eqNullSafe(F.col("__path")), "left")
     p_good = 1 / (1 + F.exp(-(_logit(F.greatest(F.lit(1e-13), F.least(F.lit(1 - 1e-13), F.col("p_text")))) + _logit(F.col("p_path")) - _logit(F.col("p_all")))))
-    return joined.withColumn("p_good", p_good).select("doc_id", "p_text", "p_host", "p_path", "p_good", (F.col("p_good") >= 0.5).alias("kept"))
+    return joined.withColumn("p_good", p_good).select("doc_id", "p_text", "p_host", "p_path", "p_good", (F.col("p_good") >= 0.5 - 1e-9).alias("kept"))

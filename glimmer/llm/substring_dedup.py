@@ -272,7 +272,6 @@ def drop_repeats(docs: DataFrame, n: int = WINDOW) -> DataFrame:
 
     @F.pandas_udf("string")
     def cut(text: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series([b" ".join(_kept(t.encode(), list(s))[0]).decode() for t, s in zip(text, spans, strict=True)], dtype=object)
+        return pd.Series([t if s is None or not len(s) else b" ".join(_kept(t.encode(), list(s))[0]).decode() for t, s in zip(text, spans, strict=True)], dtype=object)
 
-    text = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(cut("text", F.when(F.col("__spans").isNotNull(), F.col("__spans")).otherwise(F.array())))
-    return _with_spans(docs, n).withColumn("text", text).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return _with_spans(docs, n).withColumn("text", cut("text", "__spans")).select(*[F.col(f"`{c}`") for c in docs.columns])

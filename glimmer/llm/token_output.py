@@ -234,7 +234,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
             for row in batch.to_pylist():
                 block = _checked(row)
                 out = [(row["shard"], d["ordinal"], d["doc_id"], row["chunk"], d["begin"], block[d["begin"] : d["begin"] + d["n"]].astype(np.int64)) for d in row["docs"]]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["shard", "ordinal", "doc_id", "chunk", "begin", "ids"])
+                kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["shard", "ordinal", "doc_id", "chunk", "begin", "ids"])
 
     return spark.read.schema(SCHEMA).parquet(path).mapInArrow(decode, "shard int, ordinal long, doc_id long, chunk long, begin int, ids array<long>")
 
