@@ -8,6 +8,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts go to Python some megabytes at a time, so that a worker's memory doesn't follow their length; a smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(key, str(min(1000, int(spark.conf.get(key)))))
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new path under spark.checkpoint.dir; only where that is unset, as in tests, under a temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from . import _text
+from . import _store, _text
 
 WINDOW = 10
 MAX_BLOCK_CHARS = 4_000_000
@@ -92,6 +92,7 @@ def _scan(shared: list, found: Callable) -> Callable:
 
 def _broadcast(docs: DataFrame, benchmark: DataFrame, n: int) -> list:
     context = docs.sparkSession.sparkContext
+    _store.small_batches(docs.sparkSession)
 
     def held(rows: list[Row]):
         return context.broadcast(Windows([(r["item"], r["text"]) for r in rows], n))

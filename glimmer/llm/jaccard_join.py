@@ -424,6 +424,7 @@ def _tagged(docs: DataFrame) -> DataFrame:
 
 def _classes(docs: DataFrame) -> DataFrame:
     """doc_id, tag, n_shingles, component (null: no link), component_id, for each row of docs."""
+    _store.small_batches(docs.sparkSession)
     own = _tagged(docs)
     found = _candidates(own)
     labels = _links(own, found).withColumnRenamed("node", "linked")

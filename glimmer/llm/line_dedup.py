@@ -18,7 +18,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -129,6 +128,7 @@ def _suspects(min_chars: int, segments: int, shared):
 def repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
     """(doc_id, keys): for each document with lines to drop, the keys that it loses."""
     spark = docs.sparkSession
+    _store.small_batches(spark)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # long lines there can be at most, from the texts' lengths alone
     most = own.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
@@ -159,12 +159,17 @@ def drop_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataF
     """The rows of docs with their own columns, the repeated lines taken from text."""
     lost = repeated_lines(docs, min_chars, min_docs).select(F.col("doc_id").alias("__id"), F.col("keys").alias("__keys"))
 
-    @F.pandas_udf("string")
-    def clean(text: pd.Series, keys: pd.Series) -> pd.Series:
-        return pd.Series([t if t is None or k is None else _cleaned(t.encode(), [x.encode() for x in k])[0].decode() for t, k in zip(text, keys, strict=True)], dtype=object)
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, keys = batch.schema.get_field_index("text"), batch.column("__keys").cast(pa.list_(pa.binary())).to_pylist()
+            own = pa.RecordBatch.from_arrays(batch.columns[:-1], schema=pa.schema(list(batch.schema)[:-1]))
+            if any(keys):
+                new = [t if t is None else _cleaned(t, k)[0] for t, k in zip(_texts(batch.column("text")), keys, strict=True)]
+                own = own.set_column(at, own.schema.field(at), pa.array(new, pa.binary()).cast(own.schema.field(at).type))
+            yield own
 
     joined = docs.join(lost, docs["doc_id"].eqNullSafe(lost["__id"]), "left")
-    return joined.withColumn("text", clean("text", "__keys")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], "__keys").mapInArrow(clean, docs.schema)
 
 
 def digest(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:

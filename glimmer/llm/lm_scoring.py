@@ -193,6 +193,7 @@ def _scores(buckets: int, n_tokens: int, n_types: int, strength: float):
 
 def score(docs: DataFrame, strength: float = STRENGTH) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score (words alone), score (the automaton's log10 probability)."""
+    _store.small_batches(docs.sparkSession)
     held = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(HELD_OUT_OF)) == HELD_OUT
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held"), F.col("text").cast("string").alias("text"))
     chars = own.agg(F.sum(F.length("text"))).first()[0] or 0

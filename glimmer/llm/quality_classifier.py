@@ -172,6 +172,7 @@ def _strength(groups: DataFrame, mean: str, n: str) -> Column:
 
 def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", fit_rows: int = FIT_ROWS) -> DataFrame:
     """doc_id, p_text (classifier alone), p_host, p_path, p_good, kept: a row for each row of docs."""
+    _store.small_batches(docs.sparkSession)
     models = fit(docs, labels, fit_rows)
     scored = _store.written(evidence(docs, models, host, path), "quality-evidence")
     known = scored.join(labelled(labels), F.col("doc_id") == F.col("id"), "left")

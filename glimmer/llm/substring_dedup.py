@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import _text
+from . import _store, _text
 
 WINDOW, MMER = 20, 4
 BLOCK_WORDS = 1 << 20
@@ -229,6 +229,7 @@ def _tagged(docs: DataFrame) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, n: int = WINDOW) -> DataFrame:
     """doc_id, tag, spans (first, last: words, half open) of each row with words to remove."""
+    _store.small_batches(docs.sparkSession)
     own = _tagged(docs)
     total = own.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = max(64, 3 * total // BUCKET_BYTES)

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import _text
+from . import _store, _text
 
 CHUNK_IDS = 1 << 16
 SCHEMA = "shard int, chunk long, n_ids int, kind string, crc32 long, planes array<binary>, docs array<struct<ordinal: long, doc_id: long, begin: int, n: int>>"
@@ -206,6 +206,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, chunk_ids: in
         if held:
             yield close()
 
+    _store.small_batches(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("h"))
     dealt = own.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
     dealt.mapInArrow(encode, SCHEMA).write.option("compression", "none").parquet(path)
