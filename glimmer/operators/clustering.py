@@ -75,8 +75,8 @@ def representatives(rows: DataFrame, keys: list[str], score: str, id_column: str
 
 def partition_signature(labels: DataFrame, id_column: str, label: str) -> DataFrame:
     """Labels renamed to the smallest id of their group, so that equal partitions are equal tables."""
-    low = labels.groupBy(label).agg(F.min(id_column).alias("canonical"))
-    return labels.join(low, F.col(label).eqNullSafe(low[label])).select(id_column, "canonical")
+    low = labels.groupBy(F.col(label).alias("__l")).agg(F.min(id_column).alias("canonical"))
+    return labels.join(low, F.col(label).eqNullSafe(F.col("__l"))).select(id_column, "canonical")
 
 
 def cut_vertices(edges: DataFrame, component: str = "component") -> DataFrame:
