@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import _store, _text
 
-WINDOW, MMER = 20, 4
+WINDOW, MMER = 20, 3
 BLOCK_WORDS = 1 << 20
 #: Bytes of packed strings that a bucket gets, about.
 BUCKET_BYTES = 12 << 20
@@ -39,7 +39,7 @@ _NULL = -(2**63)
 
 
 def _zip(x: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=3).compress(x)
+    return zstandard.ZstdCompressor(level=6).compress(x)
 
 
 def _unzip(x: bytes) -> bytes:
