@@ -332,9 +332,9 @@ def explicit_order(t):
 
 
 @query("SRT-07 SRT-11 SRT-12", """
-SELECT o_orderkey, (SELECT ceil(count(*) / 24.0)::BIGINT FROM orders WHERE o_custkey % 10 = 3) AS pages FROM orders WHERE o_custkey % 10 = 3 ORDER BY o_orderdate DESC, o_orderkey LIMIT 24 OFFSET 48""")
+SELECT o_orderkey, (SELECT ceil(count(*) / 24.0)::BIGINT FROM orders WHERE o_orderstatus = 'P') AS pages FROM orders WHERE o_orderstatus = 'P' ORDER BY o_orderdate DESC, o_orderkey LIMIT 24 OFFSET 48""")
 def paged_with_total(t):
-    rows = t("orders").filter("o_custkey % 10 = 3")
+    rows = t("orders").filter("o_orderstatus = 'P'")
     pages = rows.agg(F.ceil(F.count("*") / 24.0).alias("pages"))
     return rows.orderBy(F.desc("o_orderdate"), "o_orderkey").offset(48).limit(24).select("o_orderkey").crossJoin(F.broadcast(pages))  # one row
 

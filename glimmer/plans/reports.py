@@ -60,11 +60,12 @@ def album_reordered(t):
     return rows.select("album", F.col("o_orderkey").alias("asset"), (F.row_number().over(w) - 1).cast("long").alias("position"), F.when(F.col("o_orderkey") != F.col("c"), F.col("c")).alias("cover"))
 
 
-@query("SNK-20 SNK-23 FLT-18 FLT-19", """SELECT o_orderkey AS asset, row_number() OVER (ORDER BY o_orderkey % 100 DESC, o_orderkey) - 1 AS position FROM orders WHERE o_custkey % 200 = 1 AND o_orderkey % 100 >= 20""")
-def view_to_album(t):
-    """A view's matches become an album in the order of their scores; one view is one page's worth."""
-    rows = t("orders").filter("o_custkey % 200 = 1").withColumn("score", F.col("o_orderkey") % 100).filter("score >= 20")
-    return rows.select(F.col("o_orderkey").alias("asset"), (F.row_number().over(Window.orderBy(F.desc("score"), "o_orderkey")) - 1).cast("long").alias("position"))
+@query("SNK-20 SNK-23 FLT-18 FLT-19", """SELECT o_custkey AS album, o_orderkey AS asset, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey % 100 DESC, o_orderkey) - 1 AS position FROM orders WHERE o_orderkey % 100 >= 20""")
+def views_to_albums(t):
+    """Each view's matches become an album in the order of their scores."""
+    rows = t("orders").withColumn("score", F.col("o_orderkey") % 100).filter("score >= 20")
+    w = Window.partitionBy("o_custkey").orderBy(F.desc("score"), "o_orderkey")
+    return rows.select(F.col("o_custkey").alias("album"), F.col("o_orderkey").alias("asset"), (F.row_number().over(w) - 1).cast("long").alias("position"))
 
 
 @query("JN-25 AG-24", """SELECT c_nationkey AS city, count(*)::BIGINT AS photos, (count(*) FILTER (o_orderstatus = 'F'))::BIGINT AS fav, round(max(o_totalprice), 2) AS top FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1""")
