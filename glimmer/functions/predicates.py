@@ -70,9 +70,9 @@ def contains_any(text: Column, query: str) -> Column:
 
 
 def has_word(text: Column, word: str) -> Column:
-    """The word between word boundaries, in any case."""
+    """The word between ASCII word boundaries, in any case."""
     quoted = "".join(c if c.isalnum() or c == "_" or ord(c) > 127 else "\\" + c for c in word.lower())
-    return F.contains(F.lower(text), F.lit(word.lower())) & F.lower(text).rlike(rf"\b{quoted}\b")
+    return F.contains(F.lower(text), F.lit(word.lower())) & F.lower(text).rlike(rf"(?<![0-9a-z_]){quoted}(?![0-9a-z_])")
 
 
 def in_folder(path: Column, folder: str) -> Column:

@@ -185,7 +185,7 @@ def nearest_neighbor_distance(t):
 
 
 @query("AG-28 VEC-25 RM-17", " UNION ALL ".join(
-    "SELECT * FROM (" + _COMPONENTS.format(e=e) + f" SELECT {e} AS epsilon, count(DISTINCT cluster)::BIGINT AS clusters, max(n)::BIGINT AS largest, round(avg(pure), 6) AS purity FROM (SELECT cluster, count(*) AS n, max(k) * 1.0 / count(*) AS pure FROM (SELECT cluster, label, count(*) OVER (PARTITION BY cluster, label) AS k FROM c JOIN v USING (vec_id)) GROUP BY 1))" for e in (0.6, 0.64)))
+    "SELECT * FROM (" + _COMPONENTS.format(e=e) + f" SELECT {e}::DOUBLE AS epsilon, count(DISTINCT cluster)::BIGINT AS clusters, max(n)::BIGINT AS largest, round(avg(pure), 6) AS purity FROM (SELECT cluster, count(*) AS n, max(k) * 1.0 / count(*) AS pure FROM (SELECT cluster, label, count(*) OVER (PARTITION BY cluster, label) AS k FROM c JOIN v USING (vec_id)) GROUP BY 1))" for e in (0.6, 0.64)))
 def sweep_eval(t):
     rows = t("embeddings")
     pairs = cut(similar_pairs(rows, "vec_id", "embedding", 0.64))  # the widest radius has the pairs of all
