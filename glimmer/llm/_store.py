@@ -7,9 +7,12 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from glimmer.shipping import ship
+
 
 def small_batches(spark: SparkSession) -> None:
     """Texts go to Python some megabytes at a time, so that a worker's memory doesn't follow their length; a smaller setting stays."""
+    ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     spark.conf.set(key, str(min(1000, int(spark.conf.get(key)))))
 

@@ -134,3 +134,4 @@ def slices(batch: pa.RecordBatch | pa.Table, column: str, size: int = SLICE_BYTE
         used += int(n)
     if at < batch.num_rows:
         yield batch.slice(at)
+    pa.default_memory_pool().release_unused()  # workers live on between tasks

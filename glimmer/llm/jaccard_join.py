@@ -37,7 +37,7 @@ from .lm_scoring import _ASK as _COUNT
 from .lm_scoring import _sums, unzipped, unzipped_sorted, zipped, zipped_sorted
 
 SHINGLE = 5
-BLOCK_TOKENS = 1 << 20
+BLOCK_TOKENS = 1 << 19
 BUCKET_CHARS = 4 << 20
 BUCKET_SHINGLES = 1 << 19
 #: Sets and shingles that one prefix tree holds at most, about.
