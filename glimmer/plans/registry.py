@@ -7,6 +7,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from glimmer.shipping import ship
+
 Plan = Callable[[SparkSession, str], DataFrame]
 
 
@@ -26,6 +28,7 @@ def query(operators: str, sql: str | None = None) -> Callable[[Callable], Callab
 
     def register(f: Callable) -> Callable:
         def plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
             return f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
         if f.__name__ in QUERIES:
