@@ -33,8 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _store, _text
-from .lm_scoring import _ASK as _COUNT
-from .lm_scoring import _sums, unzipped, unzipped_sorted, zipped, zipped_sorted
+from ._packed import ASK, ASK_SQL, TOTALS_SQL, sums, unzipped, unzipped_sorted, zipped, zipped_sorted
 
 SHINGLE = 5
 BLOCK_TOKENS = 1 << 19
@@ -186,7 +185,7 @@ def _ask_counts(buckets: int):
         edges = np.searchsorted(bucket[order], np.arange(buckets + 1)).tolist()
         block = table.column("block")[0].as_py()
         rows = [{"kind": 0, "bucket": b, "block": block, "keys": zipped_sorted(keys[order[lo:hi]]), "n": zipped(n[order[lo:hi]].astype(np.uint32))} for b, (lo, hi) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if hi > lo]
-        return pa.Table.from_pylist(rows, schema=_COUNT)
+        return pa.Table.from_pylist(rows, schema=ASK)
 
     return run
 
@@ -381,9 +380,9 @@ def _links(docs: DataFrame, found: DataFrame) -> DataFrame | None:
     texts = docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["id"]) & (docs["tag"] == chosen["t"]), "left_semi")
     packed = _store.written(texts.select("text").mapInArrow(_packed_sets, "block long, node long, n long, shingles binary"), "near-sets")
     buckets = max(16, int(packed.agg(F.sum("n")).first()[0] or 0) // BUCKET_SHINGLES)
-    asked = packed.groupBy("block").applyInArrow(_ask_counts(buckets), "kind int, bucket long, block long, keys binary, n binary")
-    sums = asked.groupBy("bucket").applyInArrow(_sums, "kind int, bucket long, block long, totals binary, tokens long, types long").select("bucket", "block", "totals")
-    ordered = packed.groupBy("block").cogroup(sums.groupBy("block")).applyInArrow(_order_sets(buckets), "node long, n long, first long, codes binary")
+    asked = packed.groupBy("block").applyInArrow(_ask_counts(buckets), ASK_SQL)
+    totals = asked.groupBy("bucket").applyInArrow(sums, TOTALS_SQL).select("bucket", "block", "totals")
+    ordered = packed.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(_order_sets(buckets), "node long, n long, first long, codes binary")
     sets = _store.written(ordered.dropDuplicates(["node"]), "near-ordered")
     starts = sets.mapInArrow(_prefixes, "key long, node long, n long, place long")
     shared = starts.groupBy("key").agg(F.count("*").alias("members"), F.sum("n").alias("size")).filter("members > 1")

@@ -22,12 +22,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _store, _text
+from ._packed import ASK, ASK_SQL, TOTALS_SQL, sums, unzipped, unzipped_sorted, zipped, zipped_sorted
 
 HELD_OUT_OF, HELD_OUT = 7, 2
 #: K: what a context's own counts are weighed against.
@@ -37,25 +37,6 @@ BUCKET_CHARS = 4 << 20
 _END, _START = np.uint64(0x656E64), np.uint64(0x7374617274)
 
 
-def zipped(x: np.ndarray) -> bytes:
-    """An integer array by byte planes."""
-    raw = np.ascontiguousarray(x)
-    return zstandard.ZstdCompressor(level=1).compress(raw.view(np.uint8).reshape(-1, raw.itemsize).T.tobytes())
-
-
-def unzipped(x: bytes, kind: type) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint8)
-    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
-
-
-def zipped_sorted(x: np.ndarray) -> bytes:
-    return zipped(np.diff(x, prepend=np.uint64(0)))
-
-
-def unzipped_sorted(x: bytes) -> np.ndarray:
-    return np.cumsum(unzipped(x, np.uint64), dtype=np.uint64)
-
-
 _BLOCK = pa.schema([("block", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("counts", pa.list_(pa.int32())), ("keys", pa.binary()), ("tokens", pa.binary())])
 _BLOCK_SQL = "block long, doc_id array<long>, held array<boolean>, counts array<int>, keys binary, tokens binary"
 
@@ -114,9 +95,6 @@ class Block:
         return [(0, self.keys, words), (1, self.pair_keys, pairs)]
 
 
-_ASK = pa.schema([("kind", pa.int32()), ("bucket", pa.int64()), ("block", pa.int64()), ("keys", pa.binary()), ("n", pa.binary())])
-
-
 def _requests(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,24 +109,11 @@ def _requests(buckets: int):
                         for b, (lo, hi) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True))
                         if hi > lo
                     ]
-                    yield pa.RecordBatch.from_pylist(rows, schema=_ASK)
+                    yield pa.RecordBatch.from_pylist(rows, schema=ASK)
 
     return run
 
 
-def _sums(table: pa.Table) -> pa.Table:
-    """Totals of a bucket's keys, given back to each block in the order asked; and what the bucket holds in all, once."""
-    keys = [unzipped_sorted(k) for k in table.column("keys").to_pylist()]
-    n = np.concatenate([unzipped(x, np.uint32) for x in table.column("n").to_pylist()])
-    known, back = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.bincount(back, weights=n, minlength=len(known)).astype(np.int64)
-    ends = np.cumsum([len(k) for k in keys])
-    given = [zipped(total[back[e - len(k) : e]]) for k, e in zip(keys, ends, strict=True)]
-    once = [0] * (len(keys) - 1)
-    stats = [pa.array([int(x), *once], pa.int64()) for x in (total.sum(), (total > 0).sum())]
-    return pa.table([table.column("kind"), table.column("bucket"), table.column("block"), pa.array(given, pa.binary()), *stats], ["kind", "bucket", "block", "totals", "tokens", "types"])
-
-
 def _scores(buckets: int, n_tokens: int, n_types: int, strength: float):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
@@ -199,9 +164,9 @@ def score(docs: DataFrame, strength: float = STRENGTH) -> DataFrame:
     chars = own.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = max(16, int(chars) // BUCKET_CHARS)
     blocks = _store.written(own.mapInArrow(_blocks, _BLOCK_SQL), "lm-blocks")
-    asked = blocks.select("block", "held", "counts", "keys", "tokens").mapInArrow(_requests(buckets), "kind int, bucket long, block long, keys binary, n binary")
-    sums = asked.groupBy("kind", "bucket").applyInArrow(_sums, "kind int, bucket long, block long, totals binary, tokens long, types long")
-    answers = _store.written(sums, "lm-counts")
+    asked = blocks.select("block", "held", "counts", "keys", "tokens").mapInArrow(_requests(buckets), ASK_SQL)
+    totals = asked.groupBy("kind", "bucket").applyInArrow(sums, TOTALS_SQL)
+    answers = _store.written(totals, "lm-counts")
     size = answers.filter("kind = 0").agg(F.sum("tokens").alias("tokens"), F.sum("types").alias("types")).first()
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return blocks.groupBy("block").cogroup(answers.select("kind", "bucket", "block", "totals").groupBy("block")).applyInArrow(_scores(buckets, size["tokens"] or 0, size["types"] or 0, strength), schema)
