@@ -8,7 +8,7 @@ probability of about 2**-57 at worst.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -123,6 +123,18 @@ def split(texts: pa.Array, table: Alphabet) -> Words:
     return Words(data, inside, starts, ends, np.diff(np.searchsorted(starts, offsets)))
 
 
+def lower_ascii(words: Words) -> Words:
+    """The words with A-Z lower-cased in those that are pure ASCII; others keep their bytes."""
+    data = WORDS_LOWER.value[words.data]
+    high = np.concatenate(([0], np.cumsum(words.data > 0x7F)))
+    mixed = np.flatnonzero(high[words.ends] > high[words.starts])
+    sizes = words.ends[mixed] - words.starts[mixed]
+    ends = np.cumsum(sizes)
+    at = np.arange(int(sizes.sum())) + np.repeat(words.starts[mixed] - (ends - sizes), sizes)
+    data[at] = words.data[at]
+    return replace(words, data=data)
+
+
 def slices(batch: pa.RecordBatch | pa.Table, column: str, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Consecutive rows with about `size` bytes of the column's text at most, at least one row each."""
     lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)

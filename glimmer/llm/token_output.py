@@ -103,9 +103,11 @@ class Encoder:
         if not self.by_word:
             all_ids = [e.ids for e in self.tokenizer.encode_batch_fast(pc.fill_null(texts, "").to_pylist(), add_special_tokens=False)]
             return np.fromiter((x for ids in all_ids for x in ids), np.uint32), np.fromiter(map(len, all_ids), np.int64, len(all_ids))
-        # the tokenizer lower-cases too, unless its special tokens may be meant
-        special = pc.any(pc.match_substring(pc.fill_null(texts, ""), "<|")).as_py()
-        words = _text.split(texts, _text.WORDS if special or not self.lowers else _text.WORDS_LOWER)
+        words = _text.split(texts, _text.WORDS)
+        # the tokenizer lower-cases too, unless its special tokens may be meant; it composes letters first, so that
+        # words with any other than ASCII stay as they are
+        if self.lowers and not pc.any(pc.match_substring(pc.fill_null(texts, ""), "<|")).as_py():
+            words = _text.lower_ascii(words)
         h = np.maximum(words.hashes(), np.uint64(1))
         slot = (h & np.uint64(self.SLOTS - 1)).astype(np.int64)
         start, n = self.at[slot].astype(np.int64), self.size[slot].astype(np.int64)
