@@ -374,6 +374,11 @@ def _parts(n, shingles):
     return F.ceil(F.greatest(n / LIMIT, shingles / LIMIT_SHINGLES)).cast("int")
 
 
+def _same_nodes():
+    """x, y: aggregates that groups of equal nodes share. No arithmetic, as that may leave the range of long."""
+    return [F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")]
+
+
 def _links(docs: DataFrame, found: DataFrame) -> DataFrame | None:
     """Components (node, component) of the nodes with a link to a different set."""
     chosen = found.filter("near").groupBy("node").agg(F.min(F.struct("doc_id", "tag")).alias("c")).select(F.col("c.doc_id").alias("id"), F.col("c.tag").alias("t"))
@@ -398,8 +403,7 @@ def _links(docs: DataFrame, found: DataFrame) -> DataFrame | None:
         F.max("component").alias("high"),
         F.first("members").alias("members"),
         F.first("size").alias("size"),
-        F.bit_xor(F.xxhash64("node")).alias("x"),
-        F.bit_xor(F.hash("node", F.lit(1)).cast("long") * 4294967311 + F.hash("node", F.lit(2))).alias("y"),
+        *_same_nodes(),
     )
     left = groups.filter("low <> high").groupBy("members", "size", "x", "y").agg(F.min("key").alias("key"))
     open_rows = _store.written(labelled.drop("members", "size").join(left.select("key", "members", "size"), "key"), "near-open")
