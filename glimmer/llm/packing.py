@@ -5,9 +5,10 @@ kept as they are, longer ones are rounded up within 1/256. A dynamic programme o
 upper lengths that leave the least padding in total. A text goes to the first bucket that holds it, is padded to the
 bucket's length, and batches take `budget // length` texts (at least one) in the order of doc_id.
 
-Places in a bucket are counted in blocks of consecutive doc_ids: each block by itself, then the blocks' totals are
-summed, so that no task holds a bucket. Null and empty texts have the end token alone. Null doc_ids come first; rows
-that share a doc_id are ordered by length. Repeated rows are packed each. Empty tables give no rows.
+Places in a bucket are counted in ranges of rows by doc_id and length: each range by itself, then the ranges' totals,
+as many as partitions and buckets, are summed, so that no task holds a bucket. Rows alike in both are dealt over ranges
+by a hash of their number, as their places can be exchanged. Null and empty texts have the end token alone. Null doc_ids
+come first; rows that share a doc_id are ordered by length. Repeated rows are packed each. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -16,9 +17,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import _store
+
 EXACT = 1024
 STEPS = 256
-BLOCK = 512
 
 
 def n_tokens(text: str = "text") -> Column:
@@ -63,18 +65,25 @@ def boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[in
     return sorted(set(out))
 
 
+def ranges(sized: DataFrame) -> DataFrame:
+    """The rows of sized (doc_id, n_tokens) and their range, which ascends by both; written, as ranges are drawn from samples."""
+    dealt = sized.withColumn("tie", F.xxhash64(F.monotonically_increasing_id())).repartitionByRange("doc_id", "n_tokens", "tie")
+    return _store.written(dealt.select("doc_id", "n_tokens", F.spark_partition_id().alias("range")), "packing-ranges")
+
+
 def pack(docs: DataFrame, buckets: int = 8, budget: int = 16_384) -> DataFrame:
     """doc_id, n_tokens, bucket, bucket_tokens, batch (number in its bucket), slot, padding: a row for each row of docs."""
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), n_tokens().alias("n_tokens"))
+    # written, so that lengths are counted once and rows keep their numbers
+    sized = _store.written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), n_tokens().alias("n_tokens")), "packing-lengths")
     histogram = sized.groupBy(rounded(F.col("n_tokens")).alias("length")).agg(F.count("*").alias("n")).toPandas()
     bounds = boundaries(histogram["length"].to_numpy(), histogram["n"].to_numpy(), buckets) or [1]
     bucket = sum(((F.col("n_tokens") > b).cast("int") for b in bounds[:-1]), F.lit(0))
-    rows = sized.withColumn("bucket", bucket).withColumn("block", F.floor(F.col("doc_id") / BLOCK))
-    in_block = Window.partitionBy("bucket", "block").orderBy("doc_id", "n_tokens")
-    before = Window.partitionBy("bucket").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = rows.groupBy("bucket", "block").agg(F.count("*").alias("n")).select(F.col("bucket").alias("b"), F.col("block").alias("k"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    ranked = rows.withColumn("at", F.row_number().over(in_block) - 1)
-    placed = ranked.join(offsets, (F.col("bucket") == F.col("b")) & F.col("block").eqNullSafe(F.col("k")))
+    rows = ranges(sized).withColumn("bucket", bucket)
+    in_range = Window.partitionBy("bucket", "range").orderBy("doc_id", "n_tokens")
+    before = Window.partitionBy("bucket").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = rows.groupBy("bucket", "range").agg(F.count("*").alias("n")).select(F.col("bucket").alias("b"), F.col("range").alias("k"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    ranked = rows.withColumn("at", F.row_number().over(in_range) - 1)
+    placed = ranked.join(F.broadcast(offsets), (F.col("bucket") == F.col("b")) & (F.col("range") == F.col("k")))
     length = F.element_at(F.array(*[F.lit(int(b)).cast("long") for b in bounds]), F.col("bucket") + 1)
     per, place = F.greatest(F.lit(1).cast("long"), F.floor(budget / length)), F.col("offset") + F.col("at")
     return placed.select(
