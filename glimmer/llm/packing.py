@@ -1,8 +1,9 @@
 """Batches of similar length with the least padding.
 
-The histogram of all lengths is counted on Spark and is small however many texts there are: lengths up to `EXACT` are
-kept as they are, longer ones are rounded up within 1/256. A dynamic programme over it picks the at most `buckets`
-upper lengths that leave the least padding in total. A text goes to the first bucket that holds it, is padded to the
+The histogram of all lengths is counted on Spark. It has a row for each distinct length, of which t tokens allow at most
+sqrt(2 t). A dynamic programme over it, in whole numbers, picks the at most `buckets` upper lengths that leave the least
+padding in total. A length is the number of words and one end token, unless `tokens` names a column with the lengths, end
+tokens included, that a tokenizer gave. A text goes to the first bucket that holds it, is padded to the
 bucket's length, and batches take `budget // length` texts (at least one) in the order of doc_id.
 
 Places in a bucket are counted in ranges of rows by doc_id and length: each range by itself, then the ranges' totals,
@@ -13,15 +14,14 @@ come first; rows that share a doc_id are ordered by length. Repeated rows are pa
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _store
 
-EXACT = 1024
-STEPS = 256
-
 
 def n_tokens(text: str = "text") -> Column:
     """Words of a text, and one end token."""
@@ -29,39 +29,39 @@ def n_tokens(text: str = "text") -> Column:
     return (F.size(F.array_remove(F.split(spaced, " "), "")) + 1).cast("long")
 
 
-def rounded(n: Column) -> Column:
-    """The length, or beyond EXACT the next multiple of 1/STEPS of the power of two below it."""
-    step = F.greatest(F.lit(1.0), F.pow(F.lit(2.0), F.floor(F.log2(n.cast("double")))) / STEPS)
-    return F.when(n <= EXACT, n).otherwise((F.ceil(n / step) * step).cast("long"))
-
-
 def boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[int]:
     """Upper lengths of at most `buckets` buckets with the least sum of (upper length - length) over all texts."""
     order = np.argsort(lengths)
-    lengths, counts = lengths[order].astype(np.float64), counts[order].astype(np.float64)
+    lengths, counts = [int(x) for x in lengths[order]], [int(x) for x in counts[order]]
     n = len(lengths)
     if n <= buckets:
-        return lengths.astype(int).tolist()
-    upto = np.concatenate(([0.0], np.cumsum(counts)))
-    best = np.concatenate(([0.0], lengths * upto[1:]))  # of the first j lengths in one bucket; padded tokens in all
-    best[0] = 0.0
+        return lengths
+    upto = [0, *accumulate(counts)]
+    best = [0, *(x * c for x, c in zip(lengths, upto[1:], strict=True))]  # of the first j lengths in one bucket; padded tokens in all
     picks = []
     for _ in range(1, buckets):
-        new, pick = best.copy(), np.zeros(n + 1, int)
+        # for each j the least best[i] - lengths[j - 1] * upto[i] over i < j: lines of falling slope, asked from left to right
+        new, pick, hull, at = best.copy(), [0] * (n + 1), [], 0
         for j in range(1, n + 1):
-            cost = best[:j] + lengths[j - 1] * (upto[j] - upto[:j])
-            pick[j] = int(np.argmin(cost))
-            new[j] = cost[pick[j]]
+            i = j - 1
+            while len(hull) > 1 and (best[i] - best[hull[-2]]) * (upto[hull[-1]] - upto[hull[-2]]) <= (best[hull[-1]] - best[hull[-2]]) * (upto[i] - upto[hull[-2]]):
+                hull.pop()
+            hull.append(i)
+            at, x = min(at, len(hull) - 1), lengths[j - 1]
+            while at + 1 < len(hull) and best[hull[at + 1]] - x * upto[hull[at + 1]] < best[hull[at]] - x * upto[hull[at]]:
+                at += 1
+            pick[j] = hull[at]
+            new[j] = best[hull[at]] + x * (upto[j] - upto[hull[at]])
         best = new
         picks.append(pick)
     out, j = [], n
     for pick in reversed(picks):
         if j == 0:
             break
-        out.append(int(lengths[j - 1]))
-        j = int(pick[j])
+        out.append(lengths[j - 1])
+        j = pick[j]
     if j:
-        out.append(int(lengths[j - 1]))
+        out.append(lengths[j - 1])
     return sorted(set(out))
 
 
@@ -71,11 +71,12 @@ def ranges(sized: DataFrame) -> DataFrame:
     return _store.written(dealt.select("doc_id", "n_tokens", F.spark_partition_id().alias("range")), "packing-ranges")
 
 
-def pack(docs: DataFrame, buckets: int = 8, budget: int = 16_384) -> DataFrame:
+def pack(docs: DataFrame, buckets: int = 8, budget: int = 16_384, tokens: str | None = None) -> DataFrame:
     """doc_id, n_tokens, bucket, bucket_tokens, batch (number in its bucket), slot, padding: a row for each row of docs."""
+    length = F.greatest(F.lit(1).cast("long"), F.col(tokens).cast("long")) if tokens else n_tokens()
     # written, so that lengths are counted once and rows keep their numbers
-    sized = _store.written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), n_tokens().alias("n_tokens")), "packing-lengths")
-    histogram = sized.groupBy(rounded(F.col("n_tokens")).alias("length")).agg(F.count("*").alias("n")).toPandas()
+    sized = _store.written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), length.alias("n_tokens")), "packing-lengths")
+    histogram = sized.groupBy(F.col("n_tokens").alias("length")).agg(F.count("*").alias("n")).toPandas()
     bounds = boundaries(histogram["length"].to_numpy(), histogram["n"].to_numpy(), buckets) or [1]
     bucket = sum(((F.col("n_tokens") > b).cast("int") for b in bounds[:-1]), F.lit(0))
     rows = ranges(sized).withColumn("bucket", bucket)
