@@ -3,7 +3,7 @@
 Evidence of a document: logistic regressions on its distinct words (hashed to 2**18 features) and on a few shapes of
 its text (shares of capitals and symbols, mean word length); one for quality, one for toxicity, whose probabilities of
 "good" are multiplied. They are fitted on at most `fit_rows` labelled documents, those with the smallest hashes of their
-doc_id, and on the at most `MOST` features whose counts differ most significantly between the classes.
+doc_id (rows alike in doc_id and text are one document, with their number as weight), and on the at most `MOST` features whose counts differ most significantly between the classes.
 
 Sites: a host's mean quality is shrunk toward the global mean, a path's (here host and language) toward its host's.
 Labelled documents enter with their label, others with the classifier's probability. Strengths of both priors come
@@ -70,10 +70,11 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in _text.slices(batch, "text"):
             owner, feature = _features(part.column("text"))
-            total[0] += np.bincount(feature, minlength=FEATURES)
+            weight = part.column("weight").to_numpy(zero_copy_only=False)[owner]
+            total[0] += np.bincount(feature, weights=weight, minlength=FEATURES).astype(np.int64)
             for k, name in enumerate(_CLASSES, 1):
                 y = part.column(name).to_numpy(zero_copy_only=False)
-                total[k] += np.bincount(feature[y[owner] == 1], minlength=FEATURES)
+                total[k] += np.bincount(feature[y[owner] == 1], weights=weight[y[owner] == 1], minlength=FEATURES).astype(np.int64)
     at = np.flatnonzero(total[0])
     yield pa.RecordBatch.from_arrays([pa.array(at), *[pa.array(x[at]) for x in total]], ["feature", "n", *_CLASSES])
 
@@ -84,13 +85,14 @@ def labelled(labels: DataFrame) -> DataFrame:
     return labels.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("id")).agg(*worst)
 
 
-def _regression(owner: np.ndarray, feature: np.ndarray, y: np.ndarray, width: int) -> tuple[np.ndarray, float]:
+def _regression(owner: np.ndarray, feature: np.ndarray, y: np.ndarray, weight: np.ndarray, width: int) -> tuple[np.ndarray, float]:
     """Coefficients and intercept of a ridge logistic regression on binary features, by Adam on all rows."""
-    w, bias, n = np.zeros(width), float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1))), len(y)
+    good, n = (y * weight).sum(), weight.sum()
+    w, bias = np.zeros(width), float(np.log((good + 1) / (n - good + 1)))
     m, v = np.zeros(width + 1), np.zeros(width + 1)
     for t in range(1, STEPS + 1):
-        z = np.bincount(owner, weights=w[feature], minlength=n) + bias
-        off = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y
+        z = np.bincount(owner, weights=w[feature], minlength=len(y)) + bias
+        off = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * weight
         g = np.append(np.bincount(feature, weights=off[owner], minlength=width) + RIDGE * w, off.sum()) / n
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         step = 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
@@ -98,13 +100,23 @@ def _regression(owner: np.ndarray, feature: np.ndarray, y: np.ndarray, width: in
     return w, float(bias)
 
 
+def sample(docs: DataFrame, labels: DataFrame, fit_rows: int) -> DataFrame:
+    """At most fit_rows rows (id, h, quality, toxic, weight, text), in the order of hashes; weight: the rows of docs alike in id and text."""
+    ids = labelled(labels).orderBy(F.xxhash64("id"), "id").limit(fit_rows)  # the bound that allows the broadcast
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
+    alike = texts.join(F.broadcast(ids), "id").groupBy("id", "h", *_CLASSES)
+    own = _store.written(alike.agg(F.count("*").alias("weight"), F.min("text").alias("text")), "quality-sample")
+    if own.count() <= fit_rows:
+        return own
+    first = own.select("id", "h").orderBy(F.xxhash64("id"), "id", "h").limit(fit_rows)
+    return _store.written(own.join(F.broadcast(first), ["id", "h"], "left_semi"), "quality-sample")
+
+
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> list[tuple[np.ndarray, float]]:
     """Weights of all features and the intercept, for the log-odds of quality 1 and of toxic 0."""
-    sample = labelled(labels).orderBy(F.xxhash64("id"), "id").limit(fit_rows)  # the bound that allows the broadcast
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    own = _store.written(texts.join(F.broadcast(sample), "id").select("id", *_CLASSES, "text"), "quality-sample")
+    own = sample(docs, labels, fit_rows)
     counts = own.mapInArrow(_counts, "feature long, n long, quality long, toxic long").groupBy("feature").agg(*[F.sum(c).alias(c) for c in ("n", *_CLASSES)]).toPandas()
-    classes = own.groupBy(*_CLASSES).count().toPandas()
+    classes = own.groupBy(*_CLASSES).agg(F.sum("weight").alias("count")).toPandas()
     total = float(classes["count"].sum())
     picked = {}
     for name in _CLASSES:
@@ -122,10 +134,10 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> list[tu
                 own = np.isin(feature, wanted)
                 ends = np.searchsorted(owner[own], np.arange(part.num_rows + 1))
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(feature[own], pa.int32()))
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in _CLASSES], lists], [*_CLASSES, "features"])
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in (*_CLASSES, "weight")], lists], [*_CLASSES, "weight", "features"])
 
     # at most fit_rows rows of at most 2 * MOST numbers; in a fixed order, so that runs agree to the last digit
-    rows = own.orderBy("id").mapInArrow(kept, "quality int, toxic int, features array<int>").toPandas() if total else None
+    rows = own.orderBy("id", "h").mapInArrow(kept, "quality int, toxic int, weight long, features array<int>").toPandas() if total else None
     out = []
     for name in _CLASSES:
         weights, bias, chosen = np.zeros(FEATURES), 0.0 if name == "quality" else 30.0, picked[name]
@@ -136,7 +148,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> list[tu
             at = np.searchsorted(chosen, feature)
             own = (at < len(chosen)) & (chosen[np.minimum(at, len(chosen) - 1)] == feature) if len(chosen) else np.zeros(len(feature), bool)
             y = rows[name].to_numpy(np.float64)
-            weights[chosen], bias = _regression(owner[own], at[own], y if name == "quality" else 1 - y, len(chosen))
+            weights[chosen], bias = _regression(owner[own], at[own], y if name == "quality" else 1 - y, rows["weight"].to_numpy(np.float64), len(chosen))
         out.append((weights, bias))
     return out
 
