@@ -2,45 +2,94 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glimmer.operators.sequences import best_row
 from glimmer.operators.vectors import cosine_distance
+from glimmer.shipping import ship
+from glimmer.store import removed, written
 
+#: Edges that one task finishes, at most; more of them are contracted by shuffles first.
+FEW = 1 << 20
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, written to spark.checkpoint.dir and read again; a local folder only where that is unset, as in tests."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='glimmer-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/rounds-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
 
+def _roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """For each of n places the smallest one that the links (a, b) lead to."""
+    root = np.arange(n)
+    while True:
+        x, y = root[a], root[b]
+        apart = x != y
+        if not apart.any():
+            return root
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while not (root[root] == root).all():
+            root = root[root]
+
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (a, the smallest b that links lead to), for each FEW links of a partition."""
+    held: list[pa.RecordBatch] = []
+
+    def close() -> pa.RecordBatch:
+        links = pa.Table.from_batches(held)
+        ids, at = np.unique(np.concatenate([links.column(c).to_numpy() for c in "ab"]), return_inverse=True)
+        root = _roots(at[: links.num_rows], at[links.num_rows :], len(ids))
+        low = np.flatnonzero(root != np.arange(len(ids)))
+        return pa.RecordBatch.from_arrays([pa.array(ids[x], links.schema.field(0).type) for x in (low, root[low])], ["a", "b"])
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+        if sum(x.num_rows for x in held) >= FEW:
+            yield close()
+            held = []
+    if held:
+        yield close()
+
+
+def linked(edges: DataFrame) -> DataFrame:
+    """(id, component: the smallest id reachable) of the nodes of edges (a, b), in either direction, written.
+
+    Edges are contracted to stars: each partition's by themselves, then by rounds of linking each node's larger
+    neighbours (large stars) and its smaller ones (small stars) to the smallest neighbour, which lose no connection. Their
+    number falls from round to round; once at most FEW are left, one task ends the work. Only counts come to the driver.
+    """
+    ship(edges.sparkSession)
+    kinds = dict(edges.select("a", "b").dtypes)
+    shape = f"a {kinds['a']}, b {kinds['b']}"
+    down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b")
+    links = written(down.mapInArrow(_stars, shape).distinct(), "links")
+    n, before = links.count(), None
+    while n > FEW:
+        low = links.union(links.select("b", "a")).groupBy(F.col("a").alias("u")).agg(F.least(F.first("a"), F.min("b")).alias("low"))
+        large = written(links.join(low, F.col("b") == F.col("u")).select("a", F.col("low").alias("b")).mapInArrow(_stars, shape).distinct(), "links")
+        low = large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("low"))
+        joined = large.join(low, F.col("a") == F.col("u"))
+        small = joined.filter("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b")).union(joined.select("a", F.col("low").alias("b")))
+        small = written(small.distinct(), "links")
+        removed(links, large)
+        links, last = small, before
+        n, *before = small.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.hash("a", "b").cast("long"))).first()
+        if before == last:
+            break  # stars already
+    else:
+        links = links.coalesce(1).mapInArrow(_stars, shape)
+    labels = links.select(F.col("a").alias("id"), F.col("b").alias("component"))
+    labels = written(labels.union(labels.select("component", "component").distinct()), "components")
+    return labels
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, component: the smallest id reachable) of nodes (id) under edges (a, b), in either direction.
 
-    Rounds of taking the smallest label among neighbours and of following labels; their number grows with the logarithm
-    of a component's width. Nothing but the count of changes comes to the driver.
-    """
-    both = cut(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    labels = cut(nodes.select("id", F.col("id").alias("component")).distinct())
-    while True:
-        low = both.join(labels, F.col("b") == F.col("id")).groupBy("a").agg(F.min("component").alias("low"))
-        lower = labels.join(low, F.col("id") == F.col("a"), "left").select("id", F.col("component").alias("old"), F.least("component", F.coalesce("low", "component")).alias("mid"))
-        jump = labels.select(F.col("id").alias("to"), F.col("component").alias("further"))
-        moved = cut(lower.join(jump, F.col("mid") == F.col("to"), "left").select("id", "old", F.least("mid", F.coalesce("further", "mid")).alias("component")))
-        labels = moved.select("id", "component")
-        if not moved.filter("old <> component").limit(1).count():
-            return labels
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, component: the smallest id reachable) of nodes (id) under edges (a, b), in either direction."""
+    found = linked(edges).withColumnRenamed("id", "linked")
+    return nodes.select("id").distinct().join(found, F.col("id") == F.col("linked"), "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
 def density_clusters(nodes: DataFrame, pairs: DataFrame, min_points: int = 1) -> DataFrame:

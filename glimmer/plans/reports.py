@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from glimmer.functions.predicates import visible
 from glimmer.functions.scalars import crop_square, fits_quota, fraction, iso6709, rotation, sharpness, sprite_frames, title_of
-from glimmer.operators.clustering import cut, cut_vertices, density_clusters
+from glimmer.operators.clustering import cut_vertices, density_clusters
 from glimmer.operators.sequences import best_row, top_per_group
 from glimmer.operators.sync import merge_target, restored_names
 from glimmer.operators.vectors import centroids, confidence, similar_pairs
 from glimmer.plans.moments import cover, featured
 from glimmer.plans.registry import query
 from glimmer.plans.similarity import _COMPONENTS, _COS, EPSILON
+from glimmer.store import written
 
 
 def _assets(t):
@@ -104,7 +105,7 @@ walk AS (SELECT lost, s, s AS r FROM rest UNION SELECT lost, s, b FROM walk JOIN
 low AS (SELECT lost, s, min(r) AS part FROM walk GROUP BY 1, 2) SELECT lost AS id, count(DISTINCT part)::BIGINT AS parts FROM low GROUP BY 1 HAVING count(DISTINCT part) > 1""")
 def articulation_points(t):
     rows = t("embeddings")
-    pairs = cut(similar_pairs(rows, "vec_id", "embedding", EPSILON))
+    pairs = written(similar_pairs(rows, "vec_id", "embedding", EPSILON), "pairs")
     labels = density_clusters(rows.select(F.col("vec_id").alias("id")), pairs)
     return cut_vertices(pairs.join(labels, F.col("a") == F.col("id")).select(F.col("cluster").alias("component"), "a", "b")).select("id", "parts")
 
@@ -125,7 +126,7 @@ named AS (SELECT c.vec_id, CASE WHEN anchor IS NOT NULL THEN 'anchor ' || anchor
 def face_pipeline(t):
     """Faces near an anchored person go to it, the others are people by their clusters."""
     rows = t("embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    pairs = cut(similar_pairs(rows, "id", "embedding", EPSILON))
+    pairs = written(similar_pairs(rows, "id", "embedding", EPSILON), "pairs")
     clusters = density_clusters(rows, pairs)
     both = pairs.filter("distance <= 0.55").select("a", "b", "distance").unionByName(pairs.filter("distance <= 0.55").select(F.col("b").alias("a"), F.col("a").alias("b"), "distance"))
     near = both.filter("b % 100 = 0").unionByName(rows.filter("id % 100 = 0").select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0.0).alias("distance")))

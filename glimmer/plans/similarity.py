@@ -6,10 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from glimmer.functions.scalars import cover_score, display_score, document_verdict, face_quality, similarity_of
-from glimmer.operators.clustering import components, cut, density_clusters, representatives
+from glimmer.operators.clustering import components, density_clusters, representatives
 from glimmer.operators.sequences import score_cut
 from glimmer.operators.sync import ordered_union
 from glimmer.operators.vectors import centroids, confidence, cosine_distance, l2, linear_head, merge_suggestions, nearest_each, norm, prompt_margin, similar_pairs
+from glimmer.store import written
 from glimmer.plans.registry import query
 
 EPSILON = 0.62
@@ -188,7 +189,7 @@ def nearest_neighbor_distance(t):
     "SELECT * FROM (" + _COMPONENTS.format(e=e) + f" SELECT {e}::DOUBLE AS epsilon, count(DISTINCT cluster)::BIGINT AS clusters, max(n)::BIGINT AS largest, round(avg(pure), 6) AS purity FROM (SELECT cluster, count(*) AS n, max(k) * 1.0 / count(*) AS pure FROM (SELECT cluster, label, count(*) OVER (PARTITION BY cluster, label) AS k FROM c JOIN v USING (vec_id)) GROUP BY 1))" for e in (0.6, 0.64)))
 def sweep_eval(t):
     rows = t("embeddings")
-    pairs = cut(similar_pairs(rows, "vec_id", "embedding", 0.64))  # the widest radius has the pairs of all
+    pairs = written(similar_pairs(rows, "vec_id", "embedding", 0.64), "pairs")  # the widest radius has the pairs of all
     out = None
     for e in (0.6, 0.64):
         labels = components(rows.select(F.col("vec_id").alias("id")), pairs.filter(F.col("distance") <= e)).join(rows.select(F.col("vec_id").alias("id"), "label"), "id")
