@@ -1,13 +1,13 @@
-"""Tables that an operator writes midway, in the folder which all executors share."""
+"""Tables that an operator writes midway, names that no caller's column has, and small batches for Python."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from glimmer.shipping import ship
+from glimmer.store import removed, shared_folder, written
+
+__all__ = ["names", "removed", "shared_folder", "small_batches", "written"]
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -17,25 +17,12 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set(key, str(min(1000, int(spark.conf.get(key)))))
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path under spark.checkpoint.dir; only where that is unset, as in tests, under a temporary folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='glimmer-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-    """The rows of df, written as Parquet and read again: lineage ends there, and lost executors cost no rerun."""
-    path = shared_folder(df.sparkSession, name)
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def removed(spark: SparkSession, path: str) -> None:
-    """Deletes a written table that is needed no more."""
-    jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+def names(df: DataFrame, *wanted: str) -> list[str]:
+    """The wanted column names, each with so many underscores that df has no such column, whatever the case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out

@@ -2,11 +2,11 @@
 
 A document's set holds its distinct shingles of `SHINGLE` words (A-Z lower-cased; fewer words are one shingle; no words
 are none, linked with nothing). Two documents are linked when 100 * intersection >= 80 * union. Shingles are 64-bit
-hashes, sets are told apart by a 64-bit hash of their shingles and their size; documents with equal sets are one node.
+hashes, sets are told apart by 128 bits of hashes of their shingles; documents with equal sets are one node.
 
 1. A filter without false negatives finds nodes that can have a link: of each set's smallest hashes, so many are looked
-   up that two linked documents share at least a fixed number of them. Blocks of documents send each hash once to its bucket,
-   packed, and learn which ones another document has too. Most documents end here; their texts never shuffle.
+   up that two linked documents share at least a fixed number of them. Blocks of documents ask for the totals of their
+   hashes (`_packed`) and learn which ones another document has too. Most documents end here; their texts never shuffle.
 2. How many of these sets have each shingle is counted in the same packed way. The global order is rare shingles first:
    a linked pair shares one of the first `n - ceil(0.8 n) + 1` shingles of both, and a set with that many shingles of
    its own ends here. Groups of a shingle's sets go into a prefix tree: sets with the same beginning share their overlaps
@@ -32,29 +32,33 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glimmer.operators.clustering import linked
+
 from . import _store, _text
-from ._packed import ASK, ASK_SQL, TOTALS_SQL, sums, unzipped, unzipped_sorted, zipped, zipped_sorted
+from ._packed import ASK_SQL, asked, fan_bits, spans, totals, unzipped, unzipped_sorted, zipped, zipped_sorted
 
 SHINGLE = 5
 BLOCK_TOKENS = 1 << 19
-BUCKET_CHARS = 4 << 20
-BUCKET_SHINGLES = 1 << 19
 #: Sets and shingles that one prefix tree holds at most, about.
 LIMIT, LIMIT_SHINGLES = 2000, 1_000_000
+#: Bits of a shingle's hash below the six of its grade, in the global order.
+CODE_BITS = np.uint64(58)
+
+
 def least_overlap(n):
     """ceil(0.8 n): what a set of n shares at least with each linked one."""
     return -(-4 * n // 5)
 
 
 def sets_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct shingle hashes (below 2**63) of each text, one after the other, and their numbers."""
+    """Sorted distinct shingle hashes of each text, one after the other, and their numbers."""
     w = _text.split(texts, _text.WORDS_LOWER)
     h, firsts, n = w.hashes(), w.firsts, len(w.counts)
     owner = np.repeat(np.arange(n), w.counts)
     room = firsts[1:][owner] - np.arange(len(h))
     at = np.flatnonzero(room >= SHINGLE)
     short = np.flatnonzero((w.counts > 0) & (w.counts < SHINGLE))
-    value = np.concatenate([_text.spans_hash(h, at, at + SHINGLE), _text.spans_hash(h, firsts[short], firsts[short + 1])]) >> np.uint64(1)
+    value = np.concatenate([_text.spans_hash(h, at, at + SHINGLE), _text.spans_hash(h, firsts[short], firsts[short + 1])])
     owner = np.concatenate([owner[at], short])
     order = np.lexsort((value, owner))
     value, owner = value[order], owner[order]
@@ -63,96 +67,89 @@ def sets_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return value[new], np.bincount(owner[new], minlength=n)
 
 
-def _nodes(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """A hash of each set."""
+def _nodes(values: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    """Two hashes of each set."""
     ends = np.cumsum(sizes)
-    return _text.spans_hash(_text.mix(values), ends - sizes, ends).view(np.int64)
+    return [_text.spans_hash(_text.mix(values ^ np.uint64(seed)), ends - sizes, ends).view(np.int64) for seed in (0, 0x5851F42D4C957F2D)]
+
 
+_LISTS = ("doc_id", "tag", "x", "y", "n")
+_BLOCK = pa.schema([("block", pa.int64()), ("size", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary()), ("owners", pa.binary()), ("places", pa.binary()), *[(c, pa.list_(pa.int64())) for c in _LISTS]])
+_BLOCK_SQL = "block long, size long, keys binary, counts binary, owners binary, places binary, " + ", ".join(f"{c} array<long>" for c in _LISTS)
 
-_ASK = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("keys", pa.binary()), ("owners", pa.binary()), *[(c, pa.list_(pa.int64())) for c in ("doc_id", "tag", "node", "n", "met")]])
-_ASK_SQL = "bucket long, block long, keys binary, owners binary, doc_id array<long>, tag array<long>, node array<long>, n array<long>, met array<long>"
 
+def _look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of documents: the sorted hashes to look up, how many documents have each, and which (owners, places of the hashes)."""
 
-def _ask(buckets: int):
-    def close(held: list, block: int) -> Iterator[pa.RecordBatch]:
+    def close(held: list, block: int) -> pa.RecordBatch:
         ids, tags = ([x for part in held for x in part[i]] for i in (0, 1))
         values, sizes = np.concatenate([p[2] for p in held]), np.concatenate([p[3] for p in held])
         ends = np.cumsum(sizes)
         place = np.arange(len(values)) - np.repeat(ends - sizes, sizes)
-        asked = sizes - least_overlap(sizes) + np.maximum(1, sizes // 5)
-        own = place < np.repeat(asked, sizes)
-        key, owner = values[own], np.repeat(np.arange(len(sizes)), sizes)[own]
-        order = np.argsort(key, kind="stable")
-        key, owner = key[order], owner[order]
-        new = np.ones(len(key), bool)
-        new[1:] = key[1:] != key[:-1]
-        many = np.diff(np.append(np.flatnonzero(new), len(key))) > 1
-        met = np.bincount(owner[many[np.cumsum(new) - 1]], minlength=len(sizes))  # shared within the block
-        key, owner = key[new], np.where(many, 0, owner[new] + 1)
-        yield pa.RecordBatch.from_pylist([{"bucket": block % buckets, "block": block, "doc_id": ids, "tag": tags, "node": _nodes(values, sizes).tolist(), "n": sizes.tolist(), "met": met.tolist()}], schema=_ASK)
-        bucket = (key % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        edges = np.searchsorted(bucket[order], np.arange(buckets + 1)).tolist()
-        rows = [{"bucket": b, "block": block, "keys": zipped_sorted(key[order[lo:hi]]), "owners": zipped(owner[order[lo:hi]].astype(np.uint32))} for b, (lo, hi) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if hi > lo]
-        yield pa.RecordBatch.from_pylist(rows, schema=_ASK)
+        wanted = sizes - least_overlap(sizes) + np.maximum(1, sizes // 5)
+        own = place < np.repeat(wanted, sizes)
+        keys, back, counts = np.unique(_text.mix(values[own]), return_inverse=True, return_counts=True)
+        owner = np.repeat(np.arange(len(sizes)), sizes)[own]
+        x, y = _nodes(values, sizes)
+        row = {"block": block, "size": len(keys), "keys": zipped_sorted(keys), "counts": zipped(counts.astype(np.uint32)), "owners": zipped(np.bincount(owner, minlength=len(sizes)).astype(np.uint32)), "places": zipped(back.astype(np.uint32))}
+        return pa.RecordBatch.from_pylist([row | {"doc_id": ids, "tag": tags, "x": x.tolist(), "y": y.tolist(), "n": sizes.tolist()}], schema=_BLOCK)
+
+    partition, seq, held, n = TaskContext.get().partitionId(), 0, [], 0
+    for batch in batches:
+        for part in _text.slices(batch, "text"):
+            values, sizes = sets_of(part.column("text"))
+            held.append((part.column("doc_id").to_pylist(), part.column("tag").to_pylist(), values, sizes))
+            n += len(values) + len(sizes)
+            if n >= BLOCK_TOKENS:
+                yield close(held, (partition << 32) + seq)
+                held, n, seq = [], 0, seq + 1
+    if held:
+        yield close(held, (partition << 32) + seq)
+
 
+def _ask(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        partition, seq, held, n = TaskContext.get().partitionId(), 0, [], 0
         for batch in batches:
-            for part in _text.slices(batch, "text"):
-                values, sizes = sets_of(part.column("text"))
-                held.append((part.column("doc_id").to_pylist(), part.column("tag").to_pylist(), values, sizes))
-                n += len(values) + len(sizes)
-                if n >= BLOCK_TOKENS:
-                    yield from close(held, (partition << 32) + seq)
-                    held, n, seq = [], 0, seq + 1
-        if held:
-            yield from close(held, (partition << 32) + seq)
+            for block, keys, counts in zip(*[batch.column(c).to_pylist() for c in ("block", "keys", "counts")], strict=True):
+                yield asked(block, unzipped_sorted(keys), unzipped(counts, np.uint32), bits)
 
     return run
 
 
-_MET = pa.schema([("block", pa.int64()), ("hits", pa.binary()), *[(c, pa.list_(pa.int64())) for c in ("doc_id", "tag", "node", "n", "met")]])
-_MET_SQL = "block long, hits binary, doc_id array<long>, tag array<long>, node array<long>, n array<long>, met array<long>"
+def _answered(keys: np.ndarray, right: pa.Table, bits: int) -> np.ndarray:
+    """Totals of a block's sorted hashes."""
+    given = dict(zip(right.column("path").to_pylist(), right.column("totals").to_pylist(), strict=True))
+    return np.concatenate([np.zeros(0, np.int64), *[unzipped(given[path], np.int64) for path, _, _ in spans(keys, bits)]])
 
 
-def _answer(table: pa.Table) -> pa.Table:
-    """Of each block's hashes, the documents whose hash another block has too; rows of documents pass."""
-    rows = table.to_pylist()
-    asks = [r for r in rows if r["keys"] is not None]
-    out = [{"block": r["block"], "hits": None, **{c: r[c] for c in ("doc_id", "tag", "node", "n", "met")}} for r in rows if r["keys"] is None]
-    if asks:
-        keys, owners = [unzipped_sorted(r["keys"]) for r in asks], [unzipped(r["owners"], np.uint32) for r in asks]
-        _, back, n = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
-        many, at = n[back] > 1, 0
-        for r, k, o in zip(asks, keys, owners, strict=True):
-            hit = o[many[at : at + len(k)] & (o > 0)]
-            at += len(k)
-            if len(hit):
-                out.append({"block": r["block"], "hits": zipped(hit)})
-    return pa.Table.from_pylist(out, schema=_MET)
+def _settle(bits: int):
+    """Whether each document of a block can have a link."""
 
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        for row in left.to_pylist():
+            total = _answered(unzipped_sorted(row["keys"]), right, bits)
+            n, owners = np.array(row["n"], np.int64), unzipped(row["owners"], np.uint32).astype(np.int64)
+            shared = np.concatenate(([0], np.cumsum(total[unzipped(row["places"], np.uint32)] > 1)))
+            ends = np.cumsum(owners)
+            near = (n > 0) & (shared[ends] - shared[ends - owners] >= np.maximum(1, least_overlap(n) // 5))
+            out.append(pa.table([*[pa.array(row[c], pa.int64()) for c in _LISTS], pa.array(near)], ["doc_id", "tag", "x", "y", "n_shingles", "near"]))
+        return pa.concat_tables(out)
 
-def _settle(table: pa.Table) -> pa.Table:
-    """Whether each document of a block can have a link."""
-    out, hits = [], [unzipped(x, np.uint32) for x in table.column("hits").to_pylist() if x is not None]
-    for row in table.to_pylist():
-        if row["doc_id"] is None:
-            continue
-        n = np.array(row["n"], np.int64)
-        met = np.array(row["met"], np.int64) + np.bincount(np.concatenate([np.zeros(0, np.uint32), *hits]), minlength=len(n) + 1)[1:]
-        near = (n > 0) & (met >= np.maximum(1, least_overlap(n) // 5))
-        out.append(pa.table([pa.array(row["doc_id"], pa.int64()), pa.array(row["tag"], pa.int64()), pa.array(row["node"], pa.int64()), pa.array(n), pa.array(near)], ["doc_id", "tag", "node", "n_shingles", "near"]))
-    return pa.concat_tables(out)
+    return run
 
 
 def _candidates(docs: DataFrame) -> DataFrame:
-    """doc_id, tag, node, n_shingles, near of each row of docs (doc_id, tag, text)."""
-    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    buckets = max(16, int(chars) // BUCKET_CHARS)
-    asked = docs.select("doc_id", "tag", "text").mapInArrow(_ask(buckets), _ASK_SQL)
-    met = asked.groupBy("bucket").applyInArrow(_answer, _MET_SQL)
-    return _store.written(met.groupBy("block").applyInArrow(_settle, "doc_id long, tag long, node long, n_shingles long, near boolean"), "near-candidates")
+    """doc_id, tag, x, y (the set's hashes), n_shingles, near of each row of docs (doc_id, tag, text)."""
+    blocks = _store.written(docs.select("doc_id", "tag", "text").mapInArrow(_look_up, _BLOCK_SQL), "near-blocks")
+    keys = blocks.agg(F.sum("size")).first()[0] or 0
+    bits = fan_bits(keys)
+    answers = totals(blocks.select("block", "keys", "counts").mapInArrow(_ask(bits), ASK_SQL), keys, bits)
+    asks = answers.select(F.col("child").alias("block"), "path", "totals").groupBy("block")
+    found = blocks.drop("size", "counts").groupBy("block").cogroup(asks).applyInArrow(_settle(bits), "doc_id long, tag long, x long, y long, n_shingles long, near boolean")
+    found = _store.written(found, "near-candidates")
+    _store.removed(blocks)
+    return found
 
 
 def _packed_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,7 +160,7 @@ def _packed_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ends = np.cumsum(sizes)
             packed = [zipped_sorted(values[e - n : e]) for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
             block = np.full(len(sizes), (partition << 32) + seq)
-            yield pa.RecordBatch.from_arrays([pa.array(block), pa.array(_nodes(values, sizes)), pa.array(sizes, pa.int64()), pa.array(packed, pa.binary())], ["block", "node", "n", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array(block), *map(pa.array, _nodes(values, sizes)), pa.array(sizes, pa.int64()), pa.array(packed, pa.binary())], ["block", "x", "y", "n", "shingles"])
             held += len(values)
             if held >= BLOCK_TOKENS:
                 held, seq = 0, seq + 1
@@ -172,50 +169,41 @@ def _packed_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _block_keys(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """The sets of a block, its distinct shingles, and how many of its nodes have each."""
     sets = [unzipped_sorted(x) for x in table.column("shingles").to_pylist()]
-    _, once = np.unique(table.column("node").to_numpy(), return_index=True)  # rows that are alike are one node
-    keys, n = np.unique(np.concatenate([sets[i] for i in once]), return_counts=True)
+    once = dict(zip(zip(table.column("x").to_pylist(), table.column("y").to_pylist(), strict=True), sets, strict=True))  # rows that are alike are one node
+    keys, n = np.unique(np.concatenate(list(once.values())), return_counts=True)
     return sets, keys, n
 
 
-def _ask_counts(buckets: int):
+def _ask_counts(bits: int):
     def run(table: pa.Table) -> pa.Table:
         _, keys, n = _block_keys(table)
-        bucket = (keys % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        edges = np.searchsorted(bucket[order], np.arange(buckets + 1)).tolist()
-        block = table.column("block")[0].as_py()
-        rows = [{"kind": 0, "bucket": b, "block": block, "keys": zipped_sorted(keys[order[lo:hi]]), "n": zipped(n[order[lo:hi]].astype(np.uint32))} for b, (lo, hi) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if hi > lo]
-        return pa.Table.from_pylist(rows, schema=ASK)
+        return pa.Table.from_batches([asked(table.column("block")[0].as_py(), keys, n, bits)])
 
     return run
 
 
-def _order_sets(buckets: int):
+def _order_sets(bits: int):
     """Sets in the global order, without the shingles that no other set has: those are only counted in n.
 
-    An order code has the class of a shingle's count (powers of two) above 60 bits of its hash. `first` says how many of
-    the codes belong to the set's prefix.
+    An order code has the class of a shingle's count (powers of two) above `CODE_BITS` bits of its hash. `first` says how
+    many of the codes belong to the set's prefix.
     """
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows:
-            return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.binary())], ["node", "n", "first", "codes"])
-        sets, keys, _ = _block_keys(left)
-        total, bucket = np.zeros(len(keys), np.int64), (keys % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        for b, x in zip(right.column("bucket").to_pylist(), right.column("totals"), strict=True):
-            total[order[edges[b] : edges[b + 1]]] = unzipped(x.as_py(), np.int64)
-        grade = np.minimum(np.ceil(np.log2(np.maximum(total, 1))), 15).astype(np.uint64)
-        codes = (grade << np.uint64(60)) | (keys >> np.uint64(3))
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
         out = []
-        for node, n, x in zip(left.column("node").to_pylist(), left.column("n").to_pylist(), sets, strict=True):
-            at = np.searchsorted(keys, x)
-            shared = np.sort(codes[at[total[at] > 1]])
-            first = n - least_overlap(n) + 1 - (n - len(shared))
-            if first > 0:
-                out.append((node, n, first, zipped_sorted(shared)))
-        return pa.table([pa.array([r[i] for r in out], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["node", "n", "first", "codes"])
+        if left.num_rows:
+            sets, keys, _ = _block_keys(left)
+            total = _answered(keys, right, bits)
+            grade = np.ceil(np.log2(np.maximum(total, 1))).astype(np.uint64)  # 63 at most
+            codes = (grade << CODE_BITS) | (keys >> np.uint64(5))
+            for x, y, n, values in zip(*[left.column(c).to_pylist() for c in ("x", "y", "n")], sets, strict=True):
+                at = np.searchsorted(keys, values)
+                shared = np.sort(codes[at[total[at] > 1]])
+                first = n - least_overlap(n) + 1 - (n - len(shared))
+                if first > 0:
+                    out.append((x, y, n, first, zipped_sorted(shared)))
+        return pa.table([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["x", "y", "n", "first", "codes"])
 
     return run
 
@@ -342,28 +330,12 @@ def _join(table: pa.Table) -> pa.Table:
                 out += [(nodes[i], nodes[j]) for j in tree.link(i)]
     # each linked set with the smallest one of its component here, so that components are near their smallest node
     place = {node: i for i, node in enumerate(nodes)}
-    linked = sorted({place[x] for pair in out for x in pair}, key=lambda i: nodes[i])
+    tied = sorted({place[x] for pair in out for x in pair}, key=lambda i: nodes[i])
     low: dict[int, int] = {}
-    ends = [(nodes[i], low.setdefault(tree.find(i), nodes[i])) for i in linked]
+    ends = [(nodes[i], low.setdefault(tree.find(i), nodes[i])) for i in tied]
     return pa.table([pa.array([a for a, _ in ends], pa.int64()), pa.array([b for _, b in ends], pa.int64())], ["a", "b"])
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, component: the smallest node that links lead to) of the nodes of edges (a, b), by min labels and jumps."""
-    both = _store.written(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "near-edges")
-    labels = _store.written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("component")), "near-labels")
-    while True:
-        l, m = labels.alias("l"), labels.alias("m")
-        near = both.join(m, F.col("b") == F.col("m.node")).groupBy(F.col("a").alias("node")).agg(F.min("m.component").alias("low"))
-        lower = l.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "low").alias("component"))
-        jump = labels.select(F.col("node").alias("to"), F.col("component").alias("further"))
-        moved = lower.join(jump, F.col("component") == F.col("to"), "left").select("node", "old", F.least("component", F.coalesce("further", "component")).alias("component"))
-        moved = _store.written(moved, "near-labels")
-        labels = moved.select("node", "component")
-        if not moved.filter("component <> old").limit(1).count():
-            return labels
-
-
 def _in_groups(rows: DataFrame, sets: DataFrame) -> DataFrame:
     """Links of the groups that rows (key, part, block, node, component, probe) make, written."""
     with_sets = rows.join(sets.select("node", "n", "codes"), "node").select("key", "part", "block", "node", "n", "component", "probe", "codes")
@@ -379,16 +351,19 @@ def _same_nodes():
     return [F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")]
 
 
-def _links(docs: DataFrame, found: DataFrame) -> DataFrame | None:
-    """Components (node, component) of the nodes with a link to a different set."""
-    chosen = found.filter("near").groupBy("node").agg(F.min(F.struct("doc_id", "tag")).alias("c")).select(F.col("c.doc_id").alias("id"), F.col("c.tag").alias("t"))
+def _links(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """Components (x, y, component) of the sets with a link to a different one."""
+    chosen = found.filter("near").groupBy("x", "y").agg(F.min(F.struct("doc_id", "tag")).alias("c")).select(F.col("c.doc_id").alias("id"), F.col("c.tag").alias("t"))
     texts = docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["id"]) & (docs["tag"] == chosen["t"]), "left_semi")
-    packed = _store.written(texts.select("text").mapInArrow(_packed_sets, "block long, node long, n long, shingles binary"), "near-sets")
-    buckets = max(16, int(packed.agg(F.sum("n")).first()[0] or 0) // BUCKET_SHINGLES)
-    asked = packed.groupBy("block").applyInArrow(_ask_counts(buckets), ASK_SQL)
-    totals = asked.groupBy("bucket").applyInArrow(sums, TOTALS_SQL).select("bucket", "block", "totals")
-    ordered = packed.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(_order_sets(buckets), "node long, n long, first long, codes binary")
-    sets = _store.written(ordered.dropDuplicates(["node"]), "near-ordered")
+    packed = _store.written(texts.select("text").mapInArrow(_packed_sets, "block long, x long, y long, n long, shingles binary"), "near-sets")
+    keys = packed.agg(F.sum("n")).first()[0] or 0
+    bits = fan_bits(keys)
+    counts = totals(packed.groupBy("block").applyInArrow(_ask_counts(bits), ASK_SQL), keys, bits)
+    asks = counts.select(F.col("child").alias("block"), "path", "totals").groupBy("block")
+    ordered = packed.groupBy("block").cogroup(asks).applyInArrow(_order_sets(bits), "x long, y long, n long, first long, codes binary")
+    # written with a number for each node, by which all that follows goes
+    sets = _store.written(ordered.dropDuplicates(["x", "y"]).withColumn("node", F.monotonically_increasing_id()), "near-ordered")
+    _store.removed(packed)
     starts = sets.mapInArrow(_prefixes, "key long, node long, n long, place long")
     shared = starts.groupBy("key").agg(F.count("*").alias("members"), F.sum("n").alias("size")).filter("members > 1")
     rows = _store.written(starts.join(shared, "key"), "near-prefixes")
@@ -396,7 +371,7 @@ def _links(docs: DataFrame, found: DataFrame) -> DataFrame | None:
     part = F.pmod(F.xxhash64("node", "key"), _parts(F.col("members"), F.col("size"))).cast("int")
     one = first.select("node", "k.key", "k.members", "k.size").select("key", part.alias("part"), F.lit(0).alias("block"), "node", F.col("node").alias("component"), F.lit(1).alias("probe"))
     links = _in_groups(one, sets)
-    labels = components(links)
+    labels = linked(links).withColumnRenamed("id", "node")
     labelled = rows.select("key", "node", "members", "size").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     groups = labelled.groupBy("key").agg(
         F.min("component").alias("low"),
@@ -416,7 +391,8 @@ def _links(docs: DataFrame, found: DataFrame) -> DataFrame | None:
     member = split.select("key", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "node", "component", F.lit(1).alias("probe"))
     probes = split.filter("component <> largest").select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.pmod(F.hash("node"), "blocks").cast("int").alias("block"), "node", "component", F.lit(2).alias("probe"))
     more = _in_groups(whole.unionByName(member).unionByName(probes), sets)
-    return components(links.unionByName(more)) if more.limit(1).count() else labels
+    labels = linked(links.unionByName(more)).withColumnRenamed("id", "node")
+    return labels.join(sets.select("node", "x", "y"), "node").select("x", "y", "component")
 
 
 def _tagged(docs: DataFrame) -> DataFrame:
@@ -430,12 +406,12 @@ def _classes(docs: DataFrame) -> DataFrame:
     _store.small_batches(docs.sparkSession)
     own = _tagged(docs)
     found = _candidates(own)
-    labels = _links(own, found).withColumnRenamed("node", "linked")
-    nodes = found.filter("near").groupBy("node").agg(F.min("doc_id").alias("low"))
-    nodes = nodes.join(labels, F.col("node") == F.col("linked"), "left").select("node", "low", F.coalesce("component", "node").alias("component"))
-    lows = nodes.groupBy(F.col("component").alias("c")).agg(F.min("low").alias("component_id"))
-    named = nodes.join(lows, F.col("component") == F.col("c")).select(F.col("node").alias("near_node"), "component", "component_id")
-    all_rows = found.withColumn("near_node", F.when(F.col("near"), F.col("node"))).join(named, "near_node", "left")
+    labels = _links(own, found)
+    near = found.filter("near").groupBy("x", "y").agg(F.min("doc_id").alias("low"))
+    nodes = near.join(labels, ["x", "y"], "left").withColumn("component", F.when(F.col("component").isNotNull(), F.struct(F.lit(0).alias("kind"), F.col("component").alias("p"), F.col("component").alias("q"))).otherwise(F.struct(F.lit(1).alias("kind"), F.col("x").alias("p"), F.col("y").alias("q"))))
+    lows = nodes.groupBy("component").agg(F.min("low").alias("component_id"))
+    named = nodes.join(lows, "component").select(F.col("x").alias("near_x"), F.col("y").alias("near_y"), "component", "component_id")
+    all_rows = found.withColumns({"near_x": F.when(F.col("near"), F.col("x")), "near_y": F.when(F.col("near"), F.col("y"))}).join(named, ["near_x", "near_y"], "left")
     return all_rows.select("doc_id", "tag", "n_shingles", "component", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
@@ -449,13 +425,14 @@ def keep_one(docs: DataFrame) -> DataFrame:
     found = _store.written(_classes(docs), "near-classes")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "tag")
     best = found.filter("component IS NOT NULL").groupBy(F.col("component").alias("c")).agg(F.min(order).alias("best"))
-    lost = found.join(best, F.col("component") == F.col("c")).filter(order != F.col("best")).select(F.col("doc_id").alias("__id"), F.col("tag").alias("__tag")).distinct()
-    rows = docs.withColumn("__own", F.xxhash64(F.col("text").cast("string")))
-    stays = rows.join(lost, rows["doc_id"].cast("long").eqNullSafe(lost["__id"]) & (rows["__own"] == lost["__tag"]), "left_anti")
+    id_, tag, own = _store.names(docs, "id", "tag", "own")
+    lost = found.join(best, F.col("component") == F.col("c")).filter(order != F.col("best")).select(F.col("doc_id").alias(id_), F.col("tag").alias(tag)).distinct()
+    rows = docs.withColumn(own, F.xxhash64(F.col("text").cast("string")))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (F.col(own) == F.col(tag))
+    stays = rows.join(lost, same, "left_anti")
     # rows that are alike in doc_id and text are one document, unless they have no words
-    again = found.filter("component IS NOT NULL").groupBy(F.col("doc_id").alias("__id"), F.col("tag").alias("__tag")).agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+    again = found.filter("component IS NOT NULL").groupBy(F.col("doc_id").alias(id_), F.col("tag").alias(tag)).agg(F.count("*").alias("n")).filter("n > 1").drop("n")
     if not again.limit(1).count():
-        return stays.drop("__own")
-    same = stays["doc_id"].cast("long").eqNullSafe(again["__id"]) & (stays["__own"] == again["__tag"])
+        return stays.drop(own)
     single = stays.join(again, same, "left_anti")
-    return single.unionByName(stays.join(again, same, "left_semi").dropDuplicates(["doc_id", "__own"])).drop("__own")
+    return single.unionByName(stays.join(again, same, "left_semi").dropDuplicates(["doc_id", own])).drop(own)
