@@ -75,6 +75,18 @@ def spans_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
         return mix((total[ends] - total[starts]) * inv[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+def same(left: np.ndarray, a: np.ndarray, right: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether the bytes of left from a and those of right from b, sizes (1 at least) long, are equal."""
+    out, step = np.ones(len(a), bool), 8192
+    for k in range(0, len(a), step):
+        n = sizes[k : k + step]
+        ends = np.cumsum(n)
+        at = np.arange(int(ends[-1])) - np.repeat(ends - n, n)
+        differ = left[at + np.repeat(a[k : k + step], n)] != right[at + np.repeat(b[k : k + step], n)]
+        out[k : k + step] = np.add.reduceat(differ, ends - n) == 0
+    return out
+
+
 @dataclass
 class Words:
     """Words of a slice: `counts` per text; `data[starts:ends]` are the bytes of each, `inside` marks them all."""

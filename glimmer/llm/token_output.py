@@ -13,6 +13,8 @@ give an empty folder. Other columns are ignored.
 
 from __future__ import annotations
 
+import json
+import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -43,23 +45,40 @@ _ARROW = pa.schema(
 _PUNCTUATION = ".,!?;:"
 
 
+#: The pre-tokenizer of which each piece is a match of this pattern, none of which has white space.
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def _steps(config: dict | None, key: str) -> list[dict]:
+    return [] if config is None else config.get(key, [config])
+
+
 class Encoder:
     """Ids of texts by one tokenizer.
 
-    A tokenizer that drops white space encodes each word by itself, so ids of words are kept and found by the words'
-    hash: in a table of fixed size, where a new word takes the place of an older one.
+    Where its own settings say that no piece has white space (words split by `PIECES`, after steps that leave ASCII white
+    space between words as it is), each word is encoded by itself. Ids of words are kept and found by the words' hash, in
+    a table of fixed size, where a new word takes the place of an older one; the words' bytes are kept and compared too.
+    Other tokenizers encode whole texts.
     """
 
     SLOTS = 1 << 21
-    POOL = 12 << 20
+    POOL, BYTES = 12 << 20, 32 << 20
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        ids = lambda x: self.tokenizer.encode(x, add_special_tokens=False).ids
-        self.by_word = ids(" tree\n\x0b tree\x1d? ") == ids("tree") + ids("tree\x1d?") and ids("a\t'll") == ids("a") + ids("'ll")
-        self.lowers = self.by_word and ids("ABCDEFGHIJKLMNOPQRSTUVWXYZ") == ids("abcdefghijklmnopqrstuvwxyz")
+        config = json.loads(self.tokenizer.to_str())
+        before, split = _steps(config["normalizer"], "normalizers"), _steps(config["pre_tokenizer"], "pretokenizers")
+        harmless = all(x["type"] in ("NFC", "Lowercase") or (x["type"] == "Replace" and x["pattern"] == {"Regex": r"\s+"} and x["content"] == " ") for x in before)
+        first = split[0] if split else {}
+        pieces = first.get("type") == "Split" and first.get("pattern") == {"Regex": PIECES} and first.get("behavior") == "Removed" and first.get("invert")
+        spaced = any(re.search(r"\s", x["content"]) or x["lstrip"] or x["rstrip"] or x["single_word"] for x in config["added_tokens"])
+        self.by_word = bool(harmless and pieces and not spaced)
+        self.lowers = self.by_word and any(x["type"] == "Lowercase" for x in before)
+        #: Beginnings of added tokens, which lower-casing ahead of the tokenizer could make or break.
+        self.added = [x["content"][:2] for x in config["added_tokens"]]
         vocabulary = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         self.closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -67,13 +86,12 @@ class Encoder:
 
     def _clear(self) -> None:
         self.key = np.zeros(self.SLOTS, np.uint64)
-        self.at = np.zeros(self.SLOTS, np.int32)
-        self.size = np.zeros(self.SLOTS, np.int32)
-        self.pool = np.zeros(self.POOL, np.uint32)
-        self.used = 0
+        self.at, self.size, self.word_at, self.word_size = (np.zeros(self.SLOTS, np.int32) for _ in range(4))
+        self.pool, self.bytes = np.zeros(self.POOL, np.uint32), np.zeros(self.BYTES, np.uint8)
+        self.used, self.bytes_used = 0, 0
 
-    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of many words, and how many each has."""
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of many words, and where each word's begin and how many they are."""
         plain, parts, other = [], [], []
         for i, w in enumerate(words):
             stem = w.rstrip(_PUNCTUATION)
@@ -82,21 +100,26 @@ class Encoder:
                 parts.append(1 + (len(stem) < len(w)))
             else:
                 other.append(i)
-        found: list = [None] * len(words)
+        found, order, sizes = [], [], []
         # such words have one or two pieces, and the vocabulary tells where a piece ends
-        for k in range(0, len(plain), 1000):
-            some = plain[k : k + 1000]
-            ids = np.asarray(self.tokenizer.encode(" ".join(words[i] for i in some), add_special_tokens=False).ids, np.uint32)
-            ends, last = np.flatnonzero(self.closes[ids]) + 1, np.cumsum(parts[k : k + 1000]) - 1
+        chunks = [" ".join([words[i] for i in plain[k : k + 1000]]) for k in range(0, len(plain), 1000)]
+        for k, e in enumerate(self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)):
+            some = plain[1000 * k : 1000 * k + 1000]
+            ids = np.asarray(e.ids, np.uint32)
+            ends, last = np.flatnonzero(self.closes[ids]) + 1, np.cumsum(parts[1000 * k : 1000 * k + 1000]) - 1
             if len(ends) != last[-1] + 1 or ends[-1] != len(ids):
                 other += some
                 continue
-            ends = ends[last]
-            for i, a, b in zip(some, np.concatenate(([0], ends[:-1])), ends, strict=True):
-                found[i] = ids[a:b]
-        for i, e in zip(other, self.tokenizer.encode_batch_fast([words[i] for i in other], add_special_tokens=False), strict=True):
-            found[i] = np.asarray(e.ids, np.uint32)
-        return np.concatenate(found), np.fromiter(map(len, found), np.int64, len(found))
+            found.append(ids)
+            order += some
+            sizes.append(np.diff(ends[last], prepend=0))
+        rest = [e.ids for e in self.tokenizer.encode_batch_fast([words[i] for i in other], add_special_tokens=False)]
+        found.append(np.fromiter((x for ids in rest for x in ids), np.uint32))
+        sizes.append(np.fromiter(map(len, rest), np.int64, len(rest)))
+        order, size = np.array([*order, *other], np.int64), np.concatenate(sizes)
+        start, n = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+        start[order], n[order] = np.cumsum(size) - size, size
+        return np.concatenate(found), start, n
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in order, and the number of each text's."""
@@ -104,42 +127,51 @@ class Encoder:
             all_ids = [e.ids for e in self.tokenizer.encode_batch_fast(pc.fill_null(texts, "").to_pylist(), add_special_tokens=False)]
             return np.fromiter((x for ids in all_ids for x in ids), np.uint32), np.fromiter(map(len, all_ids), np.int64, len(all_ids))
         words = _text.split(texts, _text.WORDS)
-        # the tokenizer lower-cases too, unless its special tokens may be meant; it composes letters first, so that
+        # the tokenizer lower-cases too, unless its added tokens may be meant; it composes letters first, so that
         # words with any other than ASCII stay as they are
-        if self.lowers and not pc.any(pc.match_substring(pc.fill_null(texts, ""), "<|")).as_py():
+        if self.lowers and not any(pc.any(pc.match_substring(pc.fill_null(texts, ""), x, ignore_case=True)).as_py() for x in set(self.added)):
             words = _text.lower_ascii(words)
-        h = np.maximum(words.hashes(), np.uint64(1))
+        h, lengths = np.maximum(words.hashes(), np.uint64(1)), words.ends - words.starts
         slot = (h & np.uint64(self.SLOTS - 1)).astype(np.int64)
         start, n = self.at[slot].astype(np.int64), self.size[slot].astype(np.int64)
-        missed = np.flatnonzero(self.key[slot] != h)
-        pool = self.pool
+        hit = (self.key[slot] == h) & (self.word_size[slot] == lengths)
+        at = np.flatnonzero(hit)
+        hit[at] = _text.same(words.data, words.starts[at], self.bytes, self.word_at[slot[at]].astype(np.int64), lengths[at])
+        missed, pool = np.flatnonzero(~hit), self.pool
         if len(missed):
             new, first, back = np.unique(h[missed], return_index=True, return_inverse=True)
-            raw = words.data.tobytes()
-            ids, sizes = self._words([raw[words.starts[i] : words.ends[i]].decode("utf-8", "replace") for i in missed[first]])
-            if self.used + len(ids) > self.POOL:  # begins anew; the ids found above stay in the old pool
+            one = missed[first]  # of each hash the first word; another with the same hash stands for itself
+            alike = lengths[missed] == lengths[one[back]]
+            at = np.flatnonzero(alike)
+            alike[at] = _text.same(words.data, words.starts[missed[at]], words.data, words.starts[one[back[at]]], lengths[missed[at]])
+            back[~alike] = len(one) + np.arange(int((~alike).sum()))
+            raw, wanted = words.data.tobytes(), np.concatenate([one, missed[~alike]])
+            ids, begin, sizes = self._words([raw[a:b].decode("utf-8", "replace") for a, b in zip(words.starts[wanted].tolist(), words.ends[wanted].tolist(), strict=True)])
+            held = int(lengths[one].sum())
+            if self.used + len(ids) > self.POOL or self.bytes_used + held > self.BYTES:  # begins anew; the ids found above stay in the old pool
                 old = pool[: self.used].copy()
                 self._clear()
                 pool, base = np.concatenate((old, ids)), len(old)
-                if len(ids) <= self.POOL:
-                    self._keep(new, ids, sizes)
             else:
                 base = self.used
-                self._keep(new, ids, sizes)
-            ends = np.cumsum(sizes)
-            start[missed], n[missed] = (base + ends - sizes)[back], sizes[back]
+            if len(ids) <= self.POOL and held <= self.BYTES:
+                self._keep(new, ids, begin[: len(one)], sizes[: len(one)], words.data, words.starts[one], lengths[one])
+            start[missed], n[missed] = (base + begin)[back], sizes[back]
         ends = np.cumsum(n)
         total = int(ends[-1]) if len(ends) else 0
         return pool[np.arange(total) + np.repeat(start - (ends - n), n)], np.diff(np.concatenate(([0], ends))[words.firsts])
 
-    def _keep(self, keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+    def _keep(self, keys: np.ndarray, ids: np.ndarray, begin: np.ndarray, sizes: np.ndarray, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> None:
         self.pool[self.used : self.used + len(ids)] = ids
         slot = (keys & np.uint64(self.SLOTS - 1)).astype(np.int64)
+        ends = np.cumsum(lengths)
+        total = int(ends[-1])
+        self.bytes[self.bytes_used : self.bytes_used + total] = data[np.arange(total) + np.repeat(starts - (ends - lengths), lengths)]
+        # where two of them share a slot, all of the last one's entries count, as numpy assigns in order
         self.key[slot] = keys
-        # where two of them share a slot, the last one's three entries count, as numpy assigns in order
-        self.at[slot] = self.used + np.cumsum(sizes) - sizes
-        self.size[slot] = sizes
-        self.used += len(ids)
+        self.at[slot], self.size[slot] = self.used + begin, sizes
+        self.word_at[slot], self.word_size[slot] = self.bytes_used + ends - lengths, lengths
+        self.used, self.bytes_used = self.used + len(ids), self.bytes_used + total
 
 
 _encoders: dict[str, Encoder] = {}
@@ -296,5 +328,7 @@ def digest(spark: SparkSession, path: str) -> DataFrame:
 
     pieces = _placed(spark, path).mapInArrow(sums, "shard int, ordinal long, doc_id long, start long, n long, crc long")
     docs = pieces.groupBy("shard", "ordinal", "doc_id").agg(F.min("start").alias("start"), F.sum("n").alias("n_tokens"), F.sort_array(F.collect_list(F.struct("start", "n", "crc"))).alias("pieces"))
-    # documents of one piece, nearly all, need no Python
-    return docs.select("doc_id", "start", "n_tokens", F.when(F.size("pieces") == 1, F.col("pieces")[0]["crc"]).otherwise(whole("pieces")).alias("ids_crc32"))
+    # by themselves, as Spark would run the function on all rows of one table; both read the same exchange
+    single = docs.filter(F.size("pieces") == 1).withColumn("ids_crc32", F.col("pieces")[0]["crc"])
+    spread = docs.filter(F.size("pieces") > 1).withColumn("ids_crc32", whole("pieces"))
+    return single.unionByName(spread).select("doc_id", "start", "n_tokens", "ids_crc32")
