@@ -78,7 +78,7 @@ _BLOCK = pa.schema([("block", pa.int64()), ("size", pa.int64()), ("keys", pa.bin
 _BLOCK_SQL = "block long, size long, keys binary, counts binary, owners binary, places binary, " + ", ".join(f"{c} array<long>" for c in _LISTS)
 
 
-def _look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _look_up(block_tokens: int):
     """Blocks of documents: the sorted hashes to look up, how many documents have each, and which (owners, places of the hashes)."""
 
     def close(held: list, block: int) -> pa.RecordBatch:
@@ -88,23 +88,27 @@ def _look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = np.arange(len(values)) - np.repeat(ends - sizes, sizes)
         wanted = sizes - least_overlap(sizes) + np.maximum(1, sizes // 5)
         own = place < np.repeat(wanted, sizes)
+        # the smallest hashes lie close together, so they are mixed again for their ranges
         keys, back, counts = np.unique(_text.mix(values[own]), return_inverse=True, return_counts=True)
         owner = np.repeat(np.arange(len(sizes)), sizes)[own]
         x, y = _nodes(values, sizes)
         row = {"block": block, "size": len(keys), "keys": zipped_sorted(keys), "counts": zipped(counts.astype(np.uint32)), "owners": zipped(np.bincount(owner, minlength=len(sizes)).astype(np.uint32)), "places": zipped(back.astype(np.uint32))}
         return pa.RecordBatch.from_pylist([row | {"doc_id": ids, "tag": tags, "x": x.tolist(), "y": y.tolist(), "n": sizes.tolist()}], schema=_BLOCK)
 
-    partition, seq, held, n = TaskContext.get().partitionId(), 0, [], 0
-    for batch in batches:
-        for part in _text.slices(batch, "text"):
-            values, sizes = sets_of(part.column("text"))
-            held.append((part.column("doc_id").to_pylist(), part.column("tag").to_pylist(), values, sizes))
-            n += len(values) + len(sizes)
-            if n >= BLOCK_TOKENS:
-                yield close(held, (partition << 32) + seq)
-                held, n, seq = [], 0, seq + 1
-    if held:
-        yield close(held, (partition << 32) + seq)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held, n = TaskContext.get().partitionId() << 32, [], 0
+        for batch in batches:
+            for part in _text.slices(batch, "text"):
+                values, sizes = sets_of(part.column("text"))
+                held.append((part.column("doc_id").to_pylist(), part.column("tag").to_pylist(), values, sizes))
+                n += len(values) + len(sizes)
+                if n >= block_tokens:
+                    yield close(held, block)
+                    held, n, block = [], 0, block + 1
+        if held:
+            yield close(held, block)
+
+    return run
 
 
 def _ask(bits: int):
@@ -141,7 +145,7 @@ def _settle(bits: int):
 
 def _candidates(docs: DataFrame) -> DataFrame:
     """doc_id, tag, x, y (the set's hashes), n_shingles, near of each row of docs (doc_id, tag, text)."""
-    blocks = _store.written(docs.select("doc_id", "tag", "text").mapInArrow(_look_up, _BLOCK_SQL), "near-blocks")
+    blocks = _store.written(docs.select("doc_id", "tag", "text").mapInArrow(_look_up(BLOCK_TOKENS), _BLOCK_SQL), "near-blocks")
     keys = blocks.agg(F.sum("size")).first()[0] or 0
     bits = fan_bits(keys)
     answers = totals(blocks.select("block", "keys", "counts").mapInArrow(_ask(bits), ASK_SQL), keys, bits)
@@ -152,18 +156,20 @@ def _candidates(docs: DataFrame) -> DataFrame:
     return found
 
 
-def _packed_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    partition, seq, held = TaskContext.get().partitionId(), 0, 0
-    for batch in batches:
-        for part in _text.slices(batch, "text"):
-            values, sizes = sets_of(part.column("text"))
-            ends = np.cumsum(sizes)
-            packed = [zipped_sorted(values[e - n : e]) for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
-            block = np.full(len(sizes), (partition << 32) + seq)
-            yield pa.RecordBatch.from_arrays([pa.array(block), *map(pa.array, _nodes(values, sizes)), pa.array(sizes, pa.int64()), pa.array(packed, pa.binary())], ["block", "x", "y", "n", "shingles"])
-            held += len(values)
-            if held >= BLOCK_TOKENS:
-                held, seq = 0, seq + 1
+def _packed_sets(block_tokens: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held = TaskContext.get().partitionId() << 32, 0
+        for batch in batches:
+            for part in _text.slices(batch, "text"):
+                values, sizes = sets_of(part.column("text"))
+                ends = np.cumsum(sizes)
+                packed = [zipped_sorted(values[e - n : e]) for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sizes), block)), *map(pa.array, _nodes(values, sizes)), pa.array(sizes, pa.int64()), pa.array(packed, pa.binary())], ["block", "x", "y", "n", "shingles"])
+                held += len(values)
+                if held >= block_tokens:
+                    held, block = 0, block + 1
+
+    return run
 
 
 def _block_keys(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
@@ -355,7 +361,7 @@ def _links(docs: DataFrame, found: DataFrame) -> DataFrame:
     """Components (x, y, component) of the sets with a link to a different one."""
     chosen = found.filter("near").groupBy("x", "y").agg(F.min(F.struct("doc_id", "tag")).alias("c")).select(F.col("c.doc_id").alias("id"), F.col("c.tag").alias("t"))
     texts = docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["id"]) & (docs["tag"] == chosen["t"]), "left_semi")
-    packed = _store.written(texts.select("text").mapInArrow(_packed_sets, "block long, x long, y long, n long, shingles binary"), "near-sets")
+    packed = _store.written(texts.select("text").mapInArrow(_packed_sets(BLOCK_TOKENS), "block long, x long, y long, n long, shingles binary"), "near-sets")
     keys = packed.agg(F.sum("n")).first()[0] or 0
     bits = fan_bits(keys)
     counts = totals(packed.groupBy("block").applyInArrow(_ask_counts(bits), ASK_SQL), keys, bits)

@@ -79,31 +79,35 @@ def _segment_rows(min_chars: int, segments: int):
     return run
 
 
-def _again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _again(bits_each: int):
     """Fills the first filter, a segment at a time (rows come in their order); returns each segment's hashes that are met again."""
-    segment, once, again = None, np.zeros(0, bool), []
-
-    def close() -> pa.RecordBatch:
-        h = np.unique(np.concatenate(again))
-        return pa.RecordBatch.from_arrays([pa.array([segment], pa.int64()), pa.array([len(h)], pa.int64()), pa.array([h.tobytes()], pa.binary())], ["segment", "n", "hashes"])
-
-    for batch in batches:
-        segments = batch.column("segment").to_numpy()
-        h, twice = batch.column("h").to_numpy().view(np.uint64), batch.column("twice").to_numpy(zero_copy_only=False)
-        edges = np.flatnonzero(np.diff(segments, prepend=-1, append=-1))
-        for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            if segments[lo] != segment:
-                if again:
-                    yield close()
-                segment, once, again = int(segments[lo]), np.zeros(SEGMENT_BITS, bool), []
-            keys, back, n = np.unique(h[lo:hi], return_inverse=True, return_counts=True)
-            bits = _bits(keys, SEGMENT_BITS)
-            repeated = once[bits].all(axis=1) | (n > 1) | (np.bincount(back, weights=twice[lo:hi], minlength=len(keys)) > 0)
-            once[bits.ravel()] = True
-            if repeated.any():
-                again.append(keys[repeated])
-    if again:
-        yield close()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        segment, once, again = None, np.zeros(0, bool), []
+
+        def close() -> pa.RecordBatch:
+            h = np.unique(np.concatenate(again))
+            return pa.RecordBatch.from_arrays([pa.array([segment], pa.int64()), pa.array([len(h)], pa.int64()), pa.array([h.tobytes()], pa.binary())], ["segment", "n", "hashes"])
+
+        for batch in batches:
+            segments = batch.column("segment").to_numpy()
+            h, twice = batch.column("h").to_numpy().view(np.uint64), batch.column("twice").to_numpy(zero_copy_only=False)
+            edges = np.flatnonzero(np.diff(segments, prepend=-1, append=-1))
+            for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                if segments[lo] != segment:
+                    if again:
+                        yield close()
+                    segment, once, again = int(segments[lo]), np.zeros(bits_each, bool), []
+                keys, back, n = np.unique(h[lo:hi], return_inverse=True, return_counts=True)
+                bits = _bits(keys, bits_each)
+                repeated = once[bits].all(axis=1) | (n > 1) | (np.bincount(back, weights=twice[lo:hi], minlength=len(keys)) > 0)
+                once[bits.ravel()] = True
+                if repeated.any():
+                    again.append(keys[repeated])
+        if again:
+            yield close()
+
+    return run
 
 
 def _second(size: int):
@@ -187,7 +191,7 @@ def repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> D
     most = (own.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0) // max(1, min_chars)
     segments = max(1, math.ceil(BITS_PER_KEY * most / SEGMENT_BITS))
     rows = own.select("text").mapInArrow(_segment_rows(min_chars, segments), "segment long, h long, twice boolean")
-    again = _store.written(rows.repartition("segment").sortWithinPartitions("segment").mapInArrow(_again, "segment long, n long, hashes binary"), "lines-again")
+    again = _store.written(rows.repartition("segment").sortWithinPartitions("segment").mapInArrow(_again(SEGMENT_BITS), "segment long, n long, hashes binary"), "lines-again")
     largest = again.agg(F.max("n")).first()[0] or 0
     size = 1 << max(6, math.ceil(math.log2(BITS_PER_KEY * max(1, largest))))
     if segments * size <= 8 * SHARED_BYTES:

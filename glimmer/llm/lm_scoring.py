@@ -44,31 +44,34 @@ _BLOCK = pa.schema([("block", pa.int64()), ("size", pa.int64()), ("trained", pa.
 _BLOCK_SQL = "block long, size long, trained long, doc_id array<long>, held array<boolean>, counts array<int>, keys binary, tokens binary"
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _blocks(block_tokens: int):
     """Blocks of documents: their words' sorted hashes, and their tokens as indexes of these."""
-    partition, seq = TaskContext.get().partitionId(), 0
-    ids, held, counts, hashes, n = [], [], [], [], 0
 
-    def close() -> pa.RecordBatch:
+    def close(block: int, ids: list, held: list, counts: list, hashes: list) -> pa.RecordBatch:
         keys, tokens = np.unique(np.concatenate(hashes), return_inverse=True)
         sizes = np.concatenate(counts)
-        row = {"block": (partition << 32) + seq, "size": len(tokens), "trained": int(sizes[~np.array(held, bool)].sum()), "doc_id": ids, "held": held, "counts": sizes.tolist()}
+        row = {"block": block, "size": len(tokens), "trained": int(sizes[~np.array(held, bool)].sum()), "doc_id": ids, "held": held, "counts": sizes.tolist()}
         return pa.RecordBatch.from_pylist([row | {"keys": zipped_sorted(keys), "tokens": zipped(tokens.astype(np.uint32))}], schema=_BLOCK)
 
-    for batch in batches:
-        for part in _text.slices(batch, "text"):
-            w = _text.split(part.column("text"), _text.WORDS_LOWER)
-            h = np.insert(w.hashes(), np.cumsum(w.counts), _END)
-            ids += part.column("doc_id").to_pylist()
-            held += part.column("held").to_pylist()
-            counts.append(w.counts + 1)
-            hashes.append(h)
-            n += len(h)
-            if n >= BLOCK_TOKENS:
-                yield close()
-                ids, held, counts, hashes, n, seq = [], [], [], [], 0, seq + 1
-    if n:
-        yield close()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() << 32
+        ids, held, counts, hashes, n = [], [], [], [], 0
+        for batch in batches:
+            for part in _text.slices(batch, "text"):
+                w = _text.split(part.column("text"), _text.WORDS_LOWER)
+                h = np.insert(w.hashes(), np.cumsum(w.counts), _END)
+                ids += part.column("doc_id").to_pylist()
+                held += part.column("held").to_pylist()
+                counts.append(w.counts + 1)
+                hashes.append(h)
+                n += len(h)
+                if n >= block_tokens:
+                    yield close(block, ids, held, counts, hashes)
+                    ids, held, counts, hashes, n, block = [], [], [], [], 0, block + 1
+        if n:
+            yield close(block, ids, held, counts, hashes)
+
+    return run
 
 
 class Block:
@@ -179,7 +182,7 @@ def score(docs: DataFrame, order: int = ORDER, strength: tuple[float, ...] = STR
     _store.small_batches(docs.sparkSession)
     held = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(HELD_OUT_OF)) == HELD_OUT
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held"), F.col("text").cast("string").alias("text"))
-    blocks = _store.written(own.mapInArrow(_blocks, _BLOCK_SQL), "lm-blocks")
+    blocks = _store.written(own.mapInArrow(_blocks(BLOCK_TOKENS), _BLOCK_SQL), "lm-blocks")
     size = blocks.agg(F.sum("size").alias("tokens"), F.sum("trained").alias("trained")).first()
     keys = order * (size["tokens"] or 0)  # n-grams of all blocks, at most
     bits = fan_bits(keys)

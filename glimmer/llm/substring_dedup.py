@@ -10,6 +10,11 @@ Before windows travel, each block of documents is sorted by itself in the same w
 block is marked at once and does not travel. So a passage that many documents share comes to its bucket once a block,
 and a bucket's size follows the number of distinct windows.
 
+A bucket is read in chunks of bounded size. If one chunk holds all of it, its windows are settled. Otherwise, as with a
+phrase that stands in a third of all documents in different surroundings, each chunk is marked by itself and its other
+windows are dealt anew, by minimisers of more words, at last by the whole window's hash, to more buckets, where equal
+windows meet again. So no task holds a bucket, and each round has fewer windows to deal.
+
 Null and empty texts have no words. Null doc_id is the smallest. Rows that share a doc_id count as one document of which
 each row has its own words: equal starts do not repeat each other. Empty tables give no rows. Other columns are carried
 on by `drop_repeats`. A run reads docs several times and expects the same rows each time, as tables give them.
@@ -19,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -29,12 +35,15 @@ from pyspark.sql import functions as F
 
 from . import _store, _text
 
-WINDOW, MMER = 20, 3
+WINDOW = 20
+#: Words of a minimiser in each round; those after the last have the whole window.
+MMERS = (3, 8)
 BLOCK_WORDS = 1 << 20
 #: Bytes of packed strings that a bucket gets, about.
 BUCKET_BYTES = 12 << 20
+#: Bytes of words that a task holds at once.
+CHUNK_BYTES = 24 << 20
 _PACKED = "bucket long, docs binary, starts binary, words binary, marks binary"
-_MARKS = "doc_id long, tag long, first long, last long"
 _NULL = -(2**63)
 
 
@@ -55,19 +64,6 @@ def _joined(w: _text.Words) -> tuple[np.ndarray, np.ndarray]:
     return out, offsets
 
 
-def _same(buffer: np.ndarray, a: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Whether the bytes from a and from b, sizes long, are equal."""
-    out = np.ones(len(a), bool)
-    step = 8192
-    for k in range(0, len(a), step):
-        n = sizes[k : k + step]
-        ends = np.cumsum(n)
-        at = np.arange(int(ends[-1])) - np.repeat(ends - n, n)
-        differ = buffer[at + np.repeat(a[k : k + step], n)] != buffer[at + np.repeat(b[k : k + step], n)]
-        out[k : k + step] = np.add.reduceat(differ, ends - n) == 0
-    return out
-
-
 def _later(h: np.ndarray, doc: np.ndarray, start: np.ndarray, buffer: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Which windows have their words in a window with a smaller (doc, start). begin, end: their bytes in buffer."""
     order = np.lexsort((start, doc, h))
@@ -81,7 +77,7 @@ def _later(h: np.ndarray, doc: np.ndarray, start: np.ndarray, buffer: np.ndarray
         a, b = order[at], order[first[at]]
         sizes = end - begin
         equal = sizes[a] == sizes[b]
-        equal[equal] = _same(buffer, begin[a[equal]], begin[b[equal]], sizes[a[equal]])
+        equal[equal] = _text.same(buffer, begin[a[equal]], buffer, begin[b[equal]], sizes[a[equal]])
         out[a[equal]] = True
         # two different windows with one hash: their group is told apart by the words
         raw = buffer.tobytes() if not equal.all() else b""
@@ -102,9 +98,8 @@ def _windows(h: np.ndarray, room: np.ndarray, n: int) -> tuple[np.ndarray, np.nd
     return at, _text.spans_hash(h, at, at + n)
 
 
-def _minimisers(h: np.ndarray, room: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of each window the minimiser's place and hash."""
-    m = min(MMER, n)
+def _minimisers(h: np.ndarray, room: np.ndarray, at: np.ndarray, n: int, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each window the place and hash of its minimiser of m words."""
     mers = np.full(len(h) + n, np.iinfo(np.uint64).max, np.uint64)
     some = np.flatnonzero(room >= m)
     mers[some] = _text.mix(_text.spans_hash(h, some, some + m) ^ np.uint64(0x5851F42D4C957F2D))
@@ -119,106 +114,133 @@ def _runs(at: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(([0], cut + 1)), np.concatenate((cut, [len(at) - 1]))
 
 
-def _pack(n: int, buckets: int):
+_SCHEMA = pa.schema([("bucket", pa.int64()), *[(c, pa.binary()) for c in ("docs", "starts", "words", "marks")]])
+
+
+class Held:
+    """Texts, or parts of them, in one place: each with doc_id, tag and the number of its first word in the document."""
+
+    def __init__(self, parts: list[tuple]) -> None:
+        """parts: doc_id, tag, start, counts of words, hashes of words, and `_joined` words."""
+        self.doc, self.tag, self.start, self.counts, self.h = (np.concatenate([x[i] for x in parts]) for i in range(5))
+        self.buffer = np.concatenate([x[5] for x in parts])
+        shift = np.cumsum([0, *[len(x[5]) for x in parts]])
+        self.offsets = np.concatenate([*[x[6][:-1] + s for x, s in zip(parts, shift, strict=False)], shift[-1:]])
+        firsts = np.concatenate(([0], np.cumsum(self.counts)))
+        self.owner = np.repeat(np.arange(len(self.counts)), self.counts)
+        place = np.arange(len(self.h)) - firsts[:-1][self.owner]
+        self.room, self.place = self.counts[self.owner] - place, self.start[self.owner] + place
+
+    def settle(self, n: int) -> tuple[list[pa.RecordBatch], np.ndarray]:
+        """A row of marks for windows that repeat a smaller one held here, and the places of all others."""
+        at, hashes = _windows(self.h, self.room, n)
+        if not len(at):
+            return [], at
+        gone = _later(hashes, self.doc[self.owner[at]], self.place[at], self.buffer, self.offsets[at], self.offsets[at + n] - 1)
+        if not gone.any():
+            return [], at
+        a = at[gone]
+        lo, hi = _runs(a, self.owner[a])
+        d = self.owner[a[lo]]
+        marks = np.stack([self.doc[d], self.tag[d], self.place[a[lo]], self.place[a[hi]] + n]).astype(np.int64)
+        row = {"bucket": None, "docs": None, "starts": None, "words": None, "marks": _zip(marks.tobytes())}
+        return [pa.RecordBatch.from_pylist([row], schema=_SCHEMA)], at[~gone]
+
+    def deal(self, at: np.ndarray, n: int, buckets: int, turn: int) -> Iterator[pa.RecordBatch]:
+        """Windows as packed strings, a row for each bucket."""
+        if not len(at):
+            return
+        spot, key = _minimisers(self.h, self.room, at, n, min(n, MMERS[turn] if turn < len(MMERS) else n))
+        lo, hi = _runs(at, spot)
+        with np.errstate(over="ignore"):
+            bucket = (_text.mix(key[lo] + np.uint64(turn)) % np.uint64(buckets)).astype(np.int64)
+        a, b = at[lo], at[hi] + n
+        order = np.argsort(bucket, kind="stable")
+        a, b, bucket = a[order], b[order], bucket[order]
+        raw = self.buffer.tobytes()
+        begin, end = self.offsets[a].tolist(), (self.offsets[b] - 1).tolist()
+        edges = np.flatnonzero(np.diff(np.concatenate(([-1], bucket, [-1]))))
+        for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            d = self.owner[a[lo:hi]]
+            row = {
+                "bucket": int(bucket[lo]),
+                "docs": _zip(np.stack([self.doc[d], self.tag[d]]).astype(np.int64).tobytes()),
+                "starts": _zip(self.place[a[lo:hi]].astype(np.int64).tobytes()),
+                "words": _zip(b"\n".join([raw[x:y] for x, y in zip(begin[lo:hi], end[lo:hi], strict=True)])),
+                "marks": None,
+            }
+            yield pa.RecordBatch.from_pylist([row], schema=_SCHEMA)
+
+
+def _pack(n: int, buckets: int, block_words: int):
+    """Blocks of documents: marks of windows that repeat within the block, the others dealt to buckets."""
+
+    def close(held: list) -> Iterator[pa.RecordBatch]:
+        block = Held(held)
+        marks, at = block.settle(n)
+        yield from marks
+        yield from block.deal(at, n, buckets, 0)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list = []
-        words, block = 0, 0
+        held, words = [], 0
         for batch in batches:
             for part in _text.slices(batch, "text"):
                 w = _text.split(part.column("text"), _text.WORDS)
-                held.append((part.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64), part.column("tag").to_numpy(zero_copy_only=False).astype(np.int64), w.counts, w.hashes(), *_joined(w)))
+                ids, tags = (part.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("doc_id", "tag"))
+                held.append((ids, tags, np.zeros(len(ids), np.int64), w.counts, w.hashes(), *_joined(w)))
                 words += len(w.starts)
-                if words >= BLOCK_WORDS:
-                    yield from _block(held, n, buckets, block)
-                    held, words, block = [], 0, block + 1
+                if words >= block_words:
+                    yield from close(held)
+                    held, words = [], 0
         if words:
-            yield from _block(held, n, buckets, block)
+            yield from close(held)
 
     return run
 
 
-def _block(held: list, n: int, buckets: int, block: int) -> Iterator[pa.RecordBatch]:
-    doc_id, tag, counts, h = (np.concatenate([x[i] for x in held]) for i in range(4))
-    buffer = np.concatenate([x[4] for x in held])
-    shift = np.cumsum([0, *[len(x[4]) for x in held]])
-    offsets = np.concatenate([*[x[5][:-1] + s for x, s in zip(held, shift, strict=False)], shift[-1:]])
-    firsts = np.concatenate(([0], np.cumsum(counts)))
-    owner = np.repeat(np.arange(len(counts)), counts)
-    place = np.arange(len(h)) - firsts[:-1][owner]
-    at, hashes = _windows(h, counts[owner] - place, n)
-    if not len(at):
-        return
-    spot, key = _minimisers(h, counts[owner] - place, at, n)
-    gone = _later(hashes, doc_id[owner[at]], place[at], buffer, offsets[at], offsets[at + n] - 1)
-    none = b""
-    if gone.any():
-        a = at[gone]
-        lo, hi = _runs(a, owner[a])
-        d = owner[a[lo]]
-        marks = np.stack([doc_id[d], tag[d], place[a[lo]], place[a[hi]] + n]).astype(np.int64)
-        yield pa.RecordBatch.from_pylist([{"bucket": block % buckets, "docs": none, "starts": none, "words": none, "marks": _zip(marks.tobytes())}], schema=_SCHEMA)
-    at, spot, key = at[~gone], spot[~gone], key[~gone]
-    if not len(at):
-        return
-    lo, hi = _runs(at, spot)
-    a, b, bucket = at[lo], at[hi] + n, (key[lo] % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    a, b, bucket = a[order], b[order], bucket[order]
-    raw = buffer.tobytes()
-    begin, end = offsets[a].tolist(), (offsets[b] - 1).tolist()
-    edges = np.flatnonzero(np.diff(np.concatenate(([-1], bucket, [-1]))))
-    for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-        d = owner[a[lo:hi]]
-        row = {
-            "bucket": int(bucket[lo]),
-            "docs": _zip(np.stack([doc_id[d], tag[d]]).astype(np.int64).tobytes()),
-            "starts": _zip(place[a[lo:hi]].astype(np.int64).tobytes()),
-            "words": _zip(b"\n".join([raw[x:y] for x, y in zip(begin[lo:hi], end[lo:hi], strict=True)])),
-            "marks": none,
-        }
-        yield pa.RecordBatch.from_pylist([row], schema=_SCHEMA)
+def _count(n: int, buckets: int, turn: int, chunk_bytes: int):
+    """Of a bucket, in chunks: marks, and, if it takes more than one chunk, its windows dealt anew."""
 
+    def parts(docs: bytes, starts: bytes, words: bytes) -> Iterator[tuple]:
+        doc, tag = np.frombuffer(docs, np.int64).reshape(2, -1)
+        start, at = np.frombuffer(starts, np.int64), 0
+        strings = pa.record_batch([pa.array(words.split(b"\n"), pa.binary()).cast(pa.string())], ["text"])
+        for part in _text.slices(strings, "text"):
+            w, own = _text.split(part.column("text"), _text.WORDS), slice(at, at + part.num_rows)
+            yield doc[own], tag[own], start[own], w.counts, w.hashes(), *_joined(w)
+            at += part.num_rows
 
-_SCHEMA = pa.schema([("bucket", pa.int64()), *[(c, pa.binary()) for c in ("docs", "starts", "words", "marks")]])
+    def close(held: list, whole: bool) -> Iterator[pa.RecordBatch]:
+        chunk = Held(held)
+        marks, at = chunk.settle(n)
+        yield from marks
+        if not whole:
+            yield from chunk.deal(at, n, buckets, turn)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, whole = [], 0, True
+        for batch in batches:
+            for docs, starts, words in zip(*[batch.column(c) for c in ("docs", "starts", "words")], strict=True):
+                if size >= chunk_bytes:
+                    whole = False
+                    yield from close(held, whole)
+                    held, size = [], 0
+                words = _unzip(words.as_py())
+                held += parts(_unzip(docs.as_py()), _unzip(starts.as_py()), words)
+                size += len(words)
+        if held:
+            yield from close(held, whole)
+
+    # Spark tells the two forms of such functions apart by their types, as objects
+    run.__annotations__ = {"batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
+    return run
 
-def _count(n: int):
-    def run(table: pa.Table) -> pa.Table:
-        out = []
-        packed = [(d, s, w) for d, s, w in zip(*[table.column(c).to_pylist() for c in ("docs", "starts", "words")], strict=True) if w]
-        for m in table.column("marks").to_pylist():
-            if m:
-                out.append(np.frombuffer(_unzip(m), np.int64).reshape(4, -1))
-        if packed:
-            docs = np.concatenate([np.frombuffer(_unzip(d), np.int64).reshape(2, -1) for d, _, _ in packed], axis=1)
-            starts = np.concatenate([np.frombuffer(_unzip(s), np.int64) for _, s, _ in packed])
-            hashes, counts, buffers = [], [], []
-            for _, _, w in packed:
-                strings = pa.record_batch([pa.array(_unzip(w).split(b"\n"), pa.binary()).cast(pa.string())], ["text"])
-                for part in _text.slices(strings, "text"):
-                    split = _text.split(part.column("text"), _text.WORDS)
-                    buffer, offsets = _joined(split)
-                    hashes.append(split.hashes())
-                    counts.append(split.counts)
-                    buffers.append((buffer, offsets))
-            h, counts = np.concatenate(hashes), np.concatenate(counts)
-            shift = np.cumsum([0, *[len(b) for b, _ in buffers]])
-            offsets = np.concatenate([*[o[:-1] + s for (_, o), s in zip(buffers, shift, strict=False)], shift[-1:]])
-            buffer = np.concatenate([b for b, _ in buffers])
-            firsts = np.concatenate(([0], np.cumsum(counts)))
-            owner = np.repeat(np.arange(len(counts)), counts)
-            place = np.arange(len(h)) - firsts[:-1][owner]
-            at, own = _windows(h, counts[owner] - place, n)
-            start = starts[owner[at]] + place[at]
-            gone = _later(own, docs[0][owner[at]], start, buffer, offsets[at], offsets[at + n] - 1)
-            if gone.any():
-                a, d, s = at[gone], owner[at[gone]], start[gone]
-                lo, hi = _runs(a, d)
-                out.append(np.stack([docs[0][d[lo]], docs[1][d[lo]], s[lo], s[hi] + n]))
-        rows = np.concatenate([np.zeros((4, 0), np.int64), *out], axis=1)
-        return pa.table([pa.array(x, pa.int64()) for x in rows], ["doc_id", "tag", "first", "last"])
 
-    return run
+def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for m in batch.column("marks"):
+            rows = np.frombuffer(_unzip(m.as_py()), np.int64).reshape(4, -1)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in rows], ["doc_id", "tag", "first", "last"])
 
 
 def _tagged(docs: DataFrame) -> DataFrame:
@@ -233,7 +255,18 @@ def repeated_spans(docs: DataFrame, n: int = WINDOW) -> DataFrame:
     own = _tagged(docs)
     total = own.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = max(64, 3 * total // BUCKET_BYTES)
-    marks = own.mapInArrow(_pack(n, buckets), _PACKED).groupBy("bucket").applyInArrow(_count(n), _MARKS)
+    packed, found, turn = own.mapInArrow(_pack(n, buckets, BLOCK_WORDS), _PACKED), [], 0
+    # written, as marks and windows are both read from it
+    table = _store.written(packed, "spans-packed")
+    while True:
+        found.append(table.filter("marks IS NOT NULL").select("marks"))
+        left = table.filter("bucket IS NOT NULL")
+        if turn and not left.limit(1).count():
+            break
+        turn += 1
+        buckets *= 1 if turn == 1 else 4
+        table = _store.written(left.groupBy("bucket").applyInArrow(_count(n, buckets, turn, CHUNK_BYTES), _PACKED), "spans-marks")
+    marks = reduce(DataFrame.union, found).mapInArrow(_marks, "doc_id long, tag long, first long, last long")
     return marks.groupBy("doc_id", "tag").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
 
 
@@ -247,10 +280,12 @@ def _kept(text: bytes | None, spans: list | None) -> tuple[list[bytes], int]:
     return [words[i] for i in np.flatnonzero(stay)], len(words)
 
 
-def _with_spans(docs: DataFrame, n: int) -> DataFrame:
-    spans = repeated_spans(docs, n).select(F.col("doc_id").alias("__id"), F.col("tag").alias("__tag"), F.col("spans").alias("__spans"))
-    same = (F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)) == F.col("__id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__tag"))
-    return docs.join(spans, same, "left")
+def _with_spans(docs: DataFrame, n: int) -> tuple[DataFrame, str]:
+    """docs with a further column of spans, and its name."""
+    id_, tag, spans = _store.names(docs, "id", "tag", "spans")
+    found = repeated_spans(docs, n).select(F.col("doc_id").alias(id_), F.col("tag").alias(tag), F.col("spans").alias(spans))
+    same = (F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)) == F.col(id_)) & (F.xxhash64(F.col("text").cast("string")) == F.col(tag))
+    return docs.join(found, same, "left"), spans
 
 
 def digest(docs: DataFrame, n: int = WINDOW) -> DataFrame:
@@ -258,14 +293,14 @@ def digest(docs: DataFrame, n: int = WINDOW) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [_kept(t, s) for t, s in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("__spans").to_pylist(), strict=True)]
+            out = [_kept(t, s) for t, s in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("spans").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([t for _, t in out], pa.int64()), pa.array([t - len(k) for k, t in out], pa.int64()), pa.array([hashlib.sha256(b" ".join(k)).hexdigest() for k, _ in out], pa.string())],
                 ["doc_id", "n_words", "n_removed", "kept_sha256"],
             )
 
-    joined = _with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), n)
-    return joined.select("doc_id", "text", "__spans").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    joined, _ = _with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), n)
+    return joined.select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def drop_repeats(docs: DataFrame, n: int = WINDOW) -> DataFrame:
@@ -275,4 +310,5 @@ def drop_repeats(docs: DataFrame, n: int = WINDOW) -> DataFrame:
     def cut(text: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([t if s is None or not len(s) else b" ".join(_kept(t.encode(), list(s))[0]).decode() for t, s in zip(text, spans, strict=True)], dtype=object)
 
-    return _with_spans(docs, n).withColumn("text", cut("text", "__spans")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    joined, spans = _with_spans(docs, n)
+    return joined.withColumn("text", cut("text", spans)).select(*[F.col(f"`{c}`") for c in docs.columns])
