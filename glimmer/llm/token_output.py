@@ -261,6 +261,12 @@ def index(spark: SparkSession, path: str) -> DataFrame:
     return _placed(spark, path).select("shard", "chunk", "start", "n_ids", "crc32", "docs")
 
 
+def lengths(spark: SparkSession, path: str) -> DataFrame:
+    """shard, ordinal, doc_id, n_tokens of each document, from the chunk index alone."""
+    docs = spark.read.schema(SCHEMA).parquet(path).select("shard", F.explode("docs").alias("d"))
+    return docs.groupBy("shard", "d.ordinal", "d.doc_id").agg(F.sum("d.n").cast("long").alias("n_tokens"))
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
     """Pieces of documents in the files' order: shard, ordinal, doc_id, chunk, begin, ids. A document is one piece, or a piece a chunk."""
 
