@@ -12,7 +12,7 @@ failure arcs and the arc taken are added up.
 Training documents are those whose crc32(doc_id as text) mod 7 is not 2 (null doc_id: empty text). Tokens are words
 `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased, then one end. The automaton grows with the corpus and is never in one place:
 documents are read in blocks; each block asks for the totals of the n-grams that it has (`_packed`), which are the
-automaton's part that its texts can reach. N-grams are told apart by 63-bit hashes.
+automaton's part that its texts can reach. N-grams are told apart by 58 bits of hashes.
 
 Null and empty texts are the end token alone. Repeated rows are counted and scored one by one. Without training
 documents all counts are 0. Other columns are ignored. An empty table gives no rows.
@@ -37,7 +37,8 @@ STRENGTH = (300.0, 10.0)
 ORDER = 3
 BLOCK_TOKENS = 1 << 20
 _END, _START = np.uint64(0x656E64), np.uint64(0x7374617274)
-_ONE = np.uint64(1)
+#: Of a hash: bits that tell n-grams apart, and the lowest one, which marks single words.
+_KEPT, _ONE = ~np.uint64(63), np.uint64(1)
 
 
 _BLOCK = pa.schema([("block", pa.int64()), ("size", pa.int64()), ("trained", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("counts", pa.list_(pa.int32())), ("keys", pa.binary()), ("tokens", pa.binary())])
@@ -88,20 +89,20 @@ class Block:
         trains = np.repeat(~np.array(held, bool), self.counts)
         begins = np.zeros(len(token), bool)
         begins[self.first] = True
-        self.gram, self.context, self.hashes = [token], [np.full(len(token), -1)], [words | _ONE]
+        self.gram, self.context, self.hashes = [token], [np.full(len(token), -1)], [words & _KEPT | _ONE]
         self.own = [np.bincount(token[trains], minlength=len(words))]
         for k in range(2, order + 1):
             context = np.concatenate(([-1], self.gram[-1][:-1]))
             hashes = self.hashes[-1]
             if k == 2:  # contexts are single words, and the start as the last of them
                 context[begins] = len(words)
-                hashes = np.append(hashes, _START)
+                hashes = np.append(words, _START)
             else:
                 context[begins] = -1
             at = np.flatnonzero(context >= 0)
             pairs, back = np.unique(context[at] * len(words) + token[at], return_inverse=True)
             with np.errstate(over="ignore"):
-                new = _text.mix(hashes[pairs // len(words)] * np.uint64(0xA24BAED4963EE407 + 2 * k) + words[pairs % len(words)]) & ~_ONE
+                new = _text.mix(hashes[pairs // len(words)] * np.uint64(0xA24BAED4963EE407 + 2 * k) + words[pairs % len(words)]) & _KEPT
             gram = np.full(len(token), -1)
             gram[at] = back
             self.gram.append(gram)
