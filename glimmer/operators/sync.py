@@ -155,3 +155,37 @@ def restored_names(rows: DataFrame, taken: DataFrame, path: str = "file_path") -
     place = F.when(F.col("__t").isNotNull(), n).otherwise(n - 1)
     mark = F.when(place == 1, " (restored)").otherwise(F.concat(F.lit(" (restored "), place.cast("string"), F.lit(")")))
     return rows.join(used, F.col(path) == F.col("__t"), "left").withColumn("restored_path", F.when(place == 0, F.col(path)).otherwise(F.concat(stem, mark, ending))).drop("__t")
+
+
+def edited_moments(moments: DataFrame, order: DataFrame, hidden: DataFrame, titles: DataFrame) -> DataFrame:
+    """moments (id, sort_order, hidden, title) after a user's order (id, place from 1: sort_order by tens), hidden ids, and titles (blank ones change nothing)."""
+    placed = moments.join(order.select("id", (F.col("place") * 10).cast("long").alias("__place")), "id", "left").join(hidden.select("id", F.lit(True).alias("__hide")), "id", "left")
+    titled = placed.join(titles.filter(F.trim("title") != "").select("id", F.col("title").alias("__title")), "id", "left")
+    return titled.select("id", F.coalesce("__place", "sort_order").alias("sort_order"), (F.col("hidden") | F.coalesce("__hide", F.lit(False))).alias("hidden"), F.coalesce("__title", "title").alias("title"))
+
+
+#: Milliseconds that a planned purge waits.
+GRACE_MS = 30_000
+
+
+def purge_planned(people: DataFrame, now_ms: int) -> DataFrame:
+    """People hidden at once, to be purged after the grace."""
+    return people.select("id", F.lit(True).alias("hidden"), F.lit(now_ms + GRACE_MS).cast("long").alias("purge_at"))
+
+
+def purged(people: DataFrame, now_ms: int) -> DataFrame:
+    """Without those whose purge is due and who are hidden still."""
+    return people.filter(~(F.col("hidden") & F.coalesce(F.col("purge_at") <= now_ms, F.lit(False))))
+
+
+def detached(faces: DataFrame, out: DataFrame, people: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """faces without those of out (person_id, asset_id), and people without the unnamed ones that have no face left."""
+    left = faces.join(out, ["person_id", "asset_id"], "left_anti")
+    seen = left.select(F.col("person_id").alias("id")).distinct().withColumn("__seen", F.lit(True))
+    return left, people.join(seen, "id", "left").filter(F.col("__seen") | (F.coalesce("name", F.lit("")) != "")).drop("__seen")
+
+
+def pruned(cache: DataFrame, alive: DataFrame, key: str, written_at: str, before: Column) -> DataFrame:
+    """Entries whose key lives, or that are younger than the time given."""
+    known = alive.select(key).distinct().withColumn("__known", F.lit(True))
+    return cache.join(known, key, "left").filter(F.col("__known") | (F.col(written_at) >= before)).drop("__known")

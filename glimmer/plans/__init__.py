@@ -1,6 +1,6 @@
 """Queries over a library, by theme; importing this package registers all of them."""
 
-from glimmer.plans import curation, library, places, reports, sequences, similarity
+from glimmer.plans import curation, library, places, reports, sequences, similarity, views, writes
 from glimmer.plans.registry import QUERIES as ALL
 
-__all__ = ["ALL", "curation", "library", "places", "reports", "sequences", "similarity"]
+__all__ = ["ALL", "curation", "library", "places", "reports", "sequences", "similarity", "views", "writes"]
