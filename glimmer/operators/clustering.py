@@ -128,6 +128,16 @@ def partition_signature(labels: DataFrame, id_column: str, label: str) -> DataFr
     return labels.join(low, F.col(label).eqNullSafe(F.col("__l"))).select(id_column, "canonical")
 
 
+def evaluated(rows: DataFrame, label: str, cluster: str, gate: int) -> DataFrame:
+    """One row on clusters against labels: recall (a label's share in its largest part), fragments (its parts), purity, clusters, largest, second, gated (rows in clusters of the gate's size at least)."""
+    parts = rows.groupBy(label, cluster).agg(F.count("*").alias("k"))
+    labels = parts.groupBy(label).agg((F.max("k") / F.sum("k")).alias("recall"), F.count("*").alias("parts")).agg(F.avg("recall").alias("recall"), F.avg("parts").alias("fragments"))
+    groups = parts.groupBy(cluster).agg((F.max("k") / F.sum("k")).alias("purity"), F.sum("k").alias("size"))
+    sums = groups.agg(F.avg("purity").alias("purity"), F.count("*").alias("clusters"), F.max("size").alias("largest"), F.sum(F.when(F.col("size") >= gate, F.col("size")).otherwise(0)).alias("gated"))
+    two = groups.orderBy(F.desc("size")).limit(2).agg(F.when(F.count("*") > 1, F.min("size")).otherwise(0).alias("second"))
+    return labels.crossJoin(sums).crossJoin(two)  # a row each
+
+
 def cut_vertices(edges: DataFrame, component: str = "component") -> DataFrame:
     """(component, id, parts): nodes whose loss splits their component, by depth-first search of one component a group.
 

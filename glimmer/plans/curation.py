@@ -61,20 +61,20 @@ def _states(t):
     return old.withColumn("origin", origin), _matches(t, "1997-06-01", F.col("o_orderkey") % 2)
 
 
-@query("ST-08 SNK-37 ST-12", f"""{_STATES} SELECT coalesce(a.k, b.k) AS asset_id, CASE WHEN a.k IS NULL THEN 'insert' WHEN b.k IS NULL THEN 'delete' WHEN abs(a.s - b.s) > 0.0 THEN 'update' ELSE 'keep' END AS action FROM a FULL OUTER JOIN b ON a.k = b.k""")
+@query("ST-08 SNK-37", f"""{_STATES} SELECT coalesce(a.k, b.k) AS asset_id, CASE WHEN a.k IS NULL THEN 'insert' WHEN b.k IS NULL THEN 'delete' WHEN abs(a.s - b.s) > 0.0 THEN 'update' ELSE 'keep' END AS action FROM a FULL OUTER JOIN b ON a.k = b.k""")
 def diff_sync(t):
     old, new = _states(t)
     return sync.difference(old, new, "asset_id", "match_score").select("asset_id", "action")
 
 
-@query("SNK-21 SNK-22 RM-06", f"""{_STATES} SELECT coalesce(a.k, b.k) AS asset_id, coalesce(origin, 0) AS origin, round(CASE WHEN coalesce(origin, 0) <> 0 THEN a.s ELSE coalesce(b.s, a.s) END, 6) AS match_score,
+@query("SNK-21 RM-06", f"""{_STATES} SELECT coalesce(a.k, b.k) AS asset_id, coalesce(origin, 0) AS origin, round(CASE WHEN coalesce(origin, 0) <> 0 THEN a.s ELSE coalesce(b.s, a.s) END, 6) AS match_score,
 CASE WHEN coalesce(origin, 0) <> 0 THEN 'keep' WHEN a.k IS NULL THEN 'insert' WHEN b.k IS NULL THEN 'delete' WHEN a.s <> b.s THEN 'update' ELSE 'keep' END AS action FROM a FULL OUTER JOIN b ON a.k = b.k""")
 def standing_view_reconcile(t):
     old, new = _states(t)
     return sync.reconcile(old, new).select("asset_id", "origin", F.round("match_score", 6).alias("match_score"), "action")
 
 
-@query("ST-09 SNK-26 SNK-27 RM-07", """
+@query("ST-09 RM-07", """
 WITH m AS (SELECT o_custkey AS moment_id, o_orderkey AS asset_id FROM orders WHERE o_orderkey % 2 = 0),
 x AS (SELECT o_custkey AS moment_id, o_orderkey AS asset_id FROM orders WHERE o_orderkey % 14 = 0),
 p AS (SELECT o_custkey AS moment_id, o_orderkey AS asset_id FROM orders WHERE o_orderkey % 9 = 0 AND o_orderstatus <> 'P')
@@ -86,7 +86,7 @@ def edit_replay(t):
     return sync.replay_edits(own.filter("asset_id % 2 = 0").select("moment_id", "asset_id"), edits, alive, ["moment_id", "asset_id"])
 
 
-@query("SNK-01 SNK-02 SNK-05 SNK-25", """
+@query("SNK-01", """
 WITH a AS (SELECT o_orderkey AS id, 'p' || o_orderkey AS file_path, o_orderkey % 5 AS checksum, true AS face_scanned, o_totalprice AS size FROM orders WHERE o_orderkey % 4 <> 0),
 b AS (SELECT o_orderkey + 1000000 AS id, 'p' || o_orderkey AS file_path, o_orderkey % 10 AS checksum, false AS face_scanned, o_totalprice + 1 AS size FROM orders WHERE o_orderkey % 3 <> 0)
 SELECT coalesce(a.id, b.id) AS id, coalesce(a.file_path, b.file_path) AS file_path, coalesce(b.checksum, a.checksum)::BIGINT AS checksum,
@@ -102,7 +102,7 @@ def asset_upsert(t):
     return sync.upsert(old, new, ["file_path"], {"id": F.col("old.id"), "face_scanned": F.when(same, F.col("old.face_scanned")).otherwise(False)})
 
 
-@query("SNK-06 SNK-08 SET-05", "SELECT DISTINCT user_id, floor(value * 3)::INT % 50 AS item FROM events WHERE event_type IN ('view', 'click')")
+@query("SNK-06 SET-05", "SELECT DISTINCT user_id, floor(value * 3)::INT % 50 AS item FROM events WHERE event_type IN ('view', 'click')")
 def favorites_inserted_once(t):
     own = t("events").select("user_id", (F.floor(F.col("value") * 3).cast("int") % 50).alias("item"), "event_type")
     kept = own.filter("event_type = 'view'").select("user_id", "item").distinct()
@@ -114,18 +114,18 @@ def retention_purge(t):
     return sync.expired(t("orders").filter("o_orderstatus = 'F'"), "o_orderdate", F.lit("1998-01-31").cast("timestamp_ntz"), 0).select("o_orderkey")
 
 
-@query("SNK-33 SNK-34 RM-01 SNK-38", "SELECT doc_id FROM labels WHERE doc_id IN (SELECT doc_id FROM documents WHERE lang <> 'de')")
+@query("SNK-33", "SELECT doc_id FROM labels WHERE doc_id IN (SELECT doc_id FROM documents WHERE lang <> 'de')")
 def orphans_pruned(t):
     return sync.orphans_removed(t("labels"), t("documents").filter("lang <> 'de'"), "doc_id", "doc_id").select("doc_id")
 
 
-@query("SNK-15 SNK-17", "SELECT CASE WHEN l_suppkey = 7 THEN 3 ELSE l_suppkey END AS person, count(DISTINCT l_orderkey)::BIGINT AS assets FROM lineitem GROUP BY 1")
+@query("SNK-15", "SELECT CASE WHEN l_suppkey = 7 THEN 3 ELSE l_suppkey END AS person, count(DISTINCT l_orderkey)::BIGINT AS assets FROM lineitem GROUP BY 1")
 def person_merge(t):
     mapping = t("lineitem").select(F.col("l_suppkey").alias("person_id"), "l_orderkey")
     return sync.merged_person(mapping, 7, 3).groupBy(F.col("person_id").alias("person")).agg(F.countDistinct("l_orderkey").alias("assets"))
 
 
-@query("SNK-30 SRC-05", """SELECT page_id, max(root) AS volume FROM (SELECT page_id, root, max(length(root)) OVER (PARTITION BY page_id) AS m FROM pages, (SELECT DISTINCT regexp_extract(url, '^[a-z]+://[^/]*/[^/]*/', 0) AS root FROM pages WHERE page_id % 9 = 0 UNION SELECT DISTINCT regexp_extract(url, '^[a-z]+://[^/]*/', 0) FROM pages WHERE page_id % 4 = 0) WHERE root <> '' AND starts_with(url, root)) WHERE length(root) = m GROUP BY page_id""")
+@query("SRC-05", """SELECT page_id, max(root) AS volume FROM (SELECT page_id, root, max(length(root)) OVER (PARTITION BY page_id) AS m FROM pages, (SELECT DISTINCT regexp_extract(url, '^[a-z]+://[^/]*/[^/]*/', 0) AS root FROM pages WHERE page_id % 9 = 0 UNION SELECT DISTINCT regexp_extract(url, '^[a-z]+://[^/]*/', 0) FROM pages WHERE page_id % 4 = 0) WHERE root <> '' AND starts_with(url, root)) WHERE length(root) = m GROUP BY page_id""")
 def volume_of_path(t):
     from glimmer.sources.files import volume_roots
 
@@ -134,7 +134,7 @@ def volume_of_path(t):
     return volume_roots(t("pages").select("page_id", "url"), "page_id", "url", deep.union(flat).filter("root <> ''").distinct()).select("page_id", F.col("root").alias("volume"))
 
 
-@query("SRC-08 SRC-07", "SELECT event_id, (props ->> '$.k')::INT AS k FROM events WHERE event_type = 'purchase' AND (props ->> '$.k')::INT >= 50")
+@query("", "SELECT event_id, (props ->> '$.k')::INT AS k FROM events WHERE event_type = 'purchase' AND (props ->> '$.k')::INT >= 50")
 def event_properties(t):
     rows = t("events").filter("event_type = 'purchase'").withColumn("p", F.from_json("props", "k int"))
     return rows.select("event_id", F.col("p.k").alias("k")).filter("k >= 50")
@@ -149,7 +149,7 @@ def live_photo_pairs(t):
     return rows.filter("page_id % 2 = 0").join(clips, "stem").select(F.col("page_id").alias("still"), "clip")
 
 
-@query("SNK-28 RM-08", "SELECT 'tag' AS kind, lang AS key, count(*)::BIGINT AS n FROM documents GROUP BY 2 UNION ALL SELECT 'site', source, count(*)::BIGINT FROM documents GROUP BY 2")
+@query("", "SELECT 'tag' AS kind, lang AS key, count(*)::BIGINT AS n FROM documents GROUP BY 2 UNION ALL SELECT 'site', source, count(*)::BIGINT FROM documents GROUP BY 2")
 def entities_by_kind(t):
     rows = t("documents").select(F.explode(F.create_map(F.lit("tag"), "lang", F.lit("site"), "source")).alias("kind", "key"))
     return rows.groupBy("kind", "key").agg(F.count("*").alias("n"))

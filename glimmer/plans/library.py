@@ -16,7 +16,7 @@ def _time(c: str = "o_orderdate"):
     return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
 
 
-@query("AG-01 SRC-03", """
+@query("AG-01", """
 SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*)::BIGINT AS n,
   (count(*) FILTER (o_orderpriority = '1-URGENT'))::BIGINT AS videos, (count(*) FILTER (o_orderstatus = 'F'))::BIGINT AS documents
 FROM orders GROUP BY 1""")
@@ -26,7 +26,7 @@ def timeline_buckets(t):
     return t("orders").groupBy(month).agg(F.count("*").alias("n"), some(F.col("o_orderpriority") == "1-URGENT").alias("videos"), some(F.col("o_orderstatus") == "F").alias("documents")).orderBy(F.desc_nulls_last("month"))
 
 
-@query("SRT-02 FLT-03 FLT-15", """
+@query("SRT-02 FLT-03", """
 SELECT o_orderkey, o_totalprice FROM orders WHERE year(o_orderdate) = 1997 AND month(o_orderdate) = 6
 ORDER BY o_orderdate DESC, o_orderkey LIMIT 50 OFFSET 20""")
 def timeline_bucket_page(t):
@@ -63,7 +63,7 @@ def named_entities_per_asset(t):
     return rows.groupBy("l_orderkey").agg(F.array_join(F.sort_array(F.collect_set("n_name")), ",").alias("names"))
 
 
-@query("JN-04 FLT-14 RM-04", "SELECT o_orderkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_suppkey = 1) ORDER BY o_orderdate DESC, o_orderkey LIMIT 40")
+@query("JN-04 RM-04", "SELECT o_orderkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_suppkey = 1) ORDER BY o_orderdate DESC, o_orderkey LIMIT 40")
 def entity_assets_page(t):
     own = t("lineitem").filter("l_suppkey = 1").select(F.col("l_orderkey").alias("o_orderkey"))
     return t("orders").join(own, "o_orderkey", "left_semi").orderBy(F.desc("o_orderdate"), "o_orderkey").limit(40).select("o_orderkey")
@@ -78,7 +78,7 @@ def co_occurrence(t):
     return others.join(mine, "l_orderkey", "left_semi").groupBy("other").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "other")
 
 
-@query("AG-05 SRT-09 GEO-09", """
+@query("AG-05 GEO-09", """
 SELECT l_suppkey AS person, count(DISTINCT l_orderkey)::BIGINT AS assets, strftime(min(l_shipdate), '%Y-%m-%d') AS first, strftime(max(l_shipdate), '%Y-%m-%d') AS last,
   count(DISTINCT c_nationkey)::BIGINT AS places
 FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey GROUP BY 1""")
@@ -132,7 +132,7 @@ def top_faces_between(t):
     return rows.groupBy(F.col("s_suppkey").alias("person")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "person").limit(5)
 
 
-@query("JN-08 PRJ-04 PRJ-05 JN-28", """
+@query("PRJ-04 PRJ-05 JN-28", """
 SELECT s_suppkey AS person, CASE WHEN s_suppkey % 5 = 0 THEN '' ELSE n_name || CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE ', ' || r_name END END AS place,
   CASE WHEN s_suppkey % 5 = 0 THEN CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE r_name END ELSE n_name || CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE ', ' || r_name END END AS place_or_country
 FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey""")
@@ -178,7 +178,7 @@ def conditional_bytes(t):
     return t("lineitem").agg(part(raw).alias("raw"), part(~raw & video).alias("video"), part(~raw & ~video).alias("photo"))
 
 
-@query("AG-12 Q-06", """
+@query("", """
 SELECT least(floor(l_discount * 100 / 1.0), 9)::INT AS bin, count(*)::BIGINT AS n, any_value(m) AS median FROM lineitem, (SELECT median(l_discount) AS m FROM lineitem) GROUP BY 1""")
 def score_histogram_median(t):
     rows = t("lineitem")
@@ -187,7 +187,7 @@ def score_histogram_median(t):
     return bins.crossJoin(F.broadcast(median))  # one row
 
 
-@query("AG-07 AG-08 JN-06 Q-05", """
+@query("AG-07 AG-08 JN-06", """
 SELECT c_nationkey AS city, count(*)::BIGINT AS n, strftime(max(o_orderdate), '%Y-%m-%d') AS last, arg_max(c_mktsegment, (o_orderdate, o_orderkey)) AS segment, any_value(n_regionkey) AS region, any_value(cities)::BIGINT AS cities
 FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey
 JOIN (SELECT n_regionkey AS r, count(DISTINCT n_nationkey) AS cities FROM nation GROUP BY 1) ON r = n_regionkey GROUP BY 1""")
@@ -215,7 +215,7 @@ def set_cover_argmax(t):
     return best_row(t("orders"), ["o_custkey"], [F.desc_nulls_last(score), F.asc("o_orderkey")]).select(F.col("o_custkey").alias("album"), F.col("o_orderkey").alias("cover"))
 
 
-@query("WIN-01 AG-30 SNK-36", """
+@query("WIN-01 SNK-36", """
 SELECT o_custkey AS album, o_orderkey AS asset, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS position
 FROM orders WHERE o_custkey IN (SELECT o_custkey FROM orders GROUP BY 1 HAVING count(*) >= 2)""")
 def position_backfill(t):
@@ -260,7 +260,7 @@ def current_trip_city(t):
     return rows.agg(F.max_by("c_nationkey", F.struct("o_orderdate", "o_orderkey")).alias("city"))
 
 
-@query("AG-11 AG-14 Q-08", """
+@query("AG-14 Q-08", """
 WITH d AS (SELECT source, doc_id, lang, n_chars, substr(text, 1, 80) AS head FROM documents),
 top AS (SELECT source, string_agg(lang || ':' || n, ',' ORDER BY n DESC, lang) AS langs FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, lang) AS r FROM (SELECT source, lang, count(*) AS n FROM d GROUP BY 1, 2)) WHERE r <= 3 GROUP BY 1),
 longest AS (SELECT source, string_agg(sha256(head), ',' ORDER BY r) AS longest FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS r FROM d) WHERE r <= 3 GROUP BY 1),
@@ -300,13 +300,13 @@ def place_without_videos(t):
     return t("customer").join(named, F.col("n_nationkey") == F.col("c_nationkey"), "left_semi").join(videos, "c_custkey", "left_anti").select("c_custkey")
 
 
-@query("FLT-11 FLT-12 FLT-13 SRC-02", r"""
+@query("FLT-11", r"""
 SELECT page_id, starts_with(url, 'https://') AS secure, regexp_extract(url, '^[a-z]+://([^/]*)', 1) AS volume, list_contains(string_split(url, '/'), 'tag') AS tagged FROM pages""")
 def url_parts(t):
     return t("pages").select("page_id", F.col("url").startswith("https://").alias("secure"), F.regexp_extract("url", r"^[a-z]+://([^/]*)", 1).alias("volume"), F.array_contains(F.split("url", "/"), "tag").alias("tagged"))
 
 
-@query("SNK-07 SRT-05", "SELECT user_id, event_type, count(*)::BIGINT AS view_count, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last FROM events GROUP BY 1, 2")
+@query("SNK-07", "SELECT user_id, event_type, count(*)::BIGINT AS view_count, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last FROM events GROUP BY 1, 2")
 def view_counters(t):
     return count_events(t("events"), ["user_id", "event_type"], "ts").select("user_id", "event_type", "view_count", _time("last_viewed_at").alias("last"))
 
@@ -331,7 +331,7 @@ def explicit_order(t):
     return t("orders").join(F.broadcast(wanted), F.col("k") == F.col("o_orderkey")).select("o_orderkey", "o_totalprice", F.col("place").cast("long").alias("place")).orderBy("place")  # as many rows as ids are given
 
 
-@query("SRT-07 SRT-11 SRT-12", """
+@query("SRT-07 SRT-11", """
 SELECT o_orderkey, (SELECT ceil(count(*) / 24.0)::BIGINT FROM orders WHERE o_orderstatus = 'P') AS pages FROM orders WHERE o_orderstatus = 'P' ORDER BY o_orderdate DESC, o_orderkey LIMIT 24 OFFSET 48""")
 def paged_with_total(t):
     rows = t("orders").filter("o_orderstatus = 'P'")
@@ -339,7 +339,7 @@ def paged_with_total(t):
     return rows.orderBy(F.desc("o_orderdate"), "o_orderkey").offset(48).limit(24).select("o_orderkey").crossJoin(F.broadcast(pages))  # one row
 
 
-@query("JN-26 SNK-29 RM-24", "SELECT n_nationkey, coalesce(o.o_orderkey, d.cover) AS cover FROM nation LEFT JOIN (SELECT c_nationkey, max(o_orderkey) AS cover FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1) d ON d.c_nationkey = n_nationkey LEFT JOIN orders o ON o.o_orderkey = n_nationkey * 8")
+@query("JN-26 RM-24", "SELECT n_nationkey, coalesce(o.o_orderkey, d.cover) AS cover FROM nation LEFT JOIN (SELECT c_nationkey, max(o_orderkey) AS cover FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1) d ON d.c_nationkey = n_nationkey LEFT JOIN orders o ON o.o_orderkey = n_nationkey * 8")
 def cover_overrides(t):
     own = t("orders").join(t("customer"), F.col("c_custkey") == F.col("o_custkey")).groupBy("c_nationkey").agg(F.max("o_orderkey").alias("cover"))
     chosen = t("nation").select("n_nationkey", (F.col("n_nationkey").cast("long") * 8).alias("o_orderkey")).join(t("orders").select("o_orderkey"), "o_orderkey")

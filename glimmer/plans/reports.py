@@ -34,7 +34,7 @@ def _assets(t):
 _SHOWN = "o_orderkey % 13 <> 0 AND o_orderkey % 50 <> 0 AND o_orderkey % 7 <> 0"
 
 
-@query("FLT-01 Q-02", f"SELECT strftime(o_orderdate, '%Y') AS year, count(*)::BIGINT AS n FROM orders WHERE {_SHOWN} GROUP BY 1")
+@query("FLT-01", f"SELECT strftime(o_orderdate, '%Y') AS year, count(*)::BIGINT AS n FROM orders WHERE {_SHOWN} GROUP BY 1")
 def visible_per_year(t):
     return _assets(t).filter(visible()).groupBy(F.date_format("taken_at", "yyyy").alias("year")).agg(F.count("*").alias("n"))
 
@@ -44,7 +44,7 @@ def active_uploads(t):
     return t("events").filter((F.col("user_id") == 8) & F.col("event_type").isin("click", "view")).orderBy(F.desc("ts"), "event_id").select("event_id")
 
 
-@query("SNK-16", """SELECT s_suppkey AS id, CASE WHEN s_suppkey % 4 = 0 THEN true ELSE s_suppkey % 9 = 0 END AS hidden, s_suppkey % 4 = 0 AND s_acctbal < 5000 AS due FROM supplier WHERE NOT (s_suppkey % 4 = 0 AND s_acctbal < 1000)""")
+@query("", """SELECT s_suppkey AS id, CASE WHEN s_suppkey % 4 = 0 THEN true ELSE s_suppkey % 9 = 0 END AS hidden, s_suppkey % 4 = 0 AND s_acctbal < 5000 AS due FROM supplier WHERE NOT (s_suppkey % 4 = 0 AND s_acctbal < 1000)""")
 def people_purge(t):
     """Hiding, a purge that waits, and the sweep of those that are due: one expression each."""
     going = F.col("s_suppkey") % 4 == 0
@@ -52,7 +52,7 @@ def people_purge(t):
     return rows.filter(~(going & (F.col("s_acctbal") < 1000))).select(F.col("s_suppkey").alias("id"), "hidden", "due")
 
 
-@query("SNK-10 SNK-11 SET-06 RM-02", """SELECT o_custkey AS album, o_orderkey AS asset, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey) - 1 AS position, CASE WHEN o_orderkey = c THEN NULL ELSE c END AS cover
+@query("SNK-11", """SELECT o_custkey AS album, o_orderkey AS asset, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey) - 1 AS position, CASE WHEN o_orderkey = c THEN NULL ELSE c END AS cover
 FROM orders JOIN (SELECT o_custkey AS k, max(o_orderkey) AS c FROM orders GROUP BY 1) ON k = o_custkey WHERE o_orderkey % 5 <> 0 OR o_orderkey = c""")
 def album_reordered(t):
     covers = t("orders").groupBy(F.col("o_custkey").alias("album")).agg(F.max("o_orderkey").alias("c"))
@@ -61,7 +61,7 @@ def album_reordered(t):
     return rows.select("album", F.col("o_orderkey").alias("asset"), (F.row_number().over(w) - 1).cast("long").alias("position"), F.when(F.col("o_orderkey") != F.col("c"), F.col("c")).alias("cover"))
 
 
-@query("SNK-20 SNK-23 FLT-18 FLT-19", """SELECT o_custkey AS album, o_orderkey AS asset, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey % 100 DESC, o_orderkey) - 1 AS position FROM orders WHERE o_orderkey % 100 >= 20""")
+@query("", """SELECT o_custkey AS album, o_orderkey AS asset, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey % 100 DESC, o_orderkey) - 1 AS position FROM orders WHERE o_orderkey % 100 >= 20""")
 def views_to_albums(t):
     """Each view's matches become an album in the order of their scores."""
     rows = t("orders").withColumn("score", F.col("o_orderkey") % 100).filter("score >= 20")
@@ -99,7 +99,7 @@ def featured_and_cover(t):
     return picked.groupBy("moment_id").agg(ids.alias("featured")).join(cover(picked, ["moment_id"]), "moment_id")
 
 
-@query("VEC-24", _COMPONENTS.format(e=EPSILON) + """, near AS (SELECT DISTINCT a, b FROM links), parts AS (SELECT cluster, count(*) AS n FROM c GROUP BY 1),
+@query("", _COMPONENTS.format(e=EPSILON) + """, near AS (SELECT DISTINCT a, b FROM links), parts AS (SELECT cluster, count(*) AS n FROM c GROUP BY 1),
 rest AS (SELECT x.vec_id AS lost, s.vec_id AS s FROM v x JOIN c cx USING (vec_id) JOIN c s ON s.cluster = cx.cluster AND s.vec_id <> x.vec_id JOIN parts p ON p.cluster = cx.cluster AND p.n > 2),
 walk AS (SELECT lost, s, s AS r FROM rest UNION SELECT lost, s, b FROM walk JOIN near ON a = r WHERE b <> lost),
 low AS (SELECT lost, s, min(r) AS part FROM walk GROUP BY 1, 2) SELECT lost AS id, count(DISTINCT part)::BIGINT AS parts FROM low GROUP BY 1 HAVING count(DISTINCT part) > 1""")
@@ -110,7 +110,7 @@ def articulation_points(t):
     return cut_vertices(pairs.join(labels, F.col("a") == F.col("id")).select(F.col("cluster").alias("component"), "a", "b")).select("id", "parts")
 
 
-@query("Q-03 RM-03", f"""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e, label FROM embeddings), dims AS (SELECT label, i, avg(x) AS m FROM (SELECT label, generate_subscripts(e, 1) AS i, unnest(e) AS x FROM v) GROUP BY 1, 2), centers AS (SELECT label, list(m ORDER BY i) AS c FROM dims GROUP BY 1),
+@query("Q-03", f"""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e, label FROM embeddings), dims AS (SELECT label, i, avg(x) AS m FROM (SELECT label, generate_subscripts(e, 1) AS i, unnest(e) AS x FROM v) GROUP BY 1, 2), centers AS (SELECT label, list(m ORDER BY i) AS c FROM dims GROUP BY 1),
 k AS (SELECT label, round(greatest(0, least(1, avg(1 - ({_COS.format(a='e', b='c')})))), 6) AS confidence, count(*)::BIGINT AS assets FROM v JOIN centers USING (label) GROUP BY 1)
 SELECT label AS person, CASE WHEN label % 3 = 0 THEN 'named ' || label ELSE '' END AS name, confidence, assets FROM k WHERE label % 7 <> 6 AND (label % 3 = 0 OR confidence >= 0.1)""")
 def people_list(t):
@@ -167,7 +167,7 @@ def face_crops(t):
     return t("lineitem").withColumn("b", box).select("l_orderkey", "l_linenumber", "l_partkey", F.col("b.left").alias("lo"), F.col("b.right").alias("hi"), "b.top", "b.bottom")
 
 
-@query("RM-20 SNK-32", "SELECT o_orderkey, o_totalprice * 1.05 <= 200000 AS fits FROM orders")
+@query("RM-20", "SELECT o_orderkey, o_totalprice * 1.05 <= 200000 AS fits FROM orders")
 def quota_check(t):
     return t("orders").select("o_orderkey", fits_quota(F.col("o_totalprice"), F.lit(200_000)).alias("fits"))
 
@@ -194,7 +194,7 @@ def golden_sample(t):
     return many.unionByName(huge).unionByName(text)
 
 
-@query("SRC-12 SRC-13", """SELECT event_id, round(user_id / (1 + event_id % 7), 6) AS frame_rate, ((event_id * 90 - 270) % 360 + 360) % 360 AS rotation, round(user_id / 10.0 - 7, 4) AS lat, round(value - 50, 2) AS lon,
+@query("SRC-13", """SELECT event_id, round(user_id / (1 + event_id % 7), 6) AS frame_rate, ((event_id * 90 - 270) % 360 + 360) % 360 AS rotation, round(user_id / 10.0 - 7, 4) AS lat, round(value - 50, 2) AS lon,
   least(120, greatest(5, CASE WHEN floor(value * 1000 / 1000) <= 30 THEN floor(value) WHEN floor(value) <= 120 THEN floor(floor(value) / 2) ELSE floor(floor(value) / 4) END))::INT AS frames, round(value / (value + 100), 6) AS sharp FROM events""")
 def video_facts(t):
     rate = fraction(F.concat_ws("/", F.col("user_id").cast("string"), (1 + F.col("event_id") % 7).cast("string")))
@@ -216,7 +216,7 @@ def vector_ranges(t):
     return t("embeddings").groupBy("label").agg(F.round(F.min(F.array_max("embedding").cast("double") - F.array_min("embedding").cast("double")), 5).alias("low"), F.count("*").alias("n"))
 
 
-@query("SNK-35 ST-10 ST-14", "SELECT doc_id, CASE WHEN quality = 1 THEN 'keep' ELSE 'redo' END AS job FROM labels UNION ALL SELECT doc_id, 'redo' FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+@query("SNK-35", "SELECT doc_id, CASE WHEN quality = 1 THEN 'keep' ELSE 'redo' END AS job FROM labels UNION ALL SELECT doc_id, 'redo' FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def generation_backfill(t):
     """Rows of an older generation, or of none, are the work of a rerun; those of the present one stay."""
     own = t("documents").select("doc_id").join(t("labels").select("doc_id", "quality"), "doc_id", "full_outer")

@@ -18,7 +18,7 @@ def _time(c):
     return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
 
 
-@query("WIN-02 WIN-07 RM-09 GEO-10", f"""{_GAPS}
+@query("WIN-02 WIN-07 RM-09", f"""{_GAPS}
 SELECT user_id, segment::BIGINT AS segment, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last, count(*)::BIGINT AS n,
   floor((max({_SECONDS}) - min({_SECONDS})) / 86400)::BIGINT + 1 AS days, array_to_string(list(event_id ORDER BY ts, event_id)[1:6], ',') AS thumbs FROM s GROUP BY 1, 2""")
 def trips_by_gap(t):
@@ -41,7 +41,7 @@ def bursts(t):
     return global_gap_segments(t("events"), "ts", 60, "burst").select("event_id", F.col("burst").cast("long").alias("burst"))
 
 
-@query("ST-03 ST-07", f"{_GAPS} SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS opened, count(*)::BIGINT AS n, round(sum(value), 2) AS total FROM s GROUP BY user_id, segment")
+@query("ST-03", f"{_GAPS} SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS opened, count(*)::BIGINT AS n, round(sum(value), 2) AS total FROM s GROUP BY user_id, segment")
 def session_batches(t):
     rows = t("events").withColumn("ts", F.col("ts").cast("timestamp"))
     batches = rows.groupBy("user_id", F.session_window("ts", "6 hours")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
@@ -77,7 +77,7 @@ def readiness_edges(t):
     return rising_edges(t("events"), F.col("value") >= 10, ["user_id"], ["ts", "event_id"]).select("event_id")
 
 
-@query("ST-01 SRC-09", "SELECT min(event_id) AS event_id FROM events GROUP BY user_id, event_type, floor(epoch(ts) / 3600)")
+@query("", "SELECT min(event_id) AS event_id FROM events GROUP BY user_id, event_type, floor(epoch(ts) / 3600)")
 def in_flight_dedup(t):
     hour = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 3600)
     return t("events").groupBy("user_id", "event_type", hour.alias("h")).agg(F.min("event_id").alias("event_id")).select("event_id")

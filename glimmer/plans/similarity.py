@@ -35,7 +35,7 @@ def knn_topk(t):
     return _hits(t, 20).select("vec_id", F.round("distance", 6).alias("distance"), F.round(similarity_of(F.col("distance")), 6).alias("similarity"))
 
 
-@query("VEC-03 VEC-04 PRJ-03 SRT-10", f"WITH {_HITS} SELECT vec_id, round(s, 6) AS score FROM shown WHERE s >= 0.3")
+@query("VEC-03 VEC-04 PRJ-03", f"WITH {_HITS} SELECT vec_id, round(s, 6) AS score FROM shown WHERE s >= 0.3")
 def knn_display(t):
     return _hits(t).filter("score >= 0.3").select("vec_id", F.round("score", 6).alias("score"))
 
@@ -89,12 +89,12 @@ def dbscan_labels(t):
     return labels.select(F.col("id").alias("vec_id"), "cluster")
 
 
-@query("AG-26 Q-12", _COMPONENTS.format(e=EPSILON) + " SELECT n AS size, count(*)::BIGINT AS clusters FROM (SELECT cluster, count(*)::BIGINT AS n FROM c GROUP BY 1) GROUP BY 1")
+@query("AG-26", _COMPONENTS.format(e=EPSILON) + " SELECT n AS size, count(*)::BIGINT AS clusters FROM (SELECT cluster, count(*)::BIGINT AS n FROM c GROUP BY 1) GROUP BY 1")
 def cluster_sizes(t):
     return dbscan_labels(t).groupBy("cluster").agg(F.count("*").alias("size")).groupBy("size").agg(F.count("*").alias("clusters"))
 
 
-@query("VEC-16 VEC-17", _COMPONENTS.format(e=0.6) + ", big AS (SELECT cluster, vec_id, row_number() OVER (PARTITION BY cluster ORDER BY CASE WHEN vec_id % 4 = 0 THEN -1 ELSE label END DESC, vec_id) AS r, count(*) OVER (PARTITION BY cluster) AS n FROM c JOIN v USING (vec_id)) SELECT cluster, vec_id AS best, n::BIGINT AS members FROM big WHERE r = 1 AND n > 1")
+@query("VEC-17", _COMPONENTS.format(e=0.6) + ", big AS (SELECT cluster, vec_id, row_number() OVER (PARTITION BY cluster ORDER BY CASE WHEN vec_id % 4 = 0 THEN -1 ELSE label END DESC, vec_id) AS r, count(*) OVER (PARTITION BY cluster) AS n FROM c JOIN v USING (vec_id)) SELECT cluster, vec_id AS best, n::BIGINT AS members FROM big WHERE r = 1 AND n > 1")
 def near_dup_groups(t):
     rows = t("embeddings")
     groups = components(rows.select(F.col("vec_id").alias("id")), similar_pairs(rows, "vec_id", "embedding", 0.6))
@@ -121,7 +121,7 @@ def merge_band(t):
     return merge_suggestions(centers, "label", 0.62, 0.98, rejected).select("a", "b", F.round("distance", 6).alias("distance"))
 
 
-@query("VEC-19 VEC-26", f"""WITH {_V}, p AS (SELECT vec_id AS p, e AS pe FROM v WHERE vec_id < 6), s AS (SELECT vec_id, p, 1 - ({_COS.format(a='e', b='pe')}) AS s FROM v, p)
+@query("VEC-19", f"""WITH {_V}, p AS (SELECT vec_id AS p, e AS pe FROM v WHERE vec_id < 6), s AS (SELECT vec_id, p, 1 - ({_COS.format(a='e', b='pe')}) AS s FROM v, p)
 SELECT vec_id, round(max(s) FILTER (p < 3) - max(s) FILTER (p >= 3), 6) AS margin FROM s GROUP BY 1""")
 def zero_shot_margin(t):
     rows = t("embeddings")
@@ -131,14 +131,14 @@ def zero_shot_margin(t):
     return joined.select("vec_id", F.round(margin, 6).alias("margin"))
 
 
-@query("VEC-21 RM-18", f"""WITH {_V}, p AS (SELECT vec_id AS p, e AS pe FROM v WHERE vec_id < 6), s AS (SELECT vec_id, p, 1 - ({_COS.format(a='e', b='pe')}) AS s FROM v, p),
+@query("VEC-21", f"""WITH {_V}, p AS (SELECT vec_id AS p, e AS pe FROM v WHERE vec_id < 6), s AS (SELECT vec_id, p, 1 - ({_COS.format(a='e', b='pe')}) AS s FROM v, p),
 m AS (SELECT vec_id, round(max(s) FILTER (p < 3) - max(s) FILTER (p >= 3), 6) AS margin FROM s GROUP BY 1)
 SELECT vec_id, 0.65 * greatest(0, least(1, (margin + 0.1) / 0.2)) + 0.35 * ((vec_id % 11) / 10.0) >= 0.5 - 1e-9 AS is_doc FROM m""")
 def document_verdicts(t):
     return zero_shot_margin(t).select("vec_id", document_verdict(F.col("margin"), (F.col("vec_id") % 11) / 10.0, -0.1, 0.1).alias("is_doc"))
 
 
-@query("VEC-22 SNK-03", f"WITH {_V} SELECT vec_id, round(list_sum(list_transform(range(1, 65), lambda i: e[i] * (i % 7 - 3) / 10.0)) / sqrt(list_dot_product(e, e)) + 5, 6) AS score FROM v")
+@query("VEC-22", f"WITH {_V} SELECT vec_id, round(list_sum(list_transform(range(1, 65), lambda i: e[i] * (i % 7 - 3) / 10.0)) / sqrt(list_dot_product(e, e)) + 5, 6) AS score FROM v")
 def linear_head_scores(t):
     weights = F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: (i % 7 - 3) / 10.0)
     return t("embeddings").select("vec_id", F.round(linear_head(F.col("embedding"), weights, 5.0), 6).alias("score"))
@@ -152,7 +152,7 @@ def snap_to_anchor(t):
     return rows.crossJoin(anchors).select("vec_id", F.array_max(near)["label"].alias("anchor")).filter("anchor IS NOT NULL")
 
 
-@query("VEC-13 VEC-14 VEC-15 SNK-18 RM-14", """
+@query("VEC-13 VEC-14", """
 WITH f AS (SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_partkey % 9 = 0 THEN NULL ELSE 1 + l_discount * 80 END AS aes, l_quantity * 1000 AS area, 400 AS w, 300 AS h, l_tax * 10 AS det, CASE WHEN l_partkey % 4 = 0 THEN NULL ELSE l_discount * 10 END AS front FROM lineitem),
 s AS (SELECT *, CASE WHEN aes IS NULL THEN -1 ELSE greatest(0, least(1, (aes - 1) / 9)) * least(area / (w * h), 1) * greatest(0, least(1, det)) * coalesce(0.5 + 0.5 * greatest(0, least(1, front)), 1) END AS score FROM f)
 SELECT l_orderkey, l_partkey AS cover, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY round(score, 9) DESC, area DESC, l_partkey, l_linenumber) AS r FROM s) WHERE r = 1""")
@@ -185,7 +185,7 @@ def nearest_neighbor_distance(t):
     return near.groupBy(F.col("query").alias("vec_id")).agg(F.round(F.min(F.col("distance") * F.col("distance") / 2), 6).alias("nearest"))
 
 
-@query("AG-28 VEC-25 RM-17", " UNION ALL ".join(
+@query("", " UNION ALL ".join(
     "SELECT * FROM (" + _COMPONENTS.format(e=e) + f" SELECT {e}::DOUBLE AS epsilon, count(DISTINCT cluster)::BIGINT AS clusters, max(n)::BIGINT AS largest, round(avg(pure), 6) AS purity FROM (SELECT cluster, count(*) AS n, max(k) * 1.0 / count(*) AS pure FROM (SELECT cluster, label, count(*) OVER (PARTITION BY cluster, label) AS k FROM c JOIN v USING (vec_id)) GROUP BY 1))" for e in (0.6, 0.64)))
 def sweep_eval(t):
     rows = t("embeddings")
@@ -199,7 +199,7 @@ def sweep_eval(t):
     return out
 
 
-@query("VEC-20 AG-29 SNK-04", """
+@query("VEC-20 AG-29", """
 WITH b AS (SELECT l_orderkey AS doc, l_linenumber AS i, l_discount AS x, l_linenumber / 10.0 AS y, 0.5 + l_tax AS w, 0.03 + (l_partkey % 3) / 100.0 AS h, (l_suppkey % 5) / 100.0 AS k FROM lineitem),
 f AS (SELECT doc, w * h AS area, abs(degrees(atan2(k, w))) AS a, h, x AS l, x + w / 2 AS c FROM b)
 SELECT doc, count(*)::BIGINT AS line_count, round(least(sum(area), 1), 6) AS coverage, round(CASE WHEN count(*) < 3 THEN 0.5 ELSE (greatest(0, least(1, 1 - avg(a) / 15)) + greatest(0, least(1, 1 - stddev_pop(h) / avg(h) / 0.75)) + greatest(0, least(1, 1 - least(stddev_pop(l), stddev_pop(c)) / 0.15))) / 3 END, 5) AS regularity

@@ -26,6 +26,11 @@ def mime_type(path: Column, head: Column | None = None) -> Column:
     return F.coalesce(known, sniffed)
 
 
+def oversize(width: Column, height: Column, most: int) -> Column:
+    """More pixels than a model takes."""
+    return width * height > most
+
+
 def media_files(spark: SparkSession, folder: str, excluded: tuple[str, ...] = (), content: bool = False) -> DataFrame:
     """Indexable files below a folder: path, size, modified[, content]. Hidden folders, snapshots and excluded ones are left out.
 
