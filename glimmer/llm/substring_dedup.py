@@ -30,6 +30,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -131,8 +132,8 @@ class Held:
         place = np.arange(len(self.h)) - firsts[:-1][self.owner]
         self.room, self.place = self.counts[self.owner] - place, self.start[self.owner] + place
 
-    def settle(self, n: int) -> tuple[list[pa.RecordBatch], np.ndarray]:
-        """A row of marks for windows that repeat a smaller one held here, and the places of all others."""
+    def settle(self, n: int, bucket: int | None = None) -> tuple[list[pa.RecordBatch], np.ndarray]:
+        """A row of marks (in the bucket) for windows that repeat a smaller one held here, and the places of all others."""
         at, hashes = _windows(self.h, self.room, n)
         if not len(at):
             return [], at
@@ -143,7 +144,7 @@ class Held:
         lo, hi = _runs(a, self.owner[a])
         d = self.owner[a[lo]]
         marks = np.stack([self.doc[d], self.tag[d], self.place[a[lo]], self.place[a[hi]] + n]).astype(np.int64)
-        row = {"bucket": None, "docs": None, "starts": None, "words": None, "marks": _zip(marks.tobytes())}
+        row = {"bucket": bucket, "docs": None, "starts": None, "words": None, "marks": _zip(marks.tobytes())}
         return [pa.RecordBatch.from_pylist([row], schema=_SCHEMA)], at[~gone]
 
     def deal(self, at: np.ndarray, n: int, buckets: int, turn: int) -> Iterator[pa.RecordBatch]:
@@ -175,14 +176,15 @@ class Held:
 def _pack(n: int, buckets: int, block_words: int):
     """Blocks of documents: marks of windows that repeat within the block, the others dealt to buckets."""
 
-    def close(held: list) -> Iterator[pa.RecordBatch]:
+    def close(held: list, number: int) -> Iterator[pa.RecordBatch]:
         block = Held(held)
-        marks, at = block.settle(n)
+        # marks pass through some bucket, so that all comes from one reading of the texts
+        marks, at = block.settle(n, int(_text.mix(np.array([number], np.uint64))[0] % np.uint64(buckets)))
         yield from marks
         yield from block.deal(at, n, buckets, 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, words = [], 0
+        held, words, number = [], 0, TaskContext.get().partitionId() << 32
         for batch in batches:
             for part in _text.slices(batch, "text"):
                 w = _text.split(part.column("text"), _text.WORDS)
@@ -190,10 +192,10 @@ def _pack(n: int, buckets: int, block_words: int):
                 held.append((ids, tags, np.zeros(len(ids), np.int64), w.counts, w.hashes(), *_joined(w)))
                 words += len(w.starts)
                 if words >= block_words:
-                    yield from close(held)
-                    held, words = [], 0
+                    yield from close(held, number)
+                    held, words, number = [], 0, number + 1
         if words:
-            yield from close(held)
+            yield from close(held, number)
 
     return run
 
@@ -220,7 +222,10 @@ def _count(n: int, buckets: int, turn: int, chunk_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, whole = [], 0, True
         for batch in batches:
-            for docs, starts, words in zip(*[batch.column(c) for c in ("docs", "starts", "words")], strict=True):
+            for docs, starts, words, marks in zip(*[batch.column(c) for c in ("docs", "starts", "words", "marks")], strict=True):
+                if marks.is_valid:
+                    yield pa.RecordBatch.from_pylist([{"bucket": None, "marks": marks.as_py()}], schema=_SCHEMA)
+                    continue
                 if size >= chunk_bytes:
                     whole = False
                     yield from close(held, whole)
@@ -255,17 +260,14 @@ def repeated_spans(docs: DataFrame, n: int = WINDOW) -> DataFrame:
     own = _tagged(docs)
     total = own.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = max(64, 3 * total // BUCKET_BYTES)
-    packed, found, turn = own.mapInArrow(_pack(n, buckets, BLOCK_WORDS), _PACKED), [], 0
-    # written, as marks and windows are both read from it
-    table = _store.written(packed, "spans-packed")
+    packed, found, turn = own.mapInArrow(_pack(n, buckets, BLOCK_WORDS), _PACKED), [], 1
     while True:
+        table = _store.written(packed.groupBy("bucket").applyInArrow(_count(n, buckets, turn, CHUNK_BYTES), _PACKED), "spans-marks")
         found.append(table.filter("marks IS NOT NULL").select("marks"))
-        left = table.filter("bucket IS NOT NULL")
-        if turn and not left.limit(1).count():
+        packed = table.filter("bucket IS NOT NULL")
+        if not packed.limit(1).count():
             break
-        turn += 1
-        buckets *= 1 if turn == 1 else 4
-        table = _store.written(left.groupBy("bucket").applyInArrow(_count(n, buckets, turn, CHUNK_BYTES), _PACKED), "spans-marks")
+        turn, buckets = turn + 1, 4 * buckets
     marks = reduce(DataFrame.union, found).mapInArrow(_marks, "doc_id long, tag long, first long, last long")
     return marks.groupBy("doc_id", "tag").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
 
