@@ -13,6 +13,10 @@ from glimmer.functions.scalars import haversine_km, metro_radius_km, region_of,
 SPOT_KM, SPOT_LEAST, SPOTS_MOST = 0.3, 3, 8
 
 
+#: Targets in a list that lone points look through.
+LISTED = 20_000
+
+
 def _cell(lat: Column, lon: Column) -> list[Column]:
     return [F.floor(lat + 90).alias("__y"), F.floor(lon + 180).alias("__x")]
 
@@ -35,9 +39,11 @@ def nearest(points: DataFrame, targets: DataFrame, fallback: bool = True) -> Dat
     if not fallback:
         return found
     left = points.join(found, "id", "left_anti")
-    # each lone point takes the whole target list along as one array, built once
-    listed = targets.agg(F.collect_list(F.struct("key", "t_lat", "t_lon")).alias("all"))
-    far = left.crossJoin(F.broadcast(listed)).select("id", F.array_min(F.transform("all", lambda t: F.struct(haversine_km(F.col("lat"), F.col("lon"), t["t_lat"], t["t_lon"]).alias("km"), t["key"].alias("key")))).alias("m"))
+    # targets in lists of bounded size, each of which meets the lone points once
+    lists = max(1, -(-targets.count() // LISTED))
+    listed = targets.groupBy(F.pmod(F.xxhash64("key"), F.lit(lists)).alias("__l")).agg(F.collect_list(F.struct("key", "t_lat", "t_lon")).alias("all"))
+    least = F.array_min(F.transform("all", lambda t: F.struct(haversine_km(F.col("lat"), F.col("lon"), t["t_lat"], t["t_lon"]).alias("km"), t["key"].alias("key"))))
+    far = left.crossJoin(listed).select("id", least.alias("m")).groupBy("id").agg(F.min("m").alias("m"))
     return found.unionByName(far.filter("m IS NOT NULL").select("id", F.col("m.key").alias("key"), F.col("m.km").alias("km")))
 
 

@@ -248,7 +248,7 @@ def place_details(t):
     return people.place_details(_photos(t), 10).select("city", "photos", "visits", "years", "busiest", "insight")
 
 
-@query("GEO-05 GEO-07", """WITH RECURSIVE p AS (SELECT c_nationkey AS city, o_orderkey AS id, 10 + c_nationkey + (o_orderkey % 5) * 0.02 + (o_orderkey % 7) * 0.0005 AS lat, 20 + c_nationkey + (o_orderkey % 3) * 0.02 + (o_orderkey % 11) * 0.0003 AS lon, row_number() OVER (PARTITION BY c_nationkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS i
+@query("GEO-05 GEO-07", """WITH RECURSIVE p AS (SELECT c_nationkey AS city, o_orderkey AS id, 10 + c_nationkey + (o_orderkey % 5) * 0.02 + (o_orderkey % 7) * 0.0005 AS lat, 20 + c_nationkey + (o_orderkey % 3) * 0.02 + (o_orderkey % 11) * 0.0003 AS lon, row_number() OVER (PARTITION BY c_nationkey ORDER BY o_orderdate DESC, o_orderkey) AS i
   FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_nationkey < 3),
 s AS (SELECT city, 0::BIGINT AS i, []::STRUCT(n BIGINT, a DOUBLE, b DOUBLE)[] AS spots, 0::BIGINT AS spot, 0::BIGINT AS id FROM (SELECT DISTINCT city FROM p)
   UNION ALL SELECT city, i, CASE WHEN k = 0 THEN list_append(spots, {'n': 1, 'a': lat, 'b': lon}) ELSE list_transform(spots, lambda x, j: CASE WHEN j = k THEN {'n': x.n + 1, 'a': x.a + lat, 'b': x.b + lon} ELSE x END) END, CASE WHEN k = 0 THEN len(spots) ELSE k - 1 END, id

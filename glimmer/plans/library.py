@@ -26,11 +26,12 @@ def timeline_buckets(t):
     return t("orders").groupBy(month).agg(F.count("*").alias("n"), some(F.col("o_orderpriority") == "1-URGENT").alias("videos"), some(F.col("o_orderstatus") == "F").alias("documents")).orderBy(F.desc_nulls_last("month"))
 
 
-@query("SRT-02 FLT-03", """
+@query("SRT-02 FLT-03 Q-02", """
 SELECT o_orderkey, o_totalprice FROM orders WHERE year(o_orderdate) = 1997 AND month(o_orderdate) = 6
 ORDER BY o_orderdate DESC, o_orderkey LIMIT 50 OFFSET 20""")
 def timeline_bucket_page(t):
-    month = t("orders").filter((F.year("o_orderdate") == 1997) & (F.month("o_orderdate") == 6))
+    at = lambda day: F.lit(day).cast("timestamp_ntz")
+    month = t("orders").filter((F.col("o_orderdate") >= at("1997-06-01")) & (F.col("o_orderdate") < at("1997-07-01")))  # a range, which reaches the scan
     return month.orderBy(F.desc("o_orderdate"), "o_orderkey").offset(20).limit(50).select("o_orderkey", "o_totalprice")
 
 

@@ -146,9 +146,12 @@ def favorites_newest(t):
 @query("Q-11", """SELECT o_custkey AS moment, count(*)::BIGINT AS n, (count(*) FILTER (o_orderdate >= TIMESTAMP '2001-06-01'))::BIGINT AS added, array_to_string(list(o_orderkey ORDER BY o_totalprice DESC, o_orderkey)[1:4], ',') AS shown,
 round(any_value(c_acctbal), 2) AS ratio FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND c_acctbal > 0 GROUP BY 1 HAVING count(*) >= 3""")
 def moments_feed(t):
-    ids = F.transform(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("o_totalprice")).alias("p"), "o_orderkey"))), 1, 4), lambda s: s["o_orderkey"].cast("string"))
+    rows = t("orders").withColumnRenamed("o_custkey", "moment")
+    four = top_per_group(rows, 4, ["moment"], [F.desc("o_totalprice"), F.asc("o_orderkey")])  # before anything is listed
+    ids = F.transform(F.sort_array(F.collect_list(F.struct("rank", "o_orderkey"))), lambda s: s["o_orderkey"].cast("string"))
+    shown = four.groupBy("moment").agg(F.array_join(ids, ",").alias("shown"))
     added = F.count(F.when(F.col("o_orderdate") >= F.lit("2001-06-01").cast("timestamp_ntz"), 1))
-    feed = t("orders").groupBy(F.col("o_custkey").alias("moment")).agg(F.count("*").alias("n"), added.alias("added"), F.array_join(ids, ",").alias("shown")).filter("n >= 3")
+    feed = rows.groupBy("moment").agg(F.count("*").alias("n"), added.alias("added")).filter("n >= 3").join(shown, "moment")
     ratio = t("customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("moment"), F.round("c_acctbal", 2).alias("ratio"))
     return feed.join(ratio, "moment", "left")
 

@@ -9,7 +9,7 @@ from glimmer.functions.scalars import cover_score, display_score, document_verdi
 from glimmer.operators.clustering import components, density_clusters, representatives
 from glimmer.operators.sequences import score_cut
 from glimmer.operators.sync import ordered_union
-from glimmer.operators.vectors import centroids, confidence, cosine_distance, l2, linear_head, merge_suggestions, nearest_each, norm, prompt_margin, similar_pairs
+from glimmer.operators.vectors import centroids, confidence, cosine_distance, l2, linear_head, merge_suggestions, nearest_anchor, nearest_each, norm, prompt_margin, similar_pairs
 from glimmer.store import written
 from glimmer.plans.registry import query
 
@@ -147,9 +147,8 @@ def linear_head_scores(t):
 @query("JN-19 VEC-11", f"WITH {_V}, {_CENTERS} SELECT vec_id, arg_max(label, (-d, label))::BIGINT AS anchor FROM (SELECT vec_id, c.label, round({_COS.format(a='e', b='c.c')}, 9) AS d FROM v, centers c) WHERE d <= 0.7 GROUP BY 1")
 def snap_to_anchor(t):
     rows = t("embeddings")
-    anchors = F.broadcast(centroids(rows, ["label"], "embedding").groupBy().agg(F.collect_list(F.struct("label", "centroid")).alias("all")))  # a label each
-    near = F.filter(F.transform("all", lambda a: F.struct((-F.round(cosine_distance(F.col("embedding"), a["centroid"]), 9)).alias("d"), a["label"].cast("long").alias("label"))), lambda s: s["d"] >= -0.7)
-    return rows.crossJoin(anchors).select("vec_id", F.array_max(near)["label"].alias("anchor")).filter("anchor IS NOT NULL")
+    anchors = centroids(rows, ["label"], "embedding").select(F.col("label").cast("long").alias("anchor"), "centroid")
+    return nearest_anchor(rows, anchors, "vec_id", "embedding", 0.7).select(F.col("query").alias("vec_id"), "anchor")
 
 
 @query("VEC-13 VEC-14", """
@@ -171,8 +170,8 @@ def hybrid_cover(t):
 SELECT label, round(min(d), 6) AS low, round(quantile_cont(d, 0.1), 6) AS p10, round(quantile_cont(d, 0.5), 6) AS median, round(quantile_cont(d, 0.9), 6) AS p90, round(max(d), 6) AS high, round(avg(d), 6) AS mean FROM inside GROUP BY 1""")
 def distance_stats(t):
     rows = t("embeddings")
-    labels = rows.select("vec_id", "label")
-    pairs = similar_pairs(rows, "vec_id", "embedding", 2.0).join(labels.withColumnRenamed("vec_id", "a"), "a").join(labels.select(F.col("vec_id").alias("b"), F.col("label").alias("other")), "b").filter("label = other")
+    labels = rows.select(F.col("vec_id").alias("a"), "label")
+    pairs = similar_pairs(rows, "vec_id", "embedding", 2.0, within="label").join(labels, "a")
     q = lambda p: F.round(F.percentile("distance", F.lit(p)), 6)
     return pairs.groupBy("label").agg(F.round(F.min("distance"), 6).alias("low"), q(0.1).alias("p10"), q(0.5).alias("median"), q(0.9).alias("p90"), F.round(F.max("distance"), 6).alias("high"), F.round(F.avg("distance"), 6).alias("mean"))
 
