@@ -8,6 +8,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark's own setting: an execution deletes its shuffle files when it ends.
+FREES_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new path under spark.checkpoint.dir. Only on a local master, as in tests, may that be unset: then it is a temporary folder."""
@@ -21,10 +24,18 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-    """The rows of df, written as Parquet and read again: lineage ends there, and lost executors cost no rerun."""
+    """The rows of df, written as Parquet and read again: lineage ends there, and lost executors cost no rerun.
+
+    Shuffle files of the write go once it is done, as nothing reads them again.
+    """
     path = shared_folder(df.sparkSession, name)
     writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    conf, before = df.sparkSession.conf, df.sparkSession.conf.get(FREES_SHUFFLES, "false")
+    conf.set(FREES_SHUFFLES, "true")
+    try:
+        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    finally:
+        conf.set(FREES_SHUFFLES, before)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out
