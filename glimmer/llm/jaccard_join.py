@@ -202,7 +202,7 @@ def _order_sets(bits: int):
             sets, keys, _ = _block_keys(left)
             total = _answered(keys, right, bits)
             grade = np.ceil(np.log2(np.maximum(total, 1))).astype(np.uint64)  # 63 at most
-            codes = (grade << CODE_BITS) | (keys >> np.uint64(5))
+            codes = (grade << CODE_BITS) | (keys >> (np.uint64(64) - CODE_BITS))
             for x, y, n, values in zip(*[left.column(c).to_pylist() for c in ("x", "y", "n")], sets, strict=True):
                 at = np.searchsorted(keys, values)
                 shared = np.sort(codes[at[total[at] > 1]])
