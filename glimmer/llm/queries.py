@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import _store, chat_format, decontamination, jaccard_join, line_dedup, lm_scoring, packing, quality_classifier, quality_rules, substring_dedup, token_output
+from . import _store, chat_format, decontamination, jaccard_join, line_dedup, lm_scoring, packing, quality_classifier, quality_rules, substring_dedup, suffix_dedup, token_output
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +67,10 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -80,6 +84,7 @@ QUERIES = {
         op8_chat_format,
         op9_substring_dedup,
         op10_quality_classifier,
+        op11_suffix_array,
     )
 }
 
@@ -174,6 +179,16 @@ gone AS (SELECT DISTINCT rid, p FROM (SELECT rid, unnest(range(i, i + 20)) AS p
 words AS (SELECT rid, w[p] AS word, p FROM (SELECT rid, w, unnest(range(1, len(w) + 1)) AS p FROM docs)),
 kept AS (SELECT rid, string_agg(word, ' ' ORDER BY p) AS text, count(*) AS n FROM words ANTI JOIN gone USING (rid, p) GROUP BY rid)
 SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM docs LEFT JOIN kept USING (rid)""",
+    "op11_suffix_array": """WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+parts AS (SELECT rid, doc_id, c, substr(x, 2 * c + 1, 2098) AS y FROM (SELECT rid, doc_id, x, unnest(range(0, len(x) // 2 - 49, 1000)) AS c FROM docs WHERE len(x) >= 100)),
+wins AS (SELECT rid, doc_id, c + k AS i, substr(y, 2 * k + 1, 100) AS win FROM (SELECT rid, doc_id, c, y, unnest(range(0, len(y) // 2 - 49)) AS k FROM parts)),
+gone AS (SELECT rid, i FROM wins JOIN (SELECT win, min(doc_id) AS least FROM wins GROUP BY win HAVING count(DISTINCT doc_id) > 1) USING (win) WHERE doc_id > least),
+marked AS (SELECT rid, i, (i > coalesce(lag(i) OVER (PARTITION BY rid ORDER BY i) + 50, -1))::INT AS new FROM gone),
+spans AS (SELECT rid, k, min(i) AS lo, max(i) + 50 AS hi FROM (SELECT rid, i, sum(new) OVER (PARTITION BY rid ORDER BY i) AS k FROM marked) GROUP BY rid, k),
+gaps AS (SELECT rid, coalesce(lag(hi) OVER (PARTITION BY rid ORDER BY lo), 0) AS a, lo AS b FROM spans UNION ALL SELECT rid, max(hi), NULL FROM spans GROUP BY rid),
+kept AS (SELECT rid, string_agg(x[2 * a + 1:coalesce(2 * b, len(x))], '' ORDER BY a) AS y, (count(*) - 1)::BIGINT AS n FROM gaps JOIN docs USING (rid) GROUP BY rid)
+SELECT doc_id, (len(x) // 2)::BIGINT AS n_bytes, ((len(x) - len(coalesce(y, x))) // 2)::BIGINT AS n_removed, coalesce(n, 0) AS n_spans, sha256(unhex(coalesce(y, x))) AS kept_sha256
 FROM docs LEFT JOIN kept USING (rid)""",
     "op7_jaccard_join": rf"""WITH RECURSIVE docs AS (SELECT row_number() OVER () AS rid, doc_id, {_LOWER_WORDS} AS w FROM documents),
 sets AS (SELECT DISTINCT rid, CASE WHEN len(w) < 5 THEN w ELSE w[i:i + 4] END AS s FROM (SELECT rid, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM docs WHERE len(w) > 0)),
