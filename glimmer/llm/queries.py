@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import _store, chat_format, decontamination, jaccard_join, line_dedup, lm_scoring, packing, quality_classifier, quality_rules, substring_dedup, suffix_dedup, token_output
+from . import _store, chat_format, decontamination, jaccard_join, line_dedup, lm_scoring, packing, quality_classifier, quality_rules, substring_dedup, suffix_dedup, token_alignment, token_output
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,6 +71,12 @@ def op11_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(table(spark, sf_dir, "documents"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -85,6 +91,7 @@ QUERIES = {
         op9_substring_dedup,
         op10_quality_classifier,
         op11_suffix_array,
+        op12_token_alignment,
     )
 }
 
