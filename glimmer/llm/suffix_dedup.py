@@ -25,6 +25,7 @@ own bytes: they don't repeat each other. Empty tables give no rows. Other column
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,8 +41,8 @@ WINDOW = 50
 ANCHOR = 24
 #: Bytes that multikey quicksort orders by, at least.
 SHALLOW = 18
-BLOCK_BYTES = 2 << 20
-PIECE_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 20
+PIECE_BYTES = 1 << 19
 #: Bytes of packed strings that a bucket gets, about.
 BUCKET_BYTES = 3 << 20
 #: Places of an anchor beyond which its suffixes are dealt one by one.
@@ -129,15 +130,22 @@ def deep_shallow(data: np.ndarray, at: np.ndarray, n: int = WINDOW) -> tuple[np.
     return order, first[:-1]
 
 
-def _anchors(data: np.ndarray, room: np.ndarray, n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places from which n bytes of one piece follow (room: bytes to its end), and the smallest hash of k bytes in each."""
-    at = np.flatnonzero(room >= n)
+def _hashes(chars: np.ndarray, at: np.ndarray | slice, size: int) -> np.ndarray:
+    """A hash of the `size` bytes (8 at least) from each place of `at`."""
+    view = (lambda d: chars[at + d]) if isinstance(at, np.ndarray) else (lambda d: chars[at.start + d : at.stop + d])
+    out = view(0)
+    with np.errstate(over="ignore"):
+        for d in [*range(8, size - 7, 8), *([size - 8] if size % 8 else [])]:
+            out = (out ^ (out >> np.uint64(29))) * _text._P + view(d)
+    return _text.mix(out ^ _SALT)
+
+
+def _anchors(data: np.ndarray, room: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places from which n bytes of one piece follow (room: bytes to its end), and the smallest hash of an anchor's bytes in each."""
+    at, k = np.flatnonzero(room >= n), min(ANCHOR, n)
     if not len(at):
         return at, np.zeros(0, np.uint64)
-    p, inv = _text.powers(len(data) + 1)
-    with np.errstate(over="ignore"):
-        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_text._BYTE_VALUE[data] * p[: len(data)])))
-        low = _text.mix((total[k:] - total[:-k]) * inv[: len(data) - k + 1] ^ _SALT)
+    low = _hashes(_characters(data), slice(0, len(data) - k + 1), k)
     width, span = n - k + 1, 1
     while span < width:  # minima of twice as many hashes each time
         step = min(span, width - span)
@@ -146,6 +154,13 @@ def _anchors(data: np.ndarray, room: np.ndarray, n: int, k: int) -> tuple[np.nda
     return at, low[at]
 
 
+def _counted(at: np.ndarray, low: np.ndarray, mask: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct anchors, as many bits of each as tell enough of them apart, and in how many runs of places they are."""
+    run = np.ones(len(at), bool)
+    run[1:] = (low[1:] != low[:-1]) | (np.diff(at) != 1)
+    return np.unique(low[run] & mask, return_counts=True)
+
+
 class Pieces:
     """Pieces of documents in one place: each with doc_id, tag and its first byte's place in the document."""
 
@@ -176,8 +191,8 @@ class Pieces:
         return order, least[np.cumsum(first) - 1]
 
 
-_BLOCK = pa.schema([("block", pa.int64()), *[(c, pa.binary()) for c in ("docs", "tags", "starts", "sizes", "data", "anchors", "counts")], ("size", pa.int64()), ("keys", pa.int64())])
-_BLOCK_SQL = "block long, docs binary, tags binary, starts binary, sizes binary, data binary, anchors binary, counts binary, size long, keys long"
+_BLOCK = pa.schema([("block", pa.int64()), *[(c, pa.binary()) for c in ("docs", "tags", "starts", "sizes", "data")], ("size", pa.int64())])
+_BLOCK_SQL = "block long, docs binary, tags binary, starts binary, sizes binary, data binary, size long"
 _PACKED = pa.schema([("bucket", pa.int64()), *[(c, pa.binary()) for c in ("docs", "tags", "starts", "sizes", "data", "more", "marks")]])
 _PACKED_SQL = "bucket long, docs binary, tags binary, starts binary, sizes binary, data binary, more binary, marks binary"
 
@@ -191,18 +206,13 @@ def _unsqueezed(data: bytes) -> np.ndarray:
 
 
 def _blocks(n: int, block_bytes: int, piece_bytes: int):
-    """Blocks of pieces, with the anchors that they have and in how many runs of places each."""
+    """Blocks of pieces."""
 
     def close(held: list[tuple], number: int) -> pa.RecordBatch:
         doc, tag, start = (np.array([x[i] for x in held], np.int64) for i in range(3))
-        sizes, data = np.array([len(x[3]) for x in held], np.int64), b"".join([x[3] for x in held])
-        p = Pieces(doc, tag, start, sizes, np.frombuffer(data, np.uint8))
-        at, low = _anchors(p.data, p.room, n, min(ANCHOR, n))
-        run = np.ones(len(at), bool)
-        run[1:] = (low[1:] != low[:-1]) | (np.diff(at) != 1)
-        keys, counts = np.unique(low[run], return_counts=True)
-        row = {"block": number, "docs": _packed.zipped(doc), "tags": _packed.zipped(tag), "starts": _packed.zipped(start), "sizes": _packed.zipped(sizes), "data": _squeezed(data)}
-        return pa.RecordBatch.from_pylist([row | {"anchors": _packed.zipped_sorted(keys), "counts": _packed.zipped(counts), "size": len(data), "keys": len(keys)}], schema=_BLOCK)
+        data = b"".join([x[3] for x in held])
+        row = {"block": number, "docs": _packed.zipped(doc), "tags": _packed.zipped(tag), "starts": _packed.zipped(start), "sizes": _packed.zipped(np.array([len(x[3]) for x in held], np.int64))}
+        return pa.RecordBatch.from_pylist([row | {"data": _squeezed(data), "size": len(data)}], schema=_BLOCK)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, number = [], 0, TaskContext.get().partitionId() << 32
@@ -222,25 +232,29 @@ def _blocks(n: int, block_bytes: int, piece_bytes: int):
     return run
 
 
-def _requests(bits: int):
+def _pieces(row: dict, data: np.ndarray) -> Pieces:
+    return Pieces(*[_packed.unzipped(row[c], np.int64) for c in ("docs", "tags", "starts", "sizes")], data)
+
+
+def _requests(n: int, bits: int, mask: np.uint64):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                yield _packed.asked(row["block"], _packed.unzipped_sorted(row["anchors"]), _packed.unzipped(row["counts"], np.int64), bits)
+                data, sizes = _unsqueezed(row["data"]), _packed.unzipped(row["sizes"], np.int64)
+                room = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(data))
+                yield _packed.asked(row["block"], *_counted(*_anchors(data, room, n), mask), bits)
 
     return run
 
 
-def _pieces(row: dict, data: np.ndarray) -> Pieces:
-    return Pieces(*[_packed.unzipped(row[c], np.int64) for c in ("docs", "tags", "starts", "sizes")], data)
-
-
-def _deal(n: int, bits: int, buckets: int, hot: int):
+def _deal(n: int, bits: int, mask: np.uint64, buckets: int, hot: int):
     """A block with its anchors' totals: marks, and what travels, a row for each bucket."""
 
     def packed(p: Pieces, at: np.ndarray, low: np.ndarray, heavy: np.ndarray, twin: np.ndarray, rep: np.ndarray) -> Iterator[dict]:
         """at: sorted places that travel; twin: further places of the same documents, rep: whose bytes they have (index in at)."""
-        key = np.where(heavy, _text.spans_hash(_text._BYTE_VALUE[p.data], at, at + n), low)
+        key = low.copy()
+        if heavy.any():
+            key[heavy] = _hashes(_characters(p.data), at[heavy], n)
         new = np.ones(len(at), bool)
         new[1:] = (np.diff(at) != 1) | (key[1:] != key[:-1]) | (np.diff(p.owner[at]) != 0)
         lo = np.flatnonzero(new)
@@ -276,13 +290,13 @@ def _deal(n: int, bits: int, buckets: int, hot: int):
         given = dict(zip(right.column("path").to_pylist(), right.column("totals").to_pylist(), strict=True))
         rows = []
         for row in left.to_pylist():
-            p, keys = _pieces(row, _unsqueezed(row["data"])), _packed.unzipped_sorted(row["anchors"])
+            p = _pieces(row, _unsqueezed(row["data"]))
+            every, low = _anchors(p.data, p.room, n)
+            keys, own = _counted(every, low, mask)
             totals = np.zeros(len(keys), np.int64)
             for path, lo, hi in _packed.spans(keys, bits):
                 totals[lo:hi] = _packed.unzipped(given[path], np.int64)
-            own = _packed.unzipped(row["counts"], np.int64)
-            every, low = _anchors(p.data, p.room, n, min(ANCHOR, n))
-            key = np.searchsorted(keys, low)
+            key = np.searchsorted(keys, low & mask)
             some = totals[key] > 1
             every, low, key = every[some], low[some], key[some]
             here = own[key] > 1  # what has its anchor once in the block repeats nothing in it
@@ -364,12 +378,14 @@ def repeated_spans(docs: DataFrame, n: int = WINDOW) -> DataFrame:
     text = F.col("text").cast("string")
     own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)).alias("doc_id"), F.xxhash64(text).alias("tag"), text.cast("binary").alias("text"))
     blocks = _store.written(own.mapInArrow(_blocks(n, BLOCK_BYTES, PIECE_BYTES), _BLOCK_SQL), "suffix-blocks")
-    size = blocks.agg(F.sum("size").alias("bytes"), F.sum("keys").alias("keys")).first()
-    keys, buckets = size["keys"] or 0, max(64, 2 * (size["bytes"] or 0) // BUCKET_BYTES)
+    size = blocks.agg(F.sum("size")).first()[0] or 0
+    keys, buckets = math.ceil(2 * size / (n - min(ANCHOR, n) + 2)), max(64, 2 * size // BUCKET_BYTES)
     bits = _packed.fan_bits(keys)
-    rows = blocks.select("block", "anchors", "counts").mapInArrow(_requests(bits), _packed.ASK_SQL)
+    # an anchor only picks suffixes for sorting, so it has eight bits more than it takes to number all of them
+    mask = ~np.uint64((1 << (64 - min(64, max(bits, keys.bit_length() + 8)))) - 1)
+    rows = blocks.select("block", "sizes", "data").mapInArrow(_requests(n, bits, mask), _packed.ASK_SQL)
     answers = _packed.totals(rows, keys, bits).select(F.col("child").alias("block"), "path", "totals")
-    dealt = blocks.drop("size", "keys").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_deal(n, bits, buckets, HOT), _PACKED_SQL)
+    dealt = blocks.drop("size").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_deal(n, bits, mask, buckets, HOT), _PACKED_SQL)
     marks = _store.written(dealt.groupBy("bucket").applyInArrow(_settle(n), "marks binary"), "suffix-marks")
     _store.removed(blocks)
     found = marks.mapInArrow(_spans, "doc_id long, tag long, first long, last long")
