@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import _store, chat_format, decontamination, jaccard_join, line_dedup, lm_scoring, packing, quality_classifier, quality_rules, substring_dedup, suffix_dedup, token_alignment, token_output
+from . import _store, chat_format, conversation_repair, decontamination, jaccard_join, line_dedup, lm_scoring, packing, quality_classifier, quality_rules, substring_dedup, suffix_dedup, token_alignment, token_output
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,6 +77,11 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    talks = table(spark, sf_dir, "conversations")
+    return conversation_repair.with_all(conversation_repair.digest(conversation_repair.damaged(talks)), talks)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -92,6 +97,7 @@ QUERIES = {
         op10_quality_classifier,
         op11_suffix_array,
         op12_token_alignment,
+        op13_conversation_repair,
     )
 }
 

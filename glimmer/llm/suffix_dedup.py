@@ -24,6 +24,7 @@ own bytes: they don't repeat each other. Empty tables give no rows. Other column
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 from collections.abc import Iterator
@@ -31,6 +32,8 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,7 +47,7 @@ SHALLOW = 18
 BLOCK_BYTES = 1 << 20
 PIECE_BYTES = 1 << 19
 #: Bytes of packed strings that a bucket gets, about.
-BUCKET_BYTES = 3 << 20
+BUCKET_BYTES = 4 << 20
 #: Places of an anchor beyond which its suffixes are dealt one by one.
 HOT = 4096
 _NULL = -(2**63)
@@ -162,47 +165,68 @@ def _counted(at: np.ndarray, low: np.ndarray, mask: np.uint64) -> tuple[np.ndarr
 
 
 class Pieces:
-    """Pieces of documents in one place: each with doc_id, tag and its first byte's place in the document."""
+    """Pieces of documents in one place: each with its doc_id and its first byte's place in the document."""
 
-    def __init__(self, doc: np.ndarray, tag: np.ndarray, start: np.ndarray, sizes: np.ndarray, data: np.ndarray) -> None:
-        self.doc, self.tag, self.start, self.data = doc, tag, start, data
+    def __init__(self, doc: np.ndarray, start: np.ndarray, sizes: np.ndarray, data: np.ndarray) -> None:
+        self.doc, self.data = doc, data
         self.ends = np.cumsum(sizes)
         self.owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
-        self.room = np.repeat(self.ends, sizes) - np.arange(len(data))
         self.shift = start - (self.ends - sizes)
 
+    @property
+    def room(self) -> np.ndarray:
+        """Bytes from each place to its piece's end."""
+        return self.ends[self.owner] - np.arange(len(self.data))
+
     def place(self, at: np.ndarray) -> np.ndarray:
         return at + self.shift[self.owner[at]]
 
-    def marks(self, at: np.ndarray, n: int) -> dict | None:
-        """Sorted places whose n bytes go, as runs."""
-        if not len(at):
-            return None
+    def runs(self, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sorted places whose n bytes go, as runs: the piece, and first and last byte in the document."""
         cut = np.flatnonzero((np.diff(at) != 1) | (np.diff(self.owner[at]) != 0))
         lo, hi = at[np.concatenate(([0], cut + 1))], at[np.concatenate((cut, [len(at) - 1]))]
-        d = self.owner[lo]
-        return {"marks": _packed.zipped(np.concatenate([self.doc[d], self.tag[d], self.place(lo), self.place(hi) + n]).astype(np.int64))}
+        return self.owner[lo], self.place(lo), self.place(hi) + n
 
-    def ranked(self, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """The suffixes in order, and the smallest document that has each one's bytes."""
+    def ranked(self, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The suffixes in order, the smallest document that has each one's bytes, and the number of the group alike."""
         order, first = deep_shallow(self.data, at, n)
         own = self.doc[self.owner[at[order]]]
         least = np.minimum.reduceat(own, np.flatnonzero(first)) if len(own) else own
-        return order, least[np.cumsum(first) - 1]
+        group = np.cumsum(first) - 1
+        return order, least[group], group
+
 
+_BLOCK = pa.schema([("block", pa.int64()), ("pieces", pa.binary()), ("data", pa.binary()), ("size", pa.int64())])
+_BLOCK_SQL = "block long, pieces binary, data binary, size long"
+_PACKED = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), *[(c, pa.binary()) for c in ("numbers", "data", "marks")]])
+_PACKED_SQL = "bucket long, block long, numbers binary, data binary, marks binary"
+_MARKS = pa.schema([("block", pa.int64()), ("marks", pa.binary())])
 
-_BLOCK = pa.schema([("block", pa.int64()), *[(c, pa.binary()) for c in ("docs", "tags", "starts", "sizes", "data")], ("size", pa.int64())])
-_BLOCK_SQL = "block long, docs binary, tags binary, starts binary, sizes binary, data binary, size long"
-_PACKED = pa.schema([("bucket", pa.int64()), *[(c, pa.binary()) for c in ("docs", "tags", "starts", "sizes", "data", "more", "marks")]])
-_PACKED_SQL = "bucket long, docs binary, tags binary, starts binary, sizes binary, data binary, more binary, marks binary"
+
+@functools.cache
+def _codec() -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
+    return zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
 
 
 def _squeezed(data: bytes) -> bytes:
-    return _packed.zstandard.ZstdCompressor(level=3).compress(data)
+    return _codec()[0].compress(data)
 
 
 def _unsqueezed(data: bytes) -> np.ndarray:
-    return np.frombuffer(_packed.zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.frombuffer(_codec()[1].decompress(data), np.uint8)
+
+
+def _numbers(*columns: np.ndarray) -> bytes:
+    """Columns of numbers in one string, by byte planes."""
+    head = [len(columns), *[len(c) for c in columns]]
+    raw = np.concatenate([np.array(head, np.int64), *columns]).astype(np.int64)
+    return _squeezed(raw.view(np.uint8).reshape(-1, 8).T.tobytes())
+
+
+def _columns(numbers: bytes) -> list[np.ndarray]:
+    raw = np.ascontiguousarray(_unsqueezed(numbers).reshape(8, -1).T).view(np.int64).ravel()
+    ends = np.cumsum(raw[1 : 1 + raw[0]]) + 1 + raw[0]
+    return [raw[x:y] for x, y in zip([1 + raw[0], *ends[:-1]], ends, strict=True)]
 
 
 def _blocks(n: int, block_bytes: int, piece_bytes: int):
@@ -211,8 +235,8 @@ def _blocks(n: int, block_bytes: int, piece_bytes: int):
     def close(held: list[tuple], number: int) -> pa.RecordBatch:
         doc, tag, start = (np.array([x[i] for x in held], np.int64) for i in range(3))
         data = b"".join([x[3] for x in held])
-        row = {"block": number, "docs": _packed.zipped(doc), "tags": _packed.zipped(tag), "starts": _packed.zipped(start), "sizes": _packed.zipped(np.array([len(x[3]) for x in held], np.int64))}
-        return pa.RecordBatch.from_pylist([row | {"data": _squeezed(data), "size": len(data)}], schema=_BLOCK)
+        pieces = _numbers(doc, tag, start, np.array([len(x[3]) for x in held], np.int64))
+        return pa.RecordBatch.from_pylist([{"block": number, "pieces": pieces, "data": _squeezed(data), "size": len(data)}], schema=_BLOCK)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, number = [], 0, TaskContext.get().partitionId() << 32
@@ -232,15 +256,11 @@ def _blocks(n: int, block_bytes: int, piece_bytes: int):
     return run
 
 
-def _pieces(row: dict, data: np.ndarray) -> Pieces:
-    return Pieces(*[_packed.unzipped(row[c], np.int64) for c in ("docs", "tags", "starts", "sizes")], data)
-
-
 def _requests(n: int, bits: int, mask: np.uint64):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                data, sizes = _unsqueezed(row["data"]), _packed.unzipped(row["sizes"], np.int64)
+                data, sizes = _unsqueezed(row["data"]), _columns(row["pieces"])[3]
                 room = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(data))
                 yield _packed.asked(row["block"], *_counted(*_anchors(data, room, n), mask), bits)
 
@@ -250,7 +270,7 @@ def _requests(n: int, bits: int, mask: np.uint64):
 def _deal(n: int, bits: int, mask: np.uint64, buckets: int, hot: int):
     """A block with its anchors' totals: marks, and what travels, a row for each bucket."""
 
-    def packed(p: Pieces, at: np.ndarray, low: np.ndarray, heavy: np.ndarray, twin: np.ndarray, rep: np.ndarray) -> Iterator[dict]:
+    def packed(p: Pieces, block: int, at: np.ndarray, low: np.ndarray, heavy: np.ndarray, twin: np.ndarray, rep: np.ndarray) -> Iterator[dict]:
         """at: sorted places that travel; twin: further places of the same documents, rep: whose bytes they have (index in at)."""
         key = low.copy()
         if heavy.any():
@@ -258,31 +278,27 @@ def _deal(n: int, bits: int, mask: np.uint64, buckets: int, hot: int):
         new = np.ones(len(at), bool)
         new[1:] = (np.diff(at) != 1) | (key[1:] != key[:-1]) | (np.diff(p.owner[at]) != 0)
         lo = np.flatnonzero(new)
+        sizes = np.append(lo[1:], len(at)) - lo
         bucket = (_text.mix(key[lo] ^ _SALT) % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
-        lo, bucket = lo[order], bucket[order]
-        sizes = np.append(np.flatnonzero(new)[1:], len(at))[order] - lo
-        begin, end = at[lo], at[lo] + sizes + n - 1
-        raw = p.data.tobytes()
-        run_of = np.empty(len(lo), np.int64)
-        run_of[order] = np.arange(len(lo))  # of the runs in their first order
-        extra_run = run_of[np.cumsum(new)[rep] - 1]
-        extra_at = rep - lo[extra_run]  # the window's number in its run
+        moved = np.empty(len(lo), np.int64)
+        moved[order] = np.arange(len(lo))
+        first_run = np.cumsum(new)[rep] - 1
+        extra_run, extra_at = moved[first_run], rep - lo[first_run]  # the run as it is dealt, and the place's number in it
         by = np.argsort(extra_run, kind="stable")
-        extra_run, extra_at, twin = extra_run[by], extra_at[by], twin[by]
+        extra_run, extra_at, twin = extra_run[by], extra_at[by], p.place(twin[by])
+        lo, sizes, bucket = lo[order], sizes[order], bucket[order]
+        begin, length, raw = at[lo], sizes + n - 1, p.data.tobytes()
+        piece, place = p.owner[begin], p.place(begin)
         edges = np.flatnonzero(np.diff(np.concatenate(([-1], bucket, [-1]))))
-        for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            d = p.owner[begin[x:y]]
-            a, b = np.searchsorted(extra_run, (x, y))
-            more = np.concatenate([extra_run[a:b] - x, extra_at[a:b], p.place(twin[a:b])]).astype(np.int64)
+        more = np.searchsorted(extra_run, edges)
+        for k, (x, y) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
+            a, b = more[k], more[k + 1]
             yield {
                 "bucket": int(bucket[x]),
-                "docs": _packed.zipped(p.doc[d]),
-                "tags": _packed.zipped(p.tag[d]),
-                "starts": _packed.zipped(p.place(begin[x:y])),
-                "sizes": _packed.zipped(end[x:y] - begin[x:y]),
-                "data": _squeezed(b"".join([raw[i:j] for i, j in zip(begin[x:y].tolist(), end[x:y].tolist(), strict=True)])),
-                "more": _packed.zipped(more) if len(more) else None,
+                "block": block,
+                "numbers": _numbers(p.doc[piece[x:y]], piece[x:y], place[x:y], length[x:y], extra_run[a:b] - x, extra_at[a:b], twin[a:b]),
+                "data": _squeezed(b"".join([raw[i : i + j] for i, j in zip(begin[x:y].tolist(), length[x:y].tolist(), strict=True)])),
                 "marks": None,
             }
 
@@ -290,7 +306,8 @@ def _deal(n: int, bits: int, mask: np.uint64, buckets: int, hot: int):
         given = dict(zip(right.column("path").to_pylist(), right.column("totals").to_pylist(), strict=True))
         rows = []
         for row in left.to_pylist():
-            p = _pieces(row, _unsqueezed(row["data"]))
+            doc, _, start, sizes = _columns(row["pieces"])
+            p = Pieces(doc, start, sizes, _unsqueezed(row["data"]))
             every, low = _anchors(p.data, p.room, n)
             keys, own = _counted(every, low, mask)
             totals = np.zeros(len(keys), np.int64)
@@ -301,14 +318,12 @@ def _deal(n: int, bits: int, mask: np.uint64, buckets: int, hot: int):
             every, low, key = every[some], low[some], key[some]
             here = own[key] > 1  # what has its anchor once in the block repeats nothing in it
             at = every[here]
-            order, least = p.ranked(at, n)
-            own = p.doc[p.owner[at[order]]]
-            gone = np.sort(at[order[own > least]])
-            number = row["block"] % buckets  # marks pass through some bucket
-            if len(gone):
-                rows.append({"bucket": int(number)} | p.marks(gone, n))
-            stay = order[own == least]  # alike ones side by side, in the order of places
-            group = (np.cumsum(_starts(p.data, at[order], n)) - 1)[own == least]
+            order, least, group = p.ranked(at, n)
+            owner = p.doc[p.owner[at[order]]]
+            gone = np.sort(at[order[owner > least]])
+            if len(gone):  # marks pass through some bucket
+                rows.append({"bucket": row["block"] % buckets, "block": row["block"], "marks": _numbers(*p.runs(gone, n))})
+            stay, group = order[owner == least], group[owner == least]
             lead = np.ones(len(stay), bool)
             lead[1:] = group[1:] != group[:-1]
             goes = ~here
@@ -316,57 +331,54 @@ def _deal(n: int, bits: int, mask: np.uint64, buckets: int, hot: int):
             if goes.any():
                 place = np.cumsum(goes) - 1  # of each among those that travel
                 leader = place[np.flatnonzero(here)[stay[lead]]][np.cumsum(lead) - 1]
-                rows += packed(p, every[goes], low[goes], totals[key[goes]] > hot, at[stay[~lead]], leader[~lead])
+                rows += packed(p, row["block"], every[goes], low[goes], totals[key[goes]] > hot, at[stay[~lead]], leader[~lead])
         return pa.Table.from_pylist(rows, schema=_PACKED)
 
     return run
 
 
-def _starts(data: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
-    """Of sorted suffixes: which differ in their first n bytes from the one before."""
-    chars, new = _characters(data), np.zeros(len(at), bool)
-    new[:1] = True
-    for d in range(0, n, 8):
-        x = chars[at + min(d, n - 8)] if n >= 8 else chars[at] >> np.uint64(8 * (8 - n))
-        new[1:] |= x[1:] != x[:-1]
-    return new
-
-
 def _settle(n: int):
     """Of a bucket: marks of what starts in a smaller document as well."""
 
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
-        out = [{"marks": r["marks"]} for r in rows if r["marks"] is not None]
+        out = [{"block": r["block"], "marks": r["marks"]} for r in rows if r["marks"] is not None]
         rows = [r for r in rows if r["marks"] is None]
         if rows:
-            part = {c: np.concatenate([_packed.unzipped(r[c], np.int64) for r in rows]) for c in ("docs", "tags", "starts", "sizes")}
-            p = Pieces(*part.values(), np.concatenate([_unsqueezed(r["data"]) for r in rows]))
+            parts = [_columns(r["numbers"]) for r in rows]
+            doc, start, sizes = (np.concatenate([x[i] for x in parts]) for i in (0, 2, 3))
+            p = Pieces(doc, start, sizes, np.concatenate([_unsqueezed(r["data"]) for r in rows]))
             at = np.flatnonzero(p.room >= n)
-            order, least = p.ranked(at, n)
+            order, least, _ = p.ranked(at, n)
             gone = np.zeros(len(p.data), bool)
             gone[at[order[p.doc[p.owner[at[order]]] > least]]] = True
-            if gone.any():
-                out.append(p.marks(np.flatnonzero(gone), n))
-            begin, base = p.ends - part["sizes"], 0
-            for r in rows:
-                if r["more"] is not None:
-                    run, at, place = _packed.unzipped(r["more"], np.int64).reshape(3, -1)
-                    some = gone[begin[base + run] + at]
-                    d, place = base + run[some], place[some]
-                    if len(d):
-                        out.append({"marks": _packed.zipped(np.concatenate([p.doc[d], p.tag[d], place, place + n]).astype(np.int64))})
-                base += len(_packed.unzipped(r["sizes"], np.int64))
-        return pa.table([pa.array([x["marks"] for x in out], pa.binary())], ["marks"])
+            run, first, last = p.runs(np.flatnonzero(gone), n) if gone.any() else (np.zeros(0, np.int64),) * 3
+            begin, base = p.ends - sizes, 0
+            for r, (_, piece, _, _, extra_run, extra_at, twin) in zip(rows, parts, strict=True):
+                lo, hi = np.searchsorted(run, (base, base + len(piece)))
+                some = gone[begin[base + extra_run] + extra_at]
+                marks = [np.concatenate(x) for x in ((piece[run[lo:hi] - base], piece[extra_run[some]]), (first[lo:hi], twin[some]), (last[lo:hi], twin[some] + n))]
+                if len(marks[0]):
+                    out.append({"block": r["block"], "marks": _numbers(*marks)})
+                base += len(piece)
+        return pa.Table.from_pylist(out, schema=_MARKS)
 
     return run
 
 
 def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for m in batch.column("marks"):
-            rows = _packed.unzipped(m.as_py(), np.int64).reshape(4, -1)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in rows], ["doc_id", "tag", "first", "last"])
+        for block, m in zip(batch.column("block").to_pylist(), batch.column("marks").to_pylist(), strict=True):
+            columns = _columns(m)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), block), pa.int64()), *[pa.array(x, pa.int64()) for x in columns]], ["block", "piece", "first", "last"])
+
+
+def _owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whose pieces a block has."""
+    for batch in batches:
+        for block, pieces in zip(batch.column("block").to_pylist(), batch.column("pieces").to_pylist(), strict=True):
+            doc, tag = _columns(pieces)[:2]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (np.full(len(doc), block), np.arange(len(doc)), doc, tag)], ["of", "number", "doc_id", "tag"])
 
 
 def repeated_spans(docs: DataFrame, n: int = WINDOW) -> DataFrame:
@@ -379,31 +391,39 @@ def repeated_spans(docs: DataFrame, n: int = WINDOW) -> DataFrame:
     own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)).alias("doc_id"), F.xxhash64(text).alias("tag"), text.cast("binary").alias("text"))
     blocks = _store.written(own.mapInArrow(_blocks(n, BLOCK_BYTES, PIECE_BYTES), _BLOCK_SQL), "suffix-blocks")
     size = blocks.agg(F.sum("size")).first()[0] or 0
-    keys, buckets = math.ceil(2 * size / (n - min(ANCHOR, n) + 2)), max(64, 2 * size // BUCKET_BYTES)
+    keys, buckets = math.ceil(2 * size / (n - min(ANCHOR, n) + 2)), max(64, 3 * size // (2 * BUCKET_BYTES))
     bits = _packed.fan_bits(keys)
     # an anchor only picks suffixes for sorting, so it has eight bits more than it takes to number all of them
     mask = ~np.uint64((1 << (64 - min(64, max(bits, keys.bit_length() + 8)))) - 1)
-    rows = blocks.select("block", "sizes", "data").mapInArrow(_requests(n, bits, mask), _packed.ASK_SQL)
+    rows = blocks.select("block", "pieces", "data").mapInArrow(_requests(n, bits, mask), _packed.ASK_SQL)
     answers = _packed.totals(rows, keys, bits).select(F.col("child").alias("block"), "path", "totals")
     dealt = blocks.drop("size").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_deal(n, bits, mask, buckets, HOT), _PACKED_SQL)
-    marks = _store.written(dealt.groupBy("bucket").applyInArrow(_settle(n), "marks binary"), "suffix-marks")
+    marks = _store.written(dealt.groupBy("bucket").applyInArrow(_settle(n), "block long, marks binary"), "suffix-marks")
+    owners = _store.written(blocks.select("block", "pieces").mapInArrow(_owners, "of long, number long, doc_id long, tag long"), "suffix-owners")
     _store.removed(blocks)
-    found = marks.mapInArrow(_spans, "doc_id long, tag long, first long, last long")
+    spans = marks.mapInArrow(_spans, "block long, piece long, first long, last long")
+    found = spans.join(owners, (F.col("block") == F.col("of")) & (F.col("piece") == F.col("number")))
     return found.groupBy("doc_id", "tag").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
 
 
-def _kept(text: bytes | None, spans: list | None) -> tuple[bytes, int]:
+def _kept(text: bytes | None, first: np.ndarray, last: np.ndarray) -> tuple[bytes, int]:
     """The bytes outside all spans, and how many runs of bytes went."""
     text = text or b""
-    if spans is None or not len(spans):
+    if not len(first):
         return text, 0
-    out, at, runs = [], 0, 0
-    for first, last in sorted((s["first"], s["last"]) for s in spans):
-        if first > at or not runs:
-            out.append(text[at:first])
-            runs += 1
-        at = max(at, last)
-    return b"".join(out) + text[at:], runs
+    order = np.argsort(first)
+    first, upto = first[order], np.maximum.accumulate(last[order])
+    new = np.flatnonzero(np.concatenate(([True], first[1:] > upto[:-1])))
+    begins, ends = first[new].tolist(), upto[np.append(new[1:], len(first)) - 1].tolist()
+    return b"".join([text[x:y] for x, y in zip([0, *ends], [*begins, len(text)], strict=True)]), len(new)
+
+
+def _by_row(spans: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """first and last of each row's spans; null has none."""
+    ends = np.cumsum(pc.fill_null(spans.value_lengths(), 0).to_numpy(zero_copy_only=False)).tolist()
+    first, last = (x.to_numpy(zero_copy_only=False) for x in spans.flatten().flatten()) if len(spans) else ((), ())
+    for x, y in zip([0, *ends[:-1]], ends, strict=True):
+        yield first[x:y], last[x:y]
 
 
 def _with_spans(docs: DataFrame, n: int) -> tuple[DataFrame, str]:
@@ -420,7 +440,7 @@ def digest(docs: DataFrame, n: int = WINDOW) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            out = [_kept(t, s) for t, s in zip(texts, batch.column("spans").to_pylist(), strict=True)]
+            out = [_kept(t, *s) for t, s in zip(texts, _by_row(batch.column("spans")), strict=True)]
             sizes = [len(t or b"") for t in texts]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -442,7 +462,8 @@ def drop_repeats(docs: DataFrame, n: int = WINDOW) -> DataFrame:
 
     @F.pandas_udf("string")
     def cut(text: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series([t if s is None else _kept(t.encode(), s)[0].decode(errors="replace") for t, s in zip(text, spans, strict=True)], dtype=object)
+        ends = lambda s, k: np.array([x[k] for x in s], np.int64)
+        return pd.Series([t if s is None else _kept(t.encode(), ends(s, "first"), ends(s, "last"))[0].decode(errors="replace") for t, s in zip(text, spans, strict=True)], dtype=object)
 
     joined, spans = _with_spans(docs, n)
     return joined.withColumn("text", cut("text", spans)).select(*[F.col(f"`{c}`") for c in docs.columns])
