@@ -2,16 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glimmer.functions.scalars import clamp
-from glimmer.store import written
-
-#: Vectors in a block of `similar_pairs`; a task holds two blocks and their products.
-BLOCK = 2000
+from glimmer.operators import metric
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -43,73 +38,20 @@ def nearest(rows: DataFrame, vector: str, query: Column, k: int, id_column: str)
     return rows.withColumn("distance", l2(F.col(vector), query)).orderBy("distance", id_column).limit(k)
 
 
-def _packed(rows: DataFrame, id_column: str, vector: str) -> DataFrame:
-    """(ids, v) of up to BLOCK rows each: v holds their vectors, one after the other, as 64-bit floats."""
-
-    def pack(batches):
-        for batch in batches:
-            for k in range(0, batch.num_rows, BLOCK):
-                some = batch.slice(k, BLOCK)
-                v = np.array(some.column(1).to_pylist(), np.float64)
-                yield pa.RecordBatch.from_arrays([pa.array([some.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([v.tobytes()], pa.binary())], ["ids", "v"])
-
-    return rows.select(F.col(id_column).cast("long").alias("id"), vector).mapInArrow(pack, "ids array<long>, v binary")
-
-
 def nearest_each(rows: DataFrame, queries: DataFrame, id_column: str, vector: str, k: int) -> DataFrame:
-    """The k nearest rows of each of a stated set of queries: query, neighbor, distance, rank.
-
-    Blocks of queries meet blocks of rows, each pair in one task as a matrix product of bounded size, which keeps its k best of
-    each query. Blocks of queries are broadcast only if they are as small as Spark's threshold.
-    """
-    from glimmer.operators.sequences import top_per_group
-
-    q = written(_packed(queries, id_column, vector), "queries").select(F.col("ids").alias("q_ids"), F.col("v").alias("q_v"))
-    pairs = _packed(rows, id_column, vector).crossJoin(q)
-
-    def best(batches):
-        for batch in batches:
-            for own, v, ids, w in zip(*[batch.column(c) for c in ("ids", "v", "q_ids", "q_v")], strict=True):
-                own, ids = own.values.to_numpy(), ids.values.to_numpy()
-                v, w = np.frombuffer(v.as_py()).reshape(len(own), -1), np.frombuffer(w.as_py()).reshape(len(ids), -1)
-                d = np.sqrt(np.maximum(0, (w**2).sum(1)[:, None] + (v**2).sum(1)[None, :] - 2 * w @ v.T))
-                take = min(k, d.shape[1])
-                at = np.argpartition(d, take - 1, axis=1)[:, :take].ravel()
-                of = np.repeat(np.arange(len(ids)), take)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[of]), pa.array(own[at]), pa.array(d[of, at])], ["query", "neighbor", "distance"])
-
-    found = pairs.mapInArrow(best, "query long, neighbor long, distance double")
-    return top_per_group(found, k, ["query"], [F.col("distance"), F.col("neighbor")])
+    """The k nearest rows of each of a stated set of queries: query, neighbor, distance, rank; equal distances by id."""
+    return metric.k_nearest(metric.usable(rows, id_column, vector), metric.usable(queries, id_column, vector), k)
 
 
 def similar_pairs(rows: DataFrame, id_column: str, vector: str, most: float, within: str | None = None) -> DataFrame:
     """All pairs a < b with a cosine distance of at most `most` (and the same value of the column `within`): a, b, distance.
 
-    Rows are dealt to blocks; each pair of blocks is one matrix product in one task, so the work is spread evenly whatever
-    the ids are, and only pairs within the distance leave a task.
+    Pairs of cells that the triangle inequality rules out don't meet (`metric`). Within groups all parts of a group meet.
     """
-    group = F.col(within).cast("string") if within else F.lit("")
-    n = rows.groupBy(group).count().agg(F.max("count")).first()[0] or 0
-    blocks = max(1, -(-n // BLOCK))
-    own = rows.select(F.col(id_column).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), group.alias("g"), F.pmod(F.xxhash64(id_column), F.lit(blocks)).cast("int").alias("b"))
-    with_all = own.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("id", "v", "g", "b", F.least("b", "o").alias("lo"), F.greatest("b", "o").alias("hi"))
-
-    def products(table: pa.Table) -> pa.Table:
-        ids, b = table.column("id").to_numpy(), table.column("b").to_numpy()
-        v = table.column("v").combine_chunks()
-        v = v.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
-        size = np.sqrt((v**2).sum(axis=1))
-        unit = v / np.where(size == 0, 1, size)[:, None]
-        lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
-        left, right = np.flatnonzero(b == lo), np.flatnonzero(b == hi)
-        d = 1 - np.clip(unit[left] @ unit[right].T, -1, 1)
-        i, j = np.nonzero(d <= most)
-        keep = ids[left[i]] < ids[right[j]] if lo == hi else ids[left[i]] != ids[right[j]]
-        i, j = i[keep], j[keep]
-        x, y = ids[left[i]], ids[right[j]]
-        return pa.table([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(d[i, j])], ["a", "b", "distance"])
-
-    return with_all.groupBy("g", "lo", "hi").applyInArrow(products, "a long, b long, distance double")
+    if within is None:
+        return metric.pairs_within(metric.usable(rows, id_column, vector), most)
+    own = rows.select(F.coalesce(F.col(within).cast("string"), F.lit("")).alias("g"), F.col(id_column).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    return metric.pairs_within_groups(own.filter(F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull())), most)
 
 
 def centroids(rows: DataFrame, keys: list[str], vector: str) -> DataFrame:
@@ -133,11 +75,8 @@ def merge_suggestions(centers: DataFrame, key: str, low: float, high: float, rej
 
 
 def nearest_anchor(rows: DataFrame, anchors: DataFrame, id_column: str, vector: str, most: float) -> DataFrame:
-    """Each row's nearest anchor (anchor, centroid) within `most`; of equal ones the largest anchor. Anchors meet rows in blocks."""
-    tagged = anchors.select(F.col("anchor").alias("id"), F.col("centroid").alias("v"))
-    near = nearest_each(tagged.select("id", F.transform("v", lambda x: x / norm(F.col("v"))).alias("v")), rows.select(F.col(id_column).alias("id"), F.transform(vector, lambda x: x / norm(F.col(vector))).alias("v")), "id", "v", 2)
-    close = near.withColumn("cosine", F.col("distance") * F.col("distance") / 2).filter(F.col("cosine") <= most)
-    return close.groupBy("query").agg(F.max_by("neighbor", F.struct(-F.round("cosine", 12), F.col("neighbor"))).alias("anchor"))
+    """Each row's (query) nearest anchor (anchor, centroid) within `most`; of equal ones the largest anchor."""
+    return metric.closest_within(metric.usable(rows, id_column, vector), metric.usable(anchors, "anchor", "centroid"), most).select("query", "anchor")
 
 
 def prompt_margin(image: Column, documents: list[Column], photos: list[Column]) -> Column:
