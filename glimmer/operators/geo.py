@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glimmer.functions.scalars import haversine_km, metro_radius_km, region_of, spot_key
@@ -13,8 +13,9 @@ from glimmer.functions.scalars import haversine_km, metro_radius_km, region_of,
 SPOT_KM, SPOT_LEAST, SPOTS_MOST = 0.3, 3, 8
 
 
-#: Targets in a list that lone points look through.
-LISTED = 20_000
+EARTH_KM = 6371.0
+#: Levels of cubes that `nearest_of_all` goes down: sides of 2**-level, on a sphere of radius one (the last some 1.5 km).
+LEVELS = (0, 3, 6, 9, 12)
 
 
 def _cell(lat: Column, lon: Column) -> list[Column]:
@@ -28,23 +29,70 @@ def _near(points: DataFrame, targets: DataFrame) -> DataFrame:
     return points.select("*", *_cell(F.col("lat"), F.col("lon"))).join(spread, ["__y", "__x"]).drop("__y", "__x").withColumn("km", haversine_km(F.col("lat"), F.col("lon"), F.col("t_lat"), F.col("t_lon")))
 
 
+def _on_sphere(lat: Column, lon: Column) -> list[Column]:
+    """Coordinates x, y, z from 0 to 2, of the point on a sphere of radius one around (1, 1, 1)."""
+    la, lo = F.radians(lat), F.radians(lon)
+    return [F.cos(la) * F.cos(lo) + 1, F.cos(la) * F.sin(lo) + 1, F.sin(la) + 1]
+
+
+def _cubes(columns: list[Column], side: float, names: str) -> list[Column]:
+    return [F.floor(c / side).cast("int").alias(n) for c, n in zip(columns, names, strict=True)]
+
+
+def _arc_km(chord: Column) -> Column:
+    return 2 * EARTH_KM * F.asin(F.least(chord / 2, F.lit(1.0)))
+
+
+def nearest_of_all(points: DataFrame, targets: DataFrame) -> DataFrame:
+    """(id, key, km): the nearest of all targets to each point, of equal ones the smallest key.
+
+    Cubes in space have no seam at 180 degrees and no poles. From the largest to the smallest level, each point keeps those
+    occupied cubes of which some place may be as near as the nearest known target: each cube has one target that is known,
+    and the distance to its box bounds all others. So a point meets some dozens of cubes a level, and at last the targets of a
+    few cubes of 1.5 km; targets at one place count once, by their smallest key.
+    """
+    spots = targets.groupBy("t_lat", "t_lon").agg(F.min("key").alias("key")).withColumns(dict(zip("xyz", _on_sphere(F.col("t_lat"), F.col("t_lon")), strict=True)))
+    step = 2 ** (LEVELS[1] - LEVELS[0])
+    top = F.transform(F.sequence(F.lit(0), F.lit(26)), lambda i: F.struct((i % 3).alias("a"), (F.floor(i / 3) % 3).cast("int").alias("b"), F.floor(i / 9).cast("int").alias("c")))
+    place = dict(zip("xyz", _on_sphere(F.col("lat"), F.col("lon")), strict=True))
+    found = points.select("id", "lat", "lon").withColumns(place).withColumn("p", F.explode(top)).select("id", "lat", "lon", "x", "y", "z", "p.a", "p.b", "p.c")
+    for n, level in enumerate(LEVELS):
+        side = 2.0**-level
+        cubes = spots.select(*_cubes([F.col(c) for c in "xyz"], side, "def"), "key", "t_lat", "t_lon").groupBy("d", "e", "f").agg(F.min(F.struct("key", "t_lat", "t_lon")).alias("t"))
+        above = F.col if n == 0 else (lambda c: F.floor(F.col(c) / step).cast("int"))
+        cubes = cubes.select(above("d").alias("a"), above("e").alias("b"), above("f").alias("c"), "d", "e", "f", "t")
+        gap = [F.greatest(F.col(c) * side - F.col(p), F.col(p) - (F.col(c) + 1) * side, F.lit(0.0)) for c, p in zip("def", "xyz", strict=True)]
+        least = _arc_km(F.sqrt(sum((g * g for g in gap[1:]), gap[0] * gap[0])))
+        met = found.join(cubes, ["a", "b", "c"]).withColumn("least", least).withColumn("known", haversine_km(F.col("lat"), F.col("lon"), F.col("t.t_lat"), F.col("t.t_lon")))
+        best = F.min("known").over(Window.partitionBy("id"))
+        kept = met.withColumn("best", best).filter(F.col("least") <= F.col("best") * (1 + 1e-9) + 1e-6)
+        found = kept.select("id", "lat", "lon", "x", "y", "z", F.col("d").alias("a"), F.col("e").alias("b"), F.col("f").alias("c"))
+    leaves = spots.select(*_cubes([F.col(c) for c in "xyz"], 2.0 ** -LEVELS[-1], "abc"), "key", "t_lat", "t_lon")
+    near = found.join(leaves, ["a", "b", "c"]).withColumn("km", haversine_km(F.col("lat"), F.col("lon"), F.col("t_lat"), F.col("t_lon")))
+    return near.groupBy("id").agg(F.min(F.struct("km", "key")).alias("m")).select("id", F.col("m.key").alias("key"), F.col("m.km").alias("km"))
+
+
+def within_km(points: DataFrame, targets: DataFrame, most: float) -> DataFrame:
+    """(id, key, km) of all points (id, lat, lon) and targets (key, t_lat, t_lon) at most so far apart, by cubes of that side."""
+    side = 2 * math.sin(min(most / EARTH_KM, math.pi) / 2) * (1 + 1e-9) + 1e-9
+    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(k).alias("k")) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)])
+    spread = targets.select("key", "t_lat", "t_lon", *_cubes(_on_sphere(F.col("t_lat"), F.col("t_lon")), side, "abc"), F.explode(around).alias("o"))
+    spread = spread.select("key", "t_lat", "t_lon", *[(F.col(c) + F.col(f"o.{o}")).alias(c) for c, o in zip("abc", "ijk", strict=True)])
+    own = points.select("id", "lat", "lon", *_cubes(_on_sphere(F.col("lat"), F.col("lon")), side, "abc"))
+    met = own.join(spread, ["a", "b", "c"]).withColumn("km", haversine_km(F.col("lat"), F.col("lon"), F.col("t_lat"), F.col("t_lon")))
+    return met.filter(F.col("km") <= most).select("id", "key", "km")
+
+
 def nearest(points: DataFrame, targets: DataFrame, fallback: bool = True) -> DataFrame:
     """(id, key, km): each point's nearest target in its own and the eight cells around, of equal ones the smallest key.
 
-    With fallback, points without any target there look through all targets, which should be few: their table is what
-    each such point meets.
+    With fallback, points without any target there get the nearest of all.
     """
     best = _near(points, targets).groupBy("id").agg(F.min(F.struct("km", "key")).alias("m"))
     found = best.select("id", F.col("m.key").alias("key"), F.col("m.km").alias("km"))
     if not fallback:
         return found
-    left = points.join(found, "id", "left_anti")
-    # targets in lists of bounded size, each of which meets the lone points once
-    lists = max(1, -(-targets.count() // LISTED))
-    listed = targets.groupBy(F.pmod(F.xxhash64("key"), F.lit(lists)).alias("__l")).agg(F.collect_list(F.struct("key", "t_lat", "t_lon")).alias("all"))
-    least = F.array_min(F.transform("all", lambda t: F.struct(haversine_km(F.col("lat"), F.col("lon"), t["t_lat"], t["t_lon"]).alias("km"), t["key"].alias("key"))))
-    far = left.crossJoin(listed).select("id", least.alias("m")).groupBy("id").agg(F.min("m").alias("m"))
-    return found.unionByName(far.filter("m IS NOT NULL").select("id", F.col("m.key").alias("key"), F.col("m.km").alias("km")))
+    return found.unionByName(nearest_of_all(points.join(found, "id", "left_anti"), targets))
 
 
 def metro(points: DataFrame, cities: DataFrame) -> DataFrame:
@@ -109,8 +157,6 @@ def _km(lat1: float, lon1: float, lat2: float, lon2: float) -> float:
 
 def spot_list(members: DataFrame, names: DataFrame | None = None) -> DataFrame:
     """A city's spots of three rows at least, the eight largest: city, key, name, lat, lon, count. names: (city, spot, name)."""
-    from pyspark.sql import Window
-
     spots = members.groupBy("city", "spot").agg(F.first("spot_lat").alias("lat"), F.first("spot_lon").alias("lon"), F.first("members").alias("count")).filter(F.col("count") >= SPOT_LEAST)
     named = spots.join(names, ["city", "spot"], "left") if names is not None else spots.withColumn("name", F.lit(None).cast("string"))
     # numbers of unnamed spots run in the order in which spots were opened

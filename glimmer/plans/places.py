@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from glimmer.functions.scalars import cell, half_degree_cell, haversine_km, metro_radius_km, spot_key
+from glimmer.functions.scalars import cell, half_degree_cell, metro_radius_km, spot_key
 from glimmer.operators import geo
 from glimmer.plans.registry import query
 
@@ -67,11 +67,11 @@ def geo_cells(t):
 
 @query("SRC-15", f"WITH {_SQL}, capital AS (SELECT key AS k, t_lat AS clat, t_lon AS clon FROM c WHERE key % 10 = 0) SELECT key FROM c WHERE key % 10 = 0 OR NOT EXISTS (SELECT 1 FROM capital WHERE 2 * 6371.0 * asin(least(1, sqrt(pow(sin(radians(t_lat - clat) / 2), 2) + cos(radians(clat)) * cos(radians(t_lat)) * pow(sin(radians(t_lon - clon) / 2), 2)))) <= 200)")
 def cities_without_districts(t):
-    """Places within 200 km of a capital are its parts; capitals, of which a gazetteer has some hundred, go to each place as one list."""
+    """Places within 200 km of a capital are its parts."""
     c = _cities(t)
-    capitals = c.filter("key % 10 = 0").agg(F.collect_list(F.struct("t_lat", "t_lon")).alias("all"))
-    near = F.exists("all", lambda x: haversine_km(F.col("t_lat"), F.col("t_lon"), x["t_lat"], x["t_lon"]) <= 200)
-    return c.crossJoin(F.broadcast(capitals)).filter((F.col("key") % 10 == 0) | ~near).select("key")
+    plain = c.filter("key % 10 <> 0").select(F.col("key").alias("id"), F.col("t_lat").alias("lat"), F.col("t_lon").alias("lon"))
+    parts = geo.within_km(plain, c.filter("key % 10 = 0").select("key", "t_lat", "t_lon"), 200.0).select(F.col("id").alias("key"))
+    return c.select("key").join(parts, "key", "left_anti")
 
 
 def _photos(t):
