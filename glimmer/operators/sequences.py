@@ -110,10 +110,10 @@ def next_positions(new: DataFrame, existing: DataFrame, keys: list[str], member:
 
 
 def unique_names(rows: DataFrame, name: str, keys: list[str], order: list[str]) -> DataFrame:
-    """"a.jpg", "a-2.jpg", "a-3.jpg" for equal names within keys."""
-    n = F.row_number().over(Window.partitionBy(*keys, name).orderBy(*order))
-    stem, ending = F.regexp_extract(name, r"^(.*?)(\.[^./]*)?$", 1), F.regexp_extract(name, r"^(.*?)(\.[^./]*)?$", 2)
-    return rows.withColumn("entry", F.when(n == 1, F.col(name)).otherwise(F.concat(stem, F.lit("-"), n.cast("string"), ending)))
+    """rows with `entry`: "a.jpg", "a-2.jpg", "a-3.jpg" for equal names within keys, whatever names of that form there are."""
+    from glimmer.operators.naming import DASHED, free_names
+
+    return free_names(rows, name, keys, order, DASHED)
 
 
 def without_echoes(rows: DataFrame, keys: list[str], time: str, within: float, order: list[str]) -> DataFrame:

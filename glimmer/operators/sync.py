@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from glimmer.operators.naming import RESTORED, free_names
+
 AUTO, PINNED, EXCLUDED = 0, 1, 2
 
 
@@ -148,13 +150,8 @@ def merge_target(name_a: Column, name_b: Column, a: Column, b: Column) -> Column
 
 
 def restored_names(rows: DataFrame, taken: DataFrame, path: str = "file_path") -> DataFrame:
-    """Paths for restored files: their own if free, else "x (restored).jpg", "x (restored 2).jpg" ..."""
-    stem, ending = F.regexp_extract(path, r"^(.*?)(\.[^./]*)?$", 1), F.regexp_extract(path, r"^(.*?)(\.[^./]*)?$", 2)
-    used = taken.select(F.col(path).alias("__t")).distinct()
-    n = F.row_number().over(Window.partitionBy(path, F.col("__t").isNotNull()).orderBy("id"))
-    place = F.when(F.col("__t").isNotNull(), n).otherwise(n - 1)
-    mark = F.when(place == 1, " (restored)").otherwise(F.concat(F.lit(" (restored "), place.cast("string"), F.lit(")")))
-    return rows.join(used, F.col(path) == F.col("__t"), "left").withColumn("restored_path", F.when(place == 0, F.col(path)).otherwise(F.concat(stem, mark, ending))).drop("__t")
+    """Paths for restored files, in order of id: their own if free, else the first free of "x (restored).jpg", "x (restored 2).jpg" ..."""
+    return free_names(rows, path, [], ["id"], RESTORED, "restored_path", taken)
 
 
 def edited_moments(moments: DataFrame, order: DataFrame, hidden: DataFrame, titles: DataFrame) -> DataFrame:

@@ -312,12 +312,23 @@ def view_counters(t):
     return count_events(t("events"), ["user_id", "event_type"], "ts").select("user_id", "event_type", "view_count", _time("last_viewed_at").alias("last"))
 
 
-@query("SNK-24 SNK-14", """
-SELECT page_id, CASE WHEN n = 1 THEN name ELSE regexp_replace(name, '^(.*?)(\\.[^./]*)?$', '\\1-' || n || '\\2') END AS entry
-FROM (SELECT page_id, name, row_number() OVER (PARTITION BY name ORDER BY page_id) AS n FROM (SELECT page_id, 'p' || page_id % 7 || '.jpg' AS name FROM pages))""".replace("\\\\", "\\"))
+_WALK = """WITH RECURSIVE {rows},
+w AS (SELECT g, 0::BIGINT AS i, {used} AS used, NULL::BIGINT AS id, NULL::VARCHAR AS given FROM (SELECT DISTINCT g FROM r)
+UNION ALL SELECT g, i, list_append(used, given), id, given FROM (
+  SELECT w.g, r.i, used, r.id, CASE WHEN NOT list_contains(used, name) THEN name ELSE list_filter(list_transform(range({first}, len(used) + 3), lambda n: regexp_extract(name, '^(.*)[.]', 1) || {mark} || '.jpg'), lambda c: NOT list_contains(used, c))[1] END AS given
+  FROM w JOIN r ON r.g = w.g AND r.i = w.i + 1))
+SELECT id AS {id}, given AS {out} FROM w WHERE i > 0"""
+_NAMES = """r AS (SELECT id, g, name, row_number() OVER (PARTITION BY g ORDER BY id) AS i FROM (SELECT page_id AS id, page_id % 29 AS g,
+  'p' || page_id % 3 || CASE page_id % 5 WHEN 0 THEN '-' || (2 + page_id % 7) WHEN 1 THEN '-2-' || (2 + page_id % 2) ELSE '' END || '.jpg' AS name FROM pages))"""
+
+
+@query("SNK-24", _WALK.format(rows=_NAMES, used="[]::VARCHAR[]", first=2, mark="'-' || n", id="page_id", out="entry"))
 def zip_entry_names(t):
-    rows = t("pages").select("page_id", F.concat(F.lit("p"), F.col("page_id") % 7, F.lit(".jpg")).alias("name"))
-    return unique_names(rows, "name", [], ["page_id"]).select("page_id", "entry")
+    """Archives of pages, of which some are named as others would be."""
+    k = F.col("page_id")
+    mark = F.when(k % 5 == 0, F.concat(F.lit("-"), 2 + k % 7)).when(k % 5 == 1, F.concat(F.lit("-2-"), 2 + k % 2)).otherwise("")
+    rows = t("pages").select("page_id", (k % 29).alias("archive"), F.concat(F.lit("p"), k % 3, mark, F.lit(".jpg")).alias("name"))
+    return unique_names(rows, "name", ["archive"], ["page_id"]).select("page_id", "entry")
 
 
 @query("SRT-08", "SELECT p_partkey FROM part ORDER BY CASE WHEN p_size > 10 THEN NULL ELSE p_size END ASC NULLS LAST, p_retailprice DESC, p_partkey LIMIT 60")

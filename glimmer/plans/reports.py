@@ -12,6 +12,7 @@ from glimmer.operators.sequences import best_row, top_per_group
 from glimmer.operators.sync import merge_target, restored_names
 from glimmer.operators.vectors import centroids, confidence, similar_pairs
 from glimmer.plans.moments import cover, featured
+from glimmer.plans.library import _WALK
 from glimmer.plans.registry import query
 from glimmer.plans.similarity import _COMPONENTS, _COS, EPSILON
 from glimmer.store import written
@@ -234,12 +235,21 @@ def content_dedup(t):
     return fresh.groupBy("checksum").agg(F.min("doc_id").alias("doc_id"))
 
 
-@query("SNK-14", """WITH r AS (SELECT page_id AS id, 'p' || page_id % 9 || '.jpg' AS f FROM pages WHERE page_id % 2 = 0), taken AS (SELECT DISTINCT 'p' || page_id % 9 || '.jpg' AS f FROM pages WHERE page_id % 9 < 4),
-n AS (SELECT r.*, row_number() OVER (PARTITION BY r.f ORDER BY id) - CASE WHEN taken.f IS NULL THEN 1 ELSE 0 END AS k FROM r LEFT JOIN taken USING (f))
-SELECT id, CASE WHEN k = 0 THEN f ELSE replace(f, '.jpg', CASE WHEN k = 1 THEN ' (restored)' ELSE ' (restored ' || k || ')' END || '.jpg') END AS restored_path FROM n""")
+_PATHS = """r AS (SELECT id, g, name, row_number() OVER (PARTITION BY g ORDER BY id) AS i FROM (SELECT page_id AS id, page_id % 29 AS g,
+  'f' || page_id % 29 || '/p' || page_id % 2 || CASE page_id % 5 WHEN 0 THEN ' (restored)' WHEN 1 THEN ' (restored ' || (2 + page_id % 3) || ')' ELSE '' END || '.jpg' AS name FROM pages WHERE page_id % 2 = 0)),
+taken AS (SELECT g, list(DISTINCT name) AS t FROM (SELECT page_id % 29 AS g, 'f' || page_id % 29 || '/p0' || CASE page_id % 7 WHEN 0 THEN ' (restored)' WHEN 1 THEN ' (restored 3)' ELSE '' END || '.jpg' AS name FROM pages WHERE page_id % 2 = 1) GROUP BY g)"""
+
+
+@query("SNK-14", _WALK.format(rows=_PATHS, used="coalesce((SELECT t FROM taken WHERE taken.g = s.g), [])::VARCHAR[]", first=1, mark="CASE n WHEN 1 THEN ' (restored)' ELSE ' (restored ' || n || ')' END", id="id", out="restored_path").replace("(SELECT DISTINCT g FROM r)", "(SELECT DISTINCT g FROM r) s").replace("SELECT g, 0::BIGINT", "SELECT s.g, 0::BIGINT"))
 def restored_paths(t):
-    rows = t("pages").select(F.col("page_id").alias("id"), F.concat(F.lit("p"), F.col("page_id") % 9, F.lit(".jpg")).alias("file_path"))
-    return restored_names(rows.filter("id % 2 = 0"), rows.filter("id % 9 < 4")).select("id", "restored_path")
+    """Files that come back to folders where their names, or marked ones, may be taken."""
+    k = F.col("page_id")
+    path = lambda stem, mark: F.concat(F.lit("f"), k % 29, F.lit("/p"), stem, mark, F.lit(".jpg"))
+    back = F.when(k % 5 == 0, " (restored)").when(k % 5 == 1, F.concat(F.lit(" (restored "), 2 + k % 3, F.lit(")"))).otherwise("")
+    there = F.when(k % 7 == 0, " (restored)").when(k % 7 == 1, " (restored 3)").otherwise("")
+    rows = t("pages").filter("page_id % 2 = 0").select(k.alias("id"), path(k % 2, back).alias("file_path"))
+    taken = t("pages").filter("page_id % 2 = 1").select(path(F.lit(0), there).alias("file_path"))
+    return restored_names(rows, taken).select("id", "restored_path")
 
 
 @query("SNK-15 SNK-19", "SELECT a.s_suppkey AS a, b.s_suppkey AS b, CASE WHEN a.s_suppkey % 3 = 0 AND b.s_suppkey % 3 <> 0 THEN a.s_suppkey WHEN b.s_suppkey % 3 = 0 AND a.s_suppkey % 3 <> 0 THEN b.s_suppkey ELSE greatest(a.s_suppkey, b.s_suppkey) END AS into_id FROM supplier a JOIN supplier b ON b.s_suppkey = a.s_suppkey + 1")
