@@ -13,7 +13,8 @@ and a bucket's size follows the number of distinct windows.
 A bucket is read in chunks of bounded size. If one chunk holds all of it, its windows are settled. Otherwise, as with a
 phrase that stands in a third of all documents in different surroundings, each chunk is marked by itself and its other
 windows are dealt anew, by minimisers of more words, at last by the whole window's hash, to more buckets, where equal
-windows meet again. So no task holds a bucket, and each round has fewer windows to deal.
+windows meet again. So no task holds a bucket, and each round has fewer windows to deal: words of more than `LONG` bytes
+travel as their SHA-256, so a chunk has room for many windows whatever their words.
 
 Null and empty texts have no words. Null doc_id is the smallest. Rows that share a doc_id count as one document of which
 each row has its own words: equal starts do not repeat each other. Empty tables give no rows. Other columns are carried
@@ -24,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import replace
 from functools import reduce
 
 import numpy as np
@@ -42,7 +44,9 @@ MMERS = (3, 8)
 BLOCK_WORDS = 1 << 20
 #: Bytes of packed strings that a bucket gets, about.
 BUCKET_BYTES = 12 << 20
-#: Bytes of words that a task holds at once.
+#: Bytes of a word that travels as it is; a longer one is told by its SHA-256, so a window has some 1,300 bytes at most.
+LONG = 64
+#: Bytes of words that a task holds at once; many windows, so that each round has fewer to deal.
 CHUNK_BYTES = 24 << 20
 _PACKED = "bucket long, docs binary, starts binary, words binary, marks binary"
 _NULL = -(2**63)
@@ -65,6 +69,24 @@ def _joined(w: _text.Words) -> tuple[np.ndarray, np.ndarray]:
     return out, offsets
 
 
+def _shortened(w: _text.Words) -> _text.Words:
+    """The words with a NUL and the hex SHA-256 in place of each that has more than LONG bytes. The form is longer than that
+    itself, so no word that stays has it."""
+    long = np.flatnonzero(w.ends - w.starts > LONG)
+    if not len(long):
+        return w
+    data, inside, at = [], [], 0
+    for a, b in zip(w.starts[long].tolist(), w.ends[long].tolist(), strict=True):
+        form = b"\0" + hashlib.sha256(w.data[a:b]).hexdigest().encode()
+        data += [w.data[at:a], np.frombuffer(form, np.uint8)]
+        inside += [w.inside[at:a], np.ones(len(form), bool)]
+        at = b
+    less = np.zeros(len(w.starts) + 1, np.int64)
+    less[long + 1] = w.ends[long] - w.starts[long] - len(form)
+    less = np.cumsum(less)
+    return replace(w, data=np.concatenate([*data, w.data[at:]]), inside=np.concatenate([*inside, w.inside[at:]]), starts=w.starts - less[:-1], ends=w.ends - less[1:])
+
+
 def _later(h: np.ndarray, doc: np.ndarray, start: np.ndarray, buffer: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Which windows have their words in a window with a smaller (doc, start). begin, end: their bytes in buffer."""
     order = np.lexsort((start, doc, h))
@@ -187,7 +209,7 @@ def _pack(n: int, buckets: int, block_words: int):
         held, words, number = [], 0, TaskContext.get().partitionId() << 32
         for batch in batches:
             for part in _text.slices(batch, "text"):
-                w = _text.split(part.column("text"), _text.WORDS)
+                w = _shortened(_text.split(part.column("text"), _text.WORDS))
                 ids, tags = (part.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("doc_id", "tag"))
                 held.append((ids, tags, np.zeros(len(ids), np.int64), w.counts, w.hashes(), *_joined(w)))
                 words += len(w.starts)
