@@ -116,19 +116,6 @@ def unique_names(rows: DataFrame, name: str, keys: list[str], order: list[str])
     return free_names(rows, name, keys, order, DASHED)
 
 
-def without_echoes(rows: DataFrame, keys: list[str], time: str, within: float, order: list[str]) -> DataFrame:
-    """Rows that come more than `within` seconds after the row before of their keys; the first one counts."""
-    before = F.lag(time).over(Window.partitionBy(*keys).orderBy(time, *order))
-    marked = rows.withColumn("__gap", seconds(F.col(time)) - seconds(before))
-    return marked.filter(F.col("__gap").isNull() | (F.col("__gap") > within)).drop("__gap")
-
-
-def coalesced(rows: DataFrame, keys: list[str], time: str, id_column: str, minutes: int) -> DataFrame:
-    """Of each interval's rows of the keys the latest, and how many there were."""
-    spans = rows.groupBy(*keys, F.window(time, f"{minutes} minutes").alias("w"))
-    return spans.agg(F.max_by(id_column, F.struct(time, id_column)).alias(id_column), F.count("*").alias("coalesced")).drop("w")
-
-
 def quiet_periods(rows: DataFrame, keys: list[str], time: str, idle: str, pending: Column) -> DataFrame:
     """(keys, due, pending): when nothing had come for `idle`, and whether the last row left something pending."""
     runs_ = rows.withColumn("__p", pending).groupBy(*keys, F.session_window(time, idle).alias("w"))

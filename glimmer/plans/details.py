@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from glimmer.functions import predicates
-from glimmer.operators import clustering, geo, people, sequences, sync, vectors
+from glimmer.operators import clustering, geo, machines, people, sequences, sync, vectors
 from glimmer.plans.places import _SQL as _PLACES
 from glimmer.plans.places import _cities, _photos, _points
 from glimmer.plans.registry import query
@@ -132,17 +132,27 @@ def covers_or_nearest(t):
     return people.covers(rows, "label", "vec_id", "embedding", "score").select(F.col("label").alias("person"), "cover", "by_centroid")
 
 
-@query("ST-01 SRC-09", """WITH e AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS i FROM events),
-l AS (SELECT e.*, lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS before FROM e) SELECT event_id FROM l WHERE before IS NULL OR ts - before > INTERVAL 6 HOUR""")
+@query("ST-01 SRC-09", """WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) AS t, event_id, event_type IN ('purchase', 'error') AS ends, event_type = 'purchase' AS named, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+w AS (SELECT user_id, 0::BIGINT AS i, false AS busy, (-1)::BIGINT AS until, NULL::BIGINT AS event_id, false AS taken FROM (SELECT DISTINCT user_id FROM e)
+UNION ALL SELECT w.user_id, e.i, NOT ends AND (busy OR t >= until), CASE WHEN ends AND busy THEN t + CASE WHEN named THEN 21600000000 ELSE 0 END ELSE until END, e.event_id, NOT ends AND NOT busy AND t >= until FROM w JOIN e ON e.user_id = w.user_id AND e.i = w.i + 1)
+SELECT event_id FROM w WHERE taken""")
 def echoes_suppressed(t):
-    """Requests that come again within a time of the last one are echoes; the first one is served. (The tables' events are hours apart.)"""
-    return sequences.without_echoes(t("events"), ["user_id", "event_type"], "ts", 6 * 3600.0, ["event_id"]).select("event_id")
-
-
-@query("ST-06", "SELECT user_id AS chain, arg_max(event_id, (ts, event_id)) AS request, count(*)::BIGINT AS coalesced FROM events WHERE event_type = 'click' GROUP BY user_id, time_bucket(INTERVAL 10 MINUTE, ts)")
+    """A user's requests while one is worked on are echoes, and for six hours after the end of work that a batch names (a purchase here); an error lets go at once."""
+    kind = F.col("event_type")
+    return machines.served(t("events"), "user_id", F.col("ts"), "event_id", ~kind.isin("purchase", "error"), kind == "purchase", 6 * 3600.0).select(F.col("id").alias("event_id"))
+
+
+@query("ST-06", """WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) AS t, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+w AS (SELECT user_id, 0::BIGINT AS i, NULL::BIGINT AS ran, NULL::BIGINT AS waits, 0::BIGINT AS merged, NULL::BIGINT AS fired, NULL::BIGINT AS fired_at, NULL::BIGINT AS fired_n, NULL::BIGINT AS own, NULL::BIGINT AS own_at FROM (SELECT DISTINCT user_id FROM e)
+UNION ALL SELECT user_id, i, CASE WHEN now THEN t ELSE since END, CASE WHEN NOT now THEN event_id END, CASE WHEN now THEN 0 WHEN fire THEN 1 ELSE merged + 1 END, CASE WHEN fire THEN waits END, CASE WHEN fire THEN since END, CASE WHEN fire THEN merged END, CASE WHEN now THEN event_id END, CASE WHEN now THEN t END
+  FROM (SELECT *, since IS NULL OR t >= since + 43200000000 AS now FROM (SELECT w.user_id, e.i, e.t, e.event_id, waits, merged, waits IS NOT NULL AND t >= ran + 43200000000 AS fire, CASE WHEN waits IS NOT NULL AND t >= ran + 43200000000 THEN ran + 43200000000 ELSE ran END AS since FROM w JOIN e ON e.user_id = w.user_id AND e.i = w.i + 1))),
+runs AS (SELECT user_id, fired AS request, fired_at AS run_at, fired_n AS n FROM w UNION ALL SELECT user_id, own, own_at, 1 FROM w
+  UNION ALL SELECT user_id, waits, ran + 43200000000, merged FROM w QUALIFY i = max(i) OVER (PARTITION BY user_id))
+SELECT user_id AS chain, request, run_at, n AS coalesced FROM runs WHERE request IS NOT NULL""")
 def runs_coalesced(t):
-    """Of the requests of a chain in ten minutes, the latest runs once; the stream's form is a trigger of that interval."""
-    return sequences.coalesced(t("events").filter("event_type = 'click'").withColumnRenamed("user_id", "chain"), ["chain"], "ts", "event_id", 10).select("chain", F.col("event_id").alias("request"), "coalesced")
+    """A chain runs at most once in twelve hours; requests meanwhile wait, and the latest runs for all of them."""
+    runs = machines.throttled(t("events"), "user_id", F.col("ts"), "event_id", 12 * 3600.0)
+    return runs.select(F.col("user_id").alias("chain"), F.col("id").alias("request"), F.col("at").alias("run_at"), F.col("merged").alias("coalesced"))
 
 
 @query("ST-07", """WITH e AS (SELECT user_id, ts, event_type, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 12 HOUR THEN 0 ELSE 1 END AS fresh FROM events), g AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM e)

@@ -20,11 +20,6 @@ def arriving_files(spark: SparkSession, folder: str, per_trigger: int = 1000) ->
     return spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", per_trigger).load(folder).drop("content")
 
 
-def without_echoes(stream: DataFrame, keys: list[str], time: str = "ts", within: str = "30 seconds") -> DataFrame:
-    """The first of equal events; repeats within the time are dropped, and state is kept no longer than that."""
-    return stream.withWatermark(time, within).dropDuplicatesWithinWatermark(keys)
-
-
 def upload_batches(stream: DataFrame, key: str, time: str = "ts", idle: str = "6 seconds", late: str = "30 seconds") -> DataFrame:
     """A batch of each key's events closes when nothing has come for `idle`: its start, end, count and total size."""
     rows = stream.withWatermark(time, late).groupBy(key, F.session_window(time, idle).alias("w"))
