@@ -11,8 +11,8 @@ from glimmer.plans.places import _SQL as _PLACES
 from glimmer.plans.places import _cities, _photos, _points
 from glimmer.plans.registry import query
 from glimmer.plans.similarity import _COMPONENTS, _COS, _V
-from glimmer.sources import files
-from glimmer.store import written
+from glimmer.sources import files, walks
+from glimmer.store import shared_folder, written
 
 _TWINS = """WITH RECURSIVE v AS (SELECT vec_id, vec_id % 40 AS burst, embedding::DOUBLE[] AS e FROM embeddings UNION ALL SELECT vec_id + 1000000, vec_id % 40, list_concat((embedding::DOUBLE[])[1:60], [0.0, 0.0, 0.0, 0.0]) FROM embeddings WHERE vec_id % 3 = 0),"""
 
@@ -194,6 +194,24 @@ def supported_media(t):
     return rows.select("page_id", "mime_type", files.oversize(F.col("size"), F.lit(1000), 20_000_000).alias("oversize"))
 
 
+_TREE = "'/' || page_id % 7 || CASE page_id % 4 WHEN 0 THEN '/.snapshots' WHEN 1 THEN '/deep/er' ELSE '' END || CASE page_id % 6 WHEN 0 THEN '/left out' ELSE '' END || '/' || page_id || CASE page_id % 5 WHEN 0 THEN '.JPG' WHEN 1 THEN '.mp4' WHEN 2 THEN '.txt' WHEN 3 THEN '.png' ELSE '' END"
+
+
+@query("SRC-01", f"SELECT {_TREE} AS path, length(html) % 100 AS size, CASE page_id % 5 WHEN 0 THEN 'image/jpeg' WHEN 1 THEN 'video/mp4' ELSE 'image/png' END AS mime_type FROM pages WHERE page_id % 4 <> 0 AND NOT (page_id % 6 = 0 AND page_id % 7 = 3 AND page_id % 4 > 1) AND page_id % 5 NOT IN (2, 4)")
+def folders_walked(t):
+    """A tree of files, one for each page, and the walk through it: hidden folders and an excluded one are not entered."""
+    k, pages = F.col("page_id"), t("pages")
+    root = shared_folder(pages.sparkSession, "tree")
+    root = root if "://" in root else f"file://{root}"
+    tail = F.when(k % 5 == 0, ".JPG").when(k % 5 == 1, ".mp4").when(k % 5 == 2, ".txt").when(k % 5 == 3, ".png").otherwise("")
+    below = F.concat(F.when(k % 4 == 0, "/.snapshots").when(k % 4 == 1, "/deep/er").otherwise(""), F.when(k % 6 == 0, "/left out").otherwise(""))
+    path = F.concat(F.lit(f"{root}/"), k % 7, below, F.lit("/"), k, tail)
+    rows = pages.select(path.alias("path"), F.repeat(F.lit("x"), (F.length("html") % 100).cast("int")).cast("binary").alias("content"))
+    written(walks.put_files(rows, "path", "content").select("path"), "put")
+    found = walks.media_files(pages.sparkSession, [root], (f"{root}/3/left out",))
+    return found.select(F.substr("path", F.lit(len(root) + 1)).alias("path"), "size", "mime_type")
+
+
 @query("SRC-03", f"""WITH f AS (SELECT {_PATH} AS path, length(html) AS size, page_id % 6 AS m, page_id FROM pages)
 SELECT path, CASE WHEN page_id % 3 = 0 THEN 'add' WHEN page_id % 7 = 1 THEN 'drop' ELSE 'again' END AS action FROM f WHERE page_id % 3 = 0 AND page_id % 7 <> 1 OR page_id % 3 <> 0 AND (page_id % 7 = 1 OR page_id % 11 = 0)""")
 def folder_scanned(t):
