@@ -106,11 +106,34 @@ class Gate:
         return self.expire(state, 2**62)[1]
 
 
+class Rerun:
+    """Work that runs one at a time: a request during a run lets one more follow at its end, however many there were. State:
+    whether a run is on, whether one more is asked for, the request that it stands for, and how many they are."""
+
+    START = (False, False, 0, 0)
+    FIELDS = "running boolean, pending boolean, waits long, merged long"
+
+    def step(self, state: tuple, e: Event) -> tuple[tuple, list[Out]]:
+        running, pending, waits, merged = state
+        if e.kind == "begin":
+            return ((True, True, e.id, merged + 1), []) if running else ((True, False, 0, 0), [Out(e.id, e.at)])
+        return ((True, False, 0, 0), [Out(waits, e.at, merged)]) if running and pending else ((False, False, 0, 0), [])
+
+    def timer(self, state: tuple) -> int | None:
+        return None
+
+    def expire(self, state: tuple, now: int) -> tuple[tuple | None, list[Out]]:
+        return state, []
+
+    def end(self, state: tuple) -> list[Out]:
+        return []
+
+
 def micros(time: Column) -> Column:
     return F.unix_micros(time.cast("timestamp"))
 
 
-def walked(rows: DataFrame, key: str, machine: Hold | Gate) -> DataFrame:
+def walked(rows: DataFrame, key: str, machine: Hold | Gate | Rerun) -> DataFrame:
     """key, id, at, merged: what comes out of each key's machine for rows (key, at, id, kind, named), in order of time and id."""
     ship(rows.sparkSession)
     kind = dict(rows.dtypes)[key]
@@ -145,6 +168,12 @@ def served(rows: DataFrame, key: str, time: Column, id_column: str, begins: Colu
     return walked(events.filter("at IS NOT NULL"), key, Hold(round(echo_seconds * 1e6))).drop("merged")
 
 
+def rerun(rows: DataFrame, key: str, time: Column, id_column: str, begins: Column) -> DataFrame:
+    """key, id, at, merged: the runs that requests start, at once or at the end of the run before (`Rerun`)."""
+    events = rows.select(key, micros(time).alias("at"), F.col(id_column).cast("long").alias("id"), F.when(begins, "begin").otherwise("end").alias("kind"), F.lit(False).alias("named"))
+    return walked(events.filter("at IS NOT NULL"), key, Rerun())
+
+
 def throttled(rows: DataFrame, key: str, time: Column, id_column: str, every_seconds: float) -> DataFrame:
     """key, id, at, merged: the runs of each chain of requests (`Gate`)."""
     events = rows.select(key, micros(time).alias("at"), F.col(id_column).cast("long").alias("id"), F.lit("begin").alias("kind"), F.lit(False).alias("named"))

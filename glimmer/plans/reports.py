@@ -9,6 +9,7 @@ from glimmer.functions.predicates import visible
 from glimmer.functions.scalars import crop_square, fits_quota, fraction, iso6709, rotation, sharpness, sprite_frames, title_of
 from glimmer.operators.clustering import cut_vertices, density_clusters
 from glimmer.operators.sequences import best_row, top_per_group
+from glimmer.operators import polygons
 from glimmer.operators.sync import merge_target, restored_names
 from glimmer.operators.vectors import centroids, confidence, similar_pairs
 from glimmer.plans.moments import cover, featured
@@ -190,6 +191,39 @@ def box_overlaps(t):
     return pairs.groupBy("k", "a", "b").agg(F.max(inter / (area("x") + area("y") - inter)).alias("iou")).filter("iou > 0.9").select("k", "a", "b", F.round("iou", 6).alias("iou"))
 
 
+def _corner(i):
+    """In SQL, a corner of a line item's box, turned around its middle, as [x, y]."""
+    u, v = ((-1, -1), (1, -1), (1, 1), (-1, 1))[i]
+    return f"[round(cx + {u} * w * cos(a) - {v} * h * sin(a), 9), round(cy + {u} * w * sin(a) + {v} * h * cos(a), 9)]"
+
+
+_CROSS = "((b[1] - a[1]) * ({p}[2] - a[2]) - (b[2] - a[2]) * ({p}[1] - a[1]))"
+_SHOELACE = "abs(list_sum(list_transform(range(1, len({q}) + 1), lambda i: {q}[i][1] * {q}[i % len({q}) + 1][2] - {q}[i % len({q}) + 1][1] * {q}[i][2]))) / 2"
+
+
+@query("RM-21", f"""WITH RECURSIVE b AS (SELECT l_orderkey AS k, l_linenumber AS i, l_suppkey % 2 = 0 AS old, 10 * l_discount AS cx, 10 * l_tax AS cy, 0.2 + l_quantity / 100 AS w, 0.1 + l_quantity / 200 AS h, l_partkey % 31 / 10.0 AS a FROM lineitem),
+q AS (SELECT k, i, old, [{", ".join(_corner(i) for i in range(4))}] AS q FROM b),
+c AS (SELECT x.k, x.i AS lb, y.i AS rb, x.q AS one, y.q AS other, 0 AS e, x.q AS p FROM q x JOIN q y ON x.k = y.k AND x.old AND NOT y.old
+UNION ALL SELECT k, lb, rb, one, other, e + 1, flatten(list_transform(range(1, len(p) + 1), lambda j: CASE
+    WHEN s[j] >= 0 AND s[j % len(p) + 1] >= 0 THEN [p[j]] WHEN s[j] < 0 AND s[j % len(p) + 1] < 0 THEN []
+    ELSE list_concat(CASE WHEN s[j] >= 0 THEN [p[j]] ELSE [] END, [[p[j][1] + s[j] / (s[j] - s[j % len(p) + 1]) * (p[j % len(p) + 1][1] - p[j][1]), p[j][2] + s[j] / (s[j] - s[j % len(p) + 1]) * (p[j % len(p) + 1][2] - p[j][2])]]) END))
+  FROM (SELECT *, list_transform(p, lambda z: {_CROSS.format(p="z")}) AS s FROM (SELECT *, other[e + 1] AS a, other[(e + 1) % 4 + 1] AS b FROM c WHERE e < 4))),
+f AS (SELECT k, lb, rb, round(coalesce({_SHOELACE.format(q="p")}, 0) / ({_SHOELACE.format(q="one")} + {_SHOELACE.format(q="other")} - coalesce({_SHOELACE.format(q="p")}, 0)), 6) AS iou FROM c WHERE e = 4),
+g AS (SELECT k, list({{'l': lb, 'r': rb, 's': iou}} ORDER BY iou DESC, lb, rb) AS todo FROM f WHERE iou > 0 GROUP BY k),
+w AS (SELECT k, todo, NULL::BIGINT AS lb, NULL::BIGINT AS rb, NULL::DOUBLE AS iou FROM g
+UNION ALL SELECT k, list_filter(todo, lambda x: x.l <> todo[1].l AND x.r <> todo[1].r), todo[1].l, todo[1].r, todo[1].s FROM w WHERE len(todo) > 0)
+SELECT k, lb AS old_box, rb AS new_box, iou FROM w WHERE lb IS NOT NULL""")
+def quads_paired(t):
+    """Turned boxes of one run on a picture against those of another, one to one by their overlap."""
+    c, turn = F.col, F.col("l_partkey") % 31 / 10.0
+    w, h = 0.2 + c("l_quantity") / 100, 0.1 + c("l_quantity") / 200
+    flat = [x for u, v in ((-1, -1), (1, -1), (1, 1), (-1, 1)) for x in (10 * c("l_discount") + u * w * F.cos(turn) - v * h * F.sin(turn), 10 * c("l_tax") + u * w * F.sin(turn) + v * h * F.cos(turn))]
+    rows = t("lineitem").select(c("l_orderkey").alias("k"), c("l_linenumber").cast("long").alias("i"), (c("l_suppkey") % 2 == 0).alias("old"), polygons.points(F.array(*[F.round(x, 9) for x in flat])).alias("q"))
+    pairs = rows.filter("old").select("k", c("i").alias("old_box"), c("q").alias("one")).join(rows.filter("NOT old").select("k", c("i").alias("new_box"), c("q").alias("other")), "k")
+    found = polygons.shared(pairs, "one", "other").withColumn("iou", F.round("iou", 6))
+    return polygons.greedy_pairs(found, ["k"], "old_box", "new_box", "iou")
+
+
 @query("RM-22", """(SELECT 'many' AS bucket, l_orderkey AS id FROM lineitem GROUP BY l_orderkey ORDER BY count(*) DESC, l_orderkey LIMIT 20) UNION ALL (SELECT 'huge', o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20) UNION ALL (SELECT 'text', doc_id FROM documents ORDER BY n_chars DESC, doc_id LIMIT 20)""")
 def golden_sample(t):
     many = t("lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l_orderkey").limit(20).select(F.lit("many").alias("bucket"), F.col("l_orderkey").alias("id"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from glimmer.operators import sync, tables
+from glimmer.operators import machines, sync, tables
+from glimmer.operators.manifests import Folder
 from glimmer.operators.sequences import best_row, unique_names
 from glimmer.operators.vectors import constant, linear_head
 from glimmer.plans.registry import query
@@ -74,6 +75,34 @@ def moments_synced(t):
     return tables.current(own.sparkSession, path)
 
 
+@query("SNK-26 RM-19", """WITH o AS (SELECT o_custkey AS moment, o_orderkey AS asset, o_orderkey % 14 = 0 AS manual FROM orders WHERE o_orderkey % 2 = 0), d AS (SELECT o_custkey AS moment, o_orderkey AS asset FROM orders WHERE o_orderkey % 3 = 0 AND o_custkey % 10 <> 4),
+m AS (SELECT coalesce(o.moment, d.moment) AS moment, coalesce(o.asset, d.asset) AS asset FROM o FULL OUTER JOIN d ON o.moment = d.moment AND o.asset = d.asset WHERE d.asset IS NOT NULL OR manual),
+old AS (SELECT DISTINCT moment FROM o), new AS (SELECT moment, count(*) AS n FROM d GROUP BY 1)
+SELECT m.moment, CASE WHEN old.moment IS NOT NULL AND m.moment % 4 = 0 THEN 'told ' || m.moment WHEN n IS NOT NULL THEN 'of ' || n ELSE 'plain ' || m.moment END AS title, count(*)::BIGINT AS members
+FROM m LEFT JOIN old ON old.moment = m.moment LEFT JOIN new ON new.moment = m.moment GROUP BY ALL""")
+def moments_committed(t):
+    """Moments and their members change in one commit: told titles stay, pinned members stay, moments without any go."""
+    own = t("orders").select(F.col("o_custkey").alias("moment"), F.col("o_orderkey").alias("asset"))
+    folder = Folder(own.sparkSession, shared_folder(own.sparkSession, "moments"))
+    stored = own.filter("asset % 2 = 0")
+    told = F.col("moment") % 4 == 0
+    folder.commit(lambda s: {
+        "moments": stored.select("moment").distinct().select("moment", F.concat(F.when(told, "told ").otherwise("plain "), "moment").alias("title"), told.alias("told")),
+        "members": stored.select("*", F.lit(None).cast("double").alias("score"), (F.col("asset") + 5).alias("added_at"), (F.col("asset") % 14 == 0).alias("manual")),
+    })
+    drafted = own.filter("asset % 3 = 0 AND moment % 10 <> 4").withColumn("score", F.lit(0.5))
+
+    def sync_both(s):
+        members = sync.sync_members(s.table("members"), drafted, ["moment", "asset"])
+        drafts = drafted.groupBy("moment").agg(F.concat(F.lit("of "), F.count("*")).alias("title")).withColumn("told", F.lit(False))
+        titled = sync.upsert(s.table("moments"), drafts, ["moment"], {"title": F.when(F.col("old.told"), F.col("old.title")).otherwise(F.col("new.title")), "told": F.col("old.told")})
+        return {"members": members, "moments": titled.join(members.select("moment").distinct(), "moment", "left_semi")}
+
+    now = folder.commit(sync_both)
+    counts = now.table("members").groupBy("moment").agg(F.count("*").alias("members"))
+    return now.table("moments").join(counts, "moment").select("moment", "title", "members")
+
+
 @query("SNK-27", """WITH r AS (SELECT c_custkey AS id, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) * 10 AS sort_order FROM customer WHERE c_nationkey = 3)
 SELECT c_custkey AS id, sort_order::BIGINT AS sort_order, c_custkey % 7 = 0 AS hidden, CASE WHEN c_custkey % 5 = 0 AND c_custkey % 10 <> 0 THEN 'title ' || c_custkey ELSE c_name END AS title FROM customer LEFT JOIN r ON id = c_custkey""")
 def moments_edited(t):
@@ -121,7 +150,18 @@ def upload_tasks(t):
     return tables.current(log.sparkSession, path)
 
 
-@query("ST-14 ST-10 SNK-35", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 1 WHEN doc_id % 7 = 0 THEN 2 ELSE 3 END::INT AS generation, doc_id % 7 = 0 AND doc_id % 3 <> 0 AS pending FROM documents")
+@query("ST-10", """WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) AS t, event_id, event_type IN ('purchase', 'error') AS ends, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+w AS (SELECT user_id, 0::BIGINT AS i, false AS running, 0::BIGINT AS asked, NULL::BIGINT AS waits, NULL::BIGINT AS request, NULL::BIGINT AS run_at, NULL::BIGINT AS n FROM (SELECT DISTINCT user_id FROM e)
+UNION ALL SELECT w.user_id, e.i, NOT ends OR (running AND asked > 0), CASE WHEN NOT ends AND running THEN asked + 1 ELSE 0 END, CASE WHEN NOT ends AND running THEN e.event_id END,
+  CASE WHEN NOT ends AND NOT running THEN e.event_id WHEN ends AND running AND asked > 0 THEN waits END, t, CASE WHEN NOT ends THEN 1 ELSE asked END FROM w JOIN e ON e.user_id = w.user_id AND e.i = w.i + 1)
+SELECT user_id AS chain, request, run_at, n AS merged FROM w WHERE request IS NOT NULL""")
+def reruns_replayed(t):
+    """A log of requests and ends of runs: a request during a run lets one more follow at its end (`manifests.Ledger` keeps this state)."""
+    runs = machines.rerun(t("events"), "user_id", F.col("ts"), "event_id", ~F.col("event_type").isin("purchase", "error"))
+    return runs.select(F.col("user_id").alias("chain"), F.col("id").alias("request"), F.col("at").alias("run_at"), "merged")
+
+
+@query("ST-14 SNK-35", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 1 WHEN doc_id % 7 = 0 THEN 2 ELSE 3 END::INT AS generation, doc_id % 7 = 0 AND doc_id % 3 <> 0 AS pending FROM documents")
 def generations_rebuilt(t):
     """Runs of three generations: each does what no earlier run of its generation or a later one has done; a request that comes while one runs leaves its rows pending."""
     docs = t("documents").select("doc_id")
