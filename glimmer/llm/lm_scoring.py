@@ -12,7 +12,7 @@ failure arcs and the arc taken are added up.
 Training documents are those whose crc32(doc_id as text) mod 7 is not 2 (null doc_id: empty text). Tokens are words
 `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased, then one end. The automaton grows with the corpus and is never in one place:
 documents are read in blocks; each block asks for the totals of the n-grams that it has (`_packed`), which are the
-automaton's part that its texts can reach. Words are told apart by 63 bits of hashes, longer n-grams by 54.
+automaton's part that its texts can reach. All n-grams are told apart by 63 bits of hashes.
 
 Null and empty texts are the end token alone. Repeated rows are counted and scored one by one. Without training
 documents all counts are 0. Other columns are ignored. An empty table gives no rows.
@@ -35,10 +35,10 @@ HELD_OUT_OF, HELD_OUT = 7, 2
 #: K of bigrams, trigrams and longer n-grams: what a context's own counts are weighed against.
 STRENGTH = (300.0, 10.0)
 ORDER = 3
-BLOCK_TOKENS = 1 << 20
+BLOCK_TOKENS = 1 << 21
 _END, _START = np.uint64(0x656E64), np.uint64(0x7374617274)
-#: Of a hash: bits that tell longer n-grams apart, and the lowest one, which marks single words.
-_KEPT, _ONE = ~np.uint64(1023), np.uint64(1)
+#: The lowest bit of a hash marks single words; the other 63 tell n-grams apart.
+_KEPT, _ONE = ~np.uint64(1), np.uint64(1)
 
 
 _BLOCK = pa.schema([("block", pa.int64()), ("size", pa.int64()), ("trained", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("counts", pa.list_(pa.int32())), ("keys", pa.binary()), ("tokens", pa.binary())])
