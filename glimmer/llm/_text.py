@@ -19,6 +19,9 @@ _LOWER = bytes(range(256)).lower()
 #: Bytes of text that one slice holds, unless a single text is longer.
 SLICE_BYTES = 1 << 18
 
+#: Bytes that are hashed at once, unless a single word is longer.
+HASH_BYTES = 1 << 20
+
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _P_INV = np.uint64(pow(int(_P), -1, 1 << 64))
 _BYTE_VALUE = np.random.default_rng(20240117).integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -103,7 +106,16 @@ class Words:
         return np.concatenate(([0], np.cumsum(self.counts)))
 
     def hashes(self) -> np.ndarray:
-        return spans_hash(_BYTE_VALUE[self.data], self.starts, self.ends)
+        """A hash of each word; bytes are taken some HASH_BYTES at a time, between words, so memory doesn't follow long texts."""
+        if len(self.data) <= HASH_BYTES:
+            return spans_hash(_BYTE_VALUE[self.data], self.starts, self.ends)
+        out, first = np.empty(len(self.starts), np.uint64), 0
+        while first < len(out):
+            last = max(first + 1, int(np.searchsorted(self.ends, self.starts[first] + HASH_BYTES, "right")))
+            a, b = self.starts[first], self.ends[last - 1]
+            out[first:last] = spans_hash(_BYTE_VALUE[self.data[a:b]], self.starts[first:last] - a, self.ends[first:last] - a)
+            first = last
+        return out
 
     def strings(self) -> pa.Array:
         offsets = np.concatenate(([0], np.cumsum(self.ends - self.starts)))

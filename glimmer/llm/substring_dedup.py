@@ -64,8 +64,9 @@ def _joined(w: _text.Words) -> tuple[np.ndarray, np.ndarray]:
     """All words with one space after each, and where each begins; the total length at the end."""
     sizes = w.ends - w.starts
     offsets = np.concatenate(([0], np.cumsum(sizes + 1)))
-    out = np.full(int(offsets[-1]), 32, np.uint8)
-    out[np.arange(int(sizes.sum())) + np.repeat(np.arange(len(sizes)), sizes)] = w.data[w.inside]
+    out, inside = np.full(int(offsets[-1]), 32, np.uint8), np.ones(int(offsets[-1]), bool)
+    inside[offsets[1:] - 1] = False
+    out[inside] = w.data[w.inside]
     return out, offsets
 
 
