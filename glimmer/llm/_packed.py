@@ -28,10 +28,10 @@ ASK_SQL = "path long, child long, keys binary, n binary"
 TOTALS_SQL = "path long, child long, totals binary, types long"
 
 
-def zipped(x: np.ndarray) -> bytes:
+def zipped(x: np.ndarray, level: int = 1) -> bytes:
     """An integer array by byte planes."""
     raw = np.ascontiguousarray(x)
-    return zstandard.ZstdCompressor(level=1).compress(raw.view(np.uint8).reshape(-1, raw.itemsize).T.tobytes())
+    return zstandard.ZstdCompressor(level=level).compress(raw.view(np.uint8).reshape(-1, raw.itemsize).T.tobytes())
 
 
 def unzipped(x: bytes, kind: type) -> np.ndarray:

@@ -35,7 +35,7 @@ HELD_OUT_OF, HELD_OUT = 7, 2
 #: K of bigrams, trigrams and longer n-grams: what a context's own counts are weighed against.
 STRENGTH = (300.0, 10.0)
 ORDER = 3
-BLOCK_TOKENS = 1 << 21
+BLOCK_TOKENS = 5 << 18
 _END, _START = np.uint64(0x656E64), np.uint64(0x7374617274)
 #: The lowest bit of a hash marks single words; the other 63 tell n-grams apart.
 _KEPT, _ONE = ~np.uint64(1), np.uint64(1)
@@ -52,7 +52,7 @@ def _blocks(block_tokens: int):
         keys, tokens = np.unique(np.concatenate(hashes), return_inverse=True)
         sizes = np.concatenate(counts)
         row = {"block": block, "size": len(tokens), "trained": int(sizes[~np.array(held, bool)].sum()), "doc_id": ids, "held": held, "counts": sizes.tolist()}
-        return pa.RecordBatch.from_pylist([row | {"keys": zipped_sorted(keys), "tokens": zipped(tokens.astype(np.uint32))}], schema=_BLOCK)
+        return pa.RecordBatch.from_pylist([row | {"keys": zipped_sorted(keys), "tokens": zipped(tokens.astype(np.uint32), 9)}], schema=_BLOCK)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
