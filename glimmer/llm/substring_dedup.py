@@ -1,6 +1,6 @@
 """Repeated passages, by super-k-mers.
 
-A window is `n` consecutive words of one document. Its minimiser is the smallest hash of its `MMER`-word sequences (the
+A window is `n` consecutive words of one document. Its minimiser is the smallest hash of its sequences of some words (the
 leftmost of equal ones); consecutive windows that share one travel together, as one packed string of words, to the
 bucket that the minimiser's hash names. Equal windows have equal minimisers, so all of them meet in one bucket, where
 sorting puts them side by side; their words themselves are compared, so counts are exact. A word goes when it is covered by
@@ -40,7 +40,7 @@ from . import _store, _text
 
 WINDOW = 20
 #: Words of a minimiser in each round; those after the last have the whole window.
-MMERS = (3, 8)
+MMERS = (6, 12)
 BLOCK_WORDS = 1 << 20
 #: Bytes of packed strings that a bucket gets, about.
 BUCKET_BYTES = 12 << 20
