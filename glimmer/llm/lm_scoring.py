@@ -45,6 +45,21 @@ _BLOCK = pa.schema([("block", pa.int64()), ("size", pa.int64()), ("trained", pa.
 _BLOCK_SQL = "block long, size long, trained long, doc_id array<long>, held array<boolean>, counts array<int>, keys binary, tokens binary"
 
 
+def _by_rank(tokens: np.ndarray, n: int) -> bytes:
+    """Indexes below n, packed as ranks by frequency, which are mostly small; frequencies go along and give the ranks' meaning."""
+    often = np.bincount(tokens, minlength=n).astype(np.uint32)
+    rank = np.empty(n, np.uint32)
+    rank[np.argsort(-often.astype(np.int64), kind="stable")] = np.arange(n, dtype=np.uint32)
+    head = zipped(often)
+    return len(head).to_bytes(8, "little") + head + zipped(rank[tokens], 9)
+
+
+def _from_ranks(packed: bytes) -> np.ndarray:
+    cut = 8 + int.from_bytes(packed[:8], "little")
+    often = unzipped(packed[8:cut], np.uint32)
+    return np.argsort(-often.astype(np.int64), kind="stable")[unzipped(packed[cut:], np.uint32)]
+
+
 def _blocks(block_tokens: int):
     """Blocks of documents: their words' sorted hashes, and their tokens as indexes of these."""
 
@@ -52,7 +67,7 @@ def _blocks(block_tokens: int):
         keys, tokens = np.unique(np.concatenate(hashes), return_inverse=True)
         sizes = np.concatenate(counts)
         row = {"block": block, "size": len(tokens), "trained": int(sizes[~np.array(held, bool)].sum()), "doc_id": ids, "held": held, "counts": sizes.tolist()}
-        return pa.RecordBatch.from_pylist([row | {"keys": zipped_sorted(keys), "tokens": zipped(tokens.astype(np.uint32), 9)}], schema=_BLOCK)
+        return pa.RecordBatch.from_pylist([row | {"keys": zipped_sorted(keys), "tokens": _by_rank(tokens, len(keys))}], schema=_BLOCK)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
@@ -85,7 +100,7 @@ class Block:
     def __init__(self, held: list[bool], counts: list[int], keys: bytes, tokens: bytes, order: int) -> None:
         self.counts = np.array(counts, np.int64)
         self.first = np.cumsum(self.counts) - self.counts
-        words, token = unzipped_sorted(keys), unzipped(tokens, np.uint32).astype(np.int64)
+        words, token = unzipped_sorted(keys), _from_ranks(tokens)
         trains = np.repeat(~np.array(held, bool), self.counts)
         begins = np.zeros(len(token), bool)
         begins[self.first] = True
