@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from glimmer.functions import predicates
 from glimmer.operators import clustering, geo, machines, people, sequences, sync, vectors
+from glimmer.plans.places import _MEMBERS_OF_SPOTS, _SPOTS
 from glimmer.plans.places import _SQL as _PLACES
 from glimmer.plans.places import _cities, _photos, _points
 from glimmer.plans.registry import query
@@ -276,14 +277,7 @@ def place_details(t):
     return people.place_details(_photos(t), 10).select("city", "photos", "visits", "years", "busiest", "insight")
 
 
-@query("GEO-05 GEO-07", """WITH RECURSIVE p AS (SELECT c_nationkey AS city, o_orderkey AS id, 10 + c_nationkey + (o_orderkey % 5) * 0.02 + (o_orderkey % 7) * 0.0005 AS lat, 20 + c_nationkey + (o_orderkey % 3) * 0.02 + (o_orderkey % 11) * 0.0003 AS lon, row_number() OVER (PARTITION BY c_nationkey ORDER BY o_orderdate DESC, o_orderkey) AS i
-  FROM orders JOIN customer ON c_custkey = o_custkey),
-s AS (SELECT city, 0::BIGINT AS i, []::STRUCT(n BIGINT, a DOUBLE, b DOUBLE)[] AS spots, 0::BIGINT AS spot, 0::BIGINT AS id FROM (SELECT DISTINCT city FROM p)
-  UNION ALL SELECT city, i, CASE WHEN k = 0 THEN list_append(spots, {'n': 1, 'a': lat, 'b': lon}) ELSE list_transform(spots, lambda x, j: CASE WHEN j = k THEN {'n': x.n + 1, 'a': x.a + lat, 'b': x.b + lon} ELSE x END) END, CASE WHEN k = 0 THEN len(spots) ELSE k - 1 END, id
-  FROM (SELECT *, CASE WHEN len(d) > 0 AND list_min(d) <= 0.3 THEN len(d) - list_position(list_reverse(d), list_min(d)) + 1 ELSE 0 END AS k FROM (SELECT s.city, p.i, s.spots, p.id, p.lat, p.lon,
-    list_transform(s.spots, lambda x: 2 * 6371.0 * asin(least(1, sqrt(pow(sin(radians(x.a / x.n - p.lat) / 2), 2) + cos(radians(p.lat)) * cos(radians(x.a / x.n)) * pow(sin(radians(x.b / x.n - p.lon) / 2), 2))))) AS d
-    FROM s JOIN p ON p.city = s.city AND p.i = s.i + 1)))
-SELECT city, id, spot::BIGINT AS spot, count(*) OVER (PARTITION BY city, spot)::BIGINT AS members FROM s WHERE i > 0""")
+@query("GEO-05 GEO-07", _SPOTS + _MEMBERS_OF_SPOTS)
 def spots_of_cities(t):
     """Spots within cities: pictures, newest first, join the nearest spot within 300 m of its running centre, or open one."""
     return geo.greedy_spots(_photos(t)).select("city", "id", "spot", "members")

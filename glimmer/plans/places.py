@@ -83,12 +83,27 @@ def _photos(t):
     return rows.select(F.col("c_nationkey").alias("city"), k.alias("id"), lat.alias("lat"), lon.alias("lon"), F.col("o_orderdate").alias("taken_at"))
 
 
-@query("")
+#: Spots of a city by a walk through its pictures, newest first.
+_SPOTS = """WITH RECURSIVE p AS (SELECT c_nationkey AS city, o_orderkey AS id, 10 + c_nationkey + (o_orderkey % 5) * 0.02 + (o_orderkey % 7) * 0.0005 AS lat, 20 + c_nationkey + (o_orderkey % 3) * 0.02 + (o_orderkey % 11) * 0.0003 AS lon, row_number() OVER (PARTITION BY c_nationkey ORDER BY o_orderdate DESC, o_orderkey) AS i
+  FROM orders JOIN customer ON c_custkey = o_custkey),
+s AS (SELECT city, 0::BIGINT AS i, []::STRUCT(n BIGINT, a DOUBLE, b DOUBLE)[] AS spots, 0::BIGINT AS spot, 0::BIGINT AS id FROM (SELECT DISTINCT city FROM p)
+  UNION ALL SELECT city, i, CASE WHEN k = 0 THEN list_append(spots, {'n': 1, 'a': lat, 'b': lon}) ELSE list_transform(spots, lambda x, j: CASE WHEN j = k THEN {'n': x.n + 1, 'a': x.a + lat, 'b': x.b + lon} ELSE x END) END, CASE WHEN k = 0 THEN len(spots) ELSE k - 1 END, id
+  FROM (SELECT *, CASE WHEN len(d) > 0 AND list_min(d) <= 0.3 THEN len(d) - list_position(list_reverse(d), list_min(d)) + 1 ELSE 0 END AS k FROM (SELECT s.city, p.i, s.spots, p.id, p.lat, p.lon,
+    list_transform(s.spots, lambda x: 2 * 6371.0 * asin(least(1, sqrt(pow(sin(radians(x.a / x.n - p.lat) / 2), 2) + cos(radians(p.lat)) * cos(radians(x.a / x.n)) * pow(sin(radians(x.b / x.n - p.lon) / 2), 2))))) AS d
+    FROM s JOIN p ON p.city = s.city AND p.i = s.i + 1)))
+"""
+_MEMBERS_OF_SPOTS = "SELECT city, id, spot::BIGINT AS spot, count(*) OVER (PARTITION BY city, spot)::BIGINT AS members FROM s WHERE i > 0"
+
+
+@query("", _SPOTS + _MEMBERS_OF_SPOTS)
 def spots_greedy(t):
     return geo.greedy_spots(_photos(t)).select("city", "id", "spot", "members")
 
 
-@query("GEO-06")
+@query("GEO-06", _SPOTS.rstrip() + """,
+u AS (SELECT city, unnest(range(len(spots))) AS spot, unnest(spots) AS x FROM (SELECT city, spots FROM s QUALIFY i = max(i) OVER (PARTITION BY city)))
+SELECT city, city || ':' || trunc(x.a / x.n / 0.01)::INT || ':' || trunc(x.b / x.n / 0.01)::INT AS key, 'Spot ' || row_number() OVER (PARTITION BY city ORDER BY spot) AS name, x.n AS count, row_number() OVER (PARTITION BY city ORDER BY x.n DESC, spot) AS rank
+FROM u WHERE x.n >= 3 QUALIFY rank <= 8""")
 def spot_list(t):
     return geo.spot_list(geo.greedy_spots(_photos(t))).select("city", "key", "name", "count", "rank")
 
