@@ -117,21 +117,18 @@ def ordered_union(first: DataFrame, second: DataFrame, key: str, place: str = "p
     return best.select(key, F.col("m.source").alias("source"), F.col("m").getField("__p").alias("__p")).select(key, "source", (F.row_number().over(Window.orderBy("source", "__p", key)) - 1).alias("position"))
 
 
-def is_permutation(ids: list, members: DataFrame, key: str) -> bool:
-    """Whether ids are the members, each once. Only counts come to the driver."""
-    if len(set(ids)) != len(ids):
-        return False
-    given = members.sparkSession.createDataFrame([(i,) for i in ids], f"{key} {dict(members.dtypes)[key]}")
-    own = members.select(key).distinct()
-    return not given.join(own, key, "left_anti").limit(1).count() and not own.join(given, key, "left_anti").limit(1).count()
-
-
-def reordered(members: DataFrame, ids: list, key: str, keys: list[str]) -> DataFrame:
-    """Members with the places that ids give them; refuses anything but a permutation."""
-    if not is_permutation(ids, members, key):
-        raise ValueError("the ids are no permutation of the members")
-    places = members.sparkSession.createDataFrame([(x, i) for i, x in enumerate(ids)], f"{key} {dict(members.dtypes)[key]}, __place int")
-    return members.join(places, key).withColumn("position", F.col("__place")).drop("__place")
+def is_permutation(order: DataFrame, members: DataFrame, key: str) -> bool:
+    """Whether the rows of order are the members, each once. Only counts come to the driver."""
+    given = order.groupBy(key).agg(F.count("*").alias("__n"))
+    both = given.join(members.select(key).distinct().withColumn("__m", F.lit(True)), key, "full_outer")
+    return not both.filter("__n IS NULL OR __n > 1 OR __m IS NULL").limit(1).count()
+
+
+def reordered(members: DataFrame, order: DataFrame, key: str) -> DataFrame:
+    """Members with the places that order (key, place) gives them; refuses anything but a permutation."""
+    if not is_permutation(order, members, key):
+        raise ValueError("the order is no permutation of the members")
+    return members.join(order.select(key, F.col("place").alias("__place")), key).withColumn("position", F.col("__place")).drop("__place")
 
 
 def expired(rows: DataFrame, deleted: str, now: Column, days: int) -> DataFrame:

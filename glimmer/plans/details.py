@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from glimmer.functions import predicates
 from glimmer.operators import clustering, geo, machines, people, sequences, sync, vectors
+from glimmer.operators.naming import numbered
 from glimmer.plans.places import _MEMBERS_OF_SPOTS, _SPOTS
 from glimmer.plans.places import _SQL as _PLACES
 from glimmer.plans.places import _cities, _photos, _points
@@ -174,9 +175,10 @@ def unplaced_albums(t):
 @query("SET-06 SNK-10", "SELECT o_orderkey AS id, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) - 1 AS position FROM orders WHERE o_custkey = 7")
 def album_put_in_order(t):
     """One album in the order that a user gives; any other list than a permutation of its members is refused."""
-    members = t("orders").filter("o_custkey = 7").select(F.col("o_orderkey").alias("id"), F.lit(0).alias("position"), "o_totalprice")
-    ids = [r["id"] for r in members.orderBy(F.desc("o_totalprice"), "id").collect()]  # what a user sends, of one album
-    return sync.reordered(members.select("id", "position"), ids, "id", []).select("id", F.col("position").cast("long").alias("position"))
+    members = t("orders").filter("o_custkey = 7").select(F.col("o_orderkey").alias("id"), F.lit(0).cast("long").alias("position"), "o_totalprice")
+    wish = numbered(members.select("id", (-F.col("o_totalprice")).alias("price")), [], ["price", "id"])  # what a user sends, of one album
+    return sync.reordered(members.select("id", "position"), wish.select("id", (F.col("place") - 1).alias("place")), "id").select("id", "position")
+
 
 
 _PATH = "CASE page_id % 4 WHEN 0 THEN '/a/.snapshots/' ELSE '/a/b/' END || page_id || CASE page_id % 5 WHEN 0 THEN '.JPG' WHEN 1 THEN '.mp4' WHEN 2 THEN '.txt' WHEN 3 THEN '.png' ELSE '' END"
