@@ -9,7 +9,7 @@ from glimmer.functions.scalars import cover_score, display_score, document_verdi
 from glimmer.operators.clustering import components, density_clusters, representatives
 from glimmer.operators.sequences import score_cut
 from glimmer.operators.sync import ordered_union
-from glimmer.operators.vectors import centroids, confidence, cosine_distance, l2, linear_head, merge_suggestions, nearest_anchor, nearest_each, norm, prompt_margin, similar_pairs
+from glimmer.operators.vectors import centroids, confidence, l2, linear_head, merge_suggestions, nearest_anchor, nearest_each, norm, prompt_margin, similar_pairs
 from glimmer.store import written
 from glimmer.plans.registry import query
 
