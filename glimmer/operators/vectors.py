@@ -54,6 +54,18 @@ def similar_pairs(rows: DataFrame, id_column: str, vector: str, most: float, wit
     return metric.pairs_within_groups(own.filter(F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull())), most)
 
 
+def similar_links(rows: DataFrame, id_column: str, vector: str, radii: list[float]) -> DataFrame:
+    """Links (radius: its place in radii; a, b) with the components of all pairs within each cosine distance of radii."""
+    return metric.links_within(metric.usable(rows, id_column, vector), radii)
+
+
+def distance_quantiles(rows: DataFrame, id_column: str, vector: str, within: str, shares: list[float]) -> DataFrame:
+    """Of all pairs of rows with the same value of the column `within`: it, n, low, high, mean and q, the quantiles of shares, of their cosine distances."""
+    own = rows.select(F.col(within).alias("g"), F.col(id_column).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    found = metric.distance_quantiles(own.filter(F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull())), shares)
+    return found.withColumnRenamed("g", within)
+
+
 def centroids(rows: DataFrame, keys: list[str], vector: str) -> DataFrame:
     """The mean of each dimension within keys, and the number of vectors."""
     sums = rows.select(*keys, F.posexplode(vector).alias("i", "x")).groupBy(*keys, "i").agg(F.avg(F.col("x").cast("double")).alias("m"), F.count("*").alias("n"))
