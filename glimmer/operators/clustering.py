@@ -10,8 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glimmer.operators import metric
+from glimmer.operators.metric import roots
 from glimmer.operators.sequences import best_row
-from glimmer.operators.vectors import cosine_distance
 from glimmer.shipping import ship
 from glimmer.store import removed, written
 
@@ -19,20 +20,6 @@ from glimmer.store import removed, written
 FEW = 1 << 20
 
 
-def _roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
-    """For each of n places the smallest one that the links (a, b) lead to."""
-    root = np.arange(n)
-    while True:
-        x, y = root[a], root[b]
-        apart = x != y
-        if not apart.any():
-            return root
-        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
-        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
-        while not (root[root] == root).all():
-            root = root[root]
-
-
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links (a, the smallest b that links lead to), for each FEW links of a partition."""
     held: list[pa.RecordBatch] = []
@@ -40,7 +27,7 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def close() -> pa.RecordBatch:
         links = pa.Table.from_batches(held)
         ids, at = np.unique(np.concatenate([links.column(c).to_numpy() for c in "ab"]), return_inverse=True)
-        root = _roots(at[: links.num_rows], at[links.num_rows :], len(ids))
+        root = roots(at[: links.num_rows], at[links.num_rows :], np.arange(len(ids)))
         low = np.flatnonzero(root != np.arange(len(ids)))
         return pa.RecordBatch.from_arrays([pa.array(ids[x], links.schema.field(0).type) for x in (low, root[low])], ["a", "b"])
 
@@ -110,11 +97,13 @@ def density_clusters(nodes: DataFrame, pairs: DataFrame, min_points: int = 1) ->
 
 
 def burst_groups(rows: DataFrame, id_column: str, vector: str, burst: list[str], least: float) -> DataFrame:
-    """(id, group) within bursts: chains of pairs with a cosine similarity above least. Bursts are short by their making."""
-    left = rows.select(*burst, F.col(id_column).alias("a"), F.col(vector).alias("v"))
-    right = rows.select(*burst, F.col(id_column).alias("b"), F.col(vector).alias("u"))
-    edges = left.join(right, burst).filter((F.col("a") < F.col("b")) & (1 - cosine_distance(F.col("v"), F.col("u")) > least))
-    return components(rows.select(F.col(id_column).alias("id")), edges).withColumnRenamed("component", "group")
+    """(id, group) within bursts: chains of pairs with a cosine similarity above least. A long burst is as many tasks as its parts' pairs."""
+    known = rows
+    for c in burst:
+        known = known.filter(F.col(c).isNotNull())
+    own = known.select(F.struct(*burst, F.size(vector).alias("__width")).alias("g"), F.col(id_column).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    links = metric.links_above(own.filter(F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull())), least)
+    return components(rows.select(F.col(id_column).alias("id")), links).withColumnRenamed("component", "group")
 
 
 def representatives(rows: DataFrame, keys: list[str], score: str, id_column: str) -> DataFrame:
