@@ -9,7 +9,7 @@ from glimmer.functions.scalars import cover_score, display_score, document_verdi
 from glimmer.operators.clustering import components, density_clusters, representatives
 from glimmer.operators.sequences import score_cut
 from glimmer.operators.sync import ordered_union
-from glimmer.operators.vectors import centroids, confidence, l2, linear_head, merge_suggestions, nearest_anchor, nearest_each, norm, prompt_margin, similar_pairs
+from glimmer.operators.vectors import centroids, confidence, distance_quantiles, l2, linear_head, merge_suggestions, nearest_anchor, nearest_each, norm, prompt_margin, similar_links, similar_pairs
 from glimmer.store import written
 from glimmer.plans.registry import query
 
@@ -85,7 +85,7 @@ reach AS (SELECT vec_id, vec_id AS r FROM v UNION SELECT vec_id, b FROM reach JO
 @query("VEC-08 VEC-09 SET-07", _COMPONENTS.format(e=EPSILON) + " SELECT vec_id, cluster FROM c")
 def dbscan_labels(t):
     rows = t("embeddings")
-    labels = density_clusters(rows.select(F.col("vec_id").alias("id")), similar_pairs(rows, "vec_id", "embedding", EPSILON))
+    labels = density_clusters(rows.select(F.col("vec_id").alias("id")), similar_links(rows, "vec_id", "embedding", [EPSILON]))
     return labels.select(F.col("id").alias("vec_id"), "cluster")
 
 
@@ -97,7 +97,7 @@ def cluster_sizes(t):
 @query("VEC-17", _COMPONENTS.format(e=0.6) + ", big AS (SELECT cluster, vec_id, row_number() OVER (PARTITION BY cluster ORDER BY CASE WHEN vec_id % 4 = 0 THEN -1 ELSE label END DESC, vec_id) AS r, count(*) OVER (PARTITION BY cluster) AS n FROM c JOIN v USING (vec_id)) SELECT cluster, vec_id AS best, n::BIGINT AS members FROM big WHERE r = 1 AND n > 1")
 def near_dup_groups(t):
     rows = t("embeddings")
-    groups = components(rows.select(F.col("vec_id").alias("id")), similar_pairs(rows, "vec_id", "embedding", 0.6))
+    groups = components(rows.select(F.col("vec_id").alias("id")), similar_links(rows, "vec_id", "embedding", [0.6]))
     joined = groups.join(rows, F.col("id") == F.col("vec_id")).withColumn("score", F.when(F.col("vec_id") % 4 != 0, F.col("label").cast("double")))
     best = representatives(joined, ["component"], "score", "vec_id").select("component", "vec_id")
     sizes = groups.groupBy("component").agg(F.count("*").alias("members")).filter("members > 1")
@@ -170,10 +170,9 @@ def hybrid_cover(t):
 SELECT label, round(min(d), 6) AS low, round(quantile_cont(d, 0.1), 6) AS p10, round(quantile_cont(d, 0.5), 6) AS median, round(quantile_cont(d, 0.9), 6) AS p90, round(max(d), 6) AS high, round(avg(d), 6) AS mean FROM inside GROUP BY 1""")
 def distance_stats(t):
     rows = t("embeddings")
-    labels = rows.select(F.col("vec_id").alias("a"), "label")
-    pairs = similar_pairs(rows, "vec_id", "embedding", 2.0, within="label").join(labels, "a")
-    q = lambda p: F.round(F.percentile("distance", F.lit(p)), 6)
-    return pairs.groupBy("label").agg(F.round(F.min("distance"), 6).alias("low"), q(0.1).alias("p10"), q(0.5).alias("median"), q(0.9).alias("p90"), F.round(F.max("distance"), 6).alias("high"), F.round(F.avg("distance"), 6).alias("mean"))
+    found = distance_quantiles(rows, "vec_id", "embedding", "label", [0.1, 0.5, 0.9])
+    q = F.col("q")
+    return found.select("label", *[F.round(c, 6).alias(n) for n, c in (("low", F.col("low")), ("p10", q[0]), ("median", q[1]), ("p90", q[2]), ("high", F.col("high")), ("mean", F.col("mean")))])
 
 
 @query("VEC-23", f"WITH {_V}, {_PAIRS} SELECT id AS vec_id, round(min(d), 6) AS nearest FROM (SELECT a AS id, d FROM pairs UNION ALL SELECT b, d FROM pairs) GROUP BY 1")
@@ -188,10 +187,10 @@ def nearest_neighbor_distance(t):
     "SELECT * FROM (" + _COMPONENTS.format(e=e) + f" SELECT {e}::DOUBLE AS epsilon, count(DISTINCT cluster)::BIGINT AS clusters, max(n)::BIGINT AS largest, round(avg(pure), 6) AS purity FROM (SELECT cluster, count(*) AS n, max(k) * 1.0 / count(*) AS pure FROM (SELECT cluster, label, count(*) OVER (PARTITION BY cluster, label) AS k FROM c JOIN v USING (vec_id)) GROUP BY 1))" for e in (0.6, 0.64)))
 def sweep_eval(t):
     rows = t("embeddings")
-    pairs = written(similar_pairs(rows, "vec_id", "embedding", 0.64), "pairs")  # the widest radius has the pairs of all
-    out = None
-    for e in (0.6, 0.64):
-        labels = components(rows.select(F.col("vec_id").alias("id")), pairs.filter(F.col("distance") <= e)).join(rows.select(F.col("vec_id").alias("id"), "label"), "id")
+    radii, out = [0.6, 0.64], None
+    links = written(similar_links(rows, "vec_id", "embedding", radii), "links")
+    for k, e in enumerate(radii):
+        labels = components(rows.select(F.col("vec_id").alias("id")), links.filter(F.col("radius") == k)).join(rows.select(F.col("vec_id").alias("id"), "label"), "id")
         kinds = labels.groupBy("component", "label").agg(F.count("*").alias("k")).groupBy("component").agg(F.sum("k").alias("n"), (F.max("k") / F.sum("k")).alias("pure"))
         row = kinds.agg(F.lit(e).alias("epsilon"), F.count("*").alias("clusters"), F.max("n").alias("largest"), F.round(F.avg("pure"), 6).alias("purity"))
         out = row if out is None else out.unionByName(row)
