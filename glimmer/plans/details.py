@@ -109,10 +109,10 @@ SELECT {e}::DOUBLE AS epsilon, (SELECT round(avg(recall), 6) FROM l) AS recall,
 def cluster_study(t):
     """For each radius: recall, fragments and purity against the labels, sizes of the largest two clusters, and rows in clusters of three at least."""
     rows = t("embeddings")
-    pairs = written(vectors.similar_pairs(rows, "vec_id", "embedding", 0.62), "pairs")  # the widest radius has the pairs of all
-    out = None
-    for e in (0.58, 0.62):
-        labels = clustering.density_clusters(rows.select(F.col("vec_id").alias("id")), pairs.filter(F.col("distance") <= e))
+    radii, out = [0.58, 0.62], None
+    links = written(vectors.similar_links(rows, "vec_id", "embedding", radii), "links")
+    for k, e in enumerate(radii):
+        labels = clustering.density_clusters(rows.select(F.col("vec_id").alias("id")), links.filter(F.col("radius") == k))
         row = clustering.evaluated(labels.join(rows.select(F.col("vec_id").alias("id"), "label"), "id"), "label", "cluster", 3).withColumn("epsilon", F.lit(e))
         out = row if out is None else out.unionByName(row)
     return out.select("epsilon", *[F.round(c, 6).alias(c) for c in ("recall", "fragments", "purity")], "clusters", "largest", "second", "gated")
@@ -121,7 +121,7 @@ def cluster_study(t):
 @query("VEC-24", _COMPONENTS.format(e=0.62) + " SELECT cluster, n::BIGINT AS size FROM (SELECT cluster, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, cluster) AS r FROM c GROUP BY 1) WHERE r <= 2")
 def largest_clusters(t):
     rows = t("embeddings")
-    labels = clustering.density_clusters(rows.select(F.col("vec_id").alias("id")), vectors.similar_pairs(rows, "vec_id", "embedding", 0.62))
+    labels = clustering.density_clusters(rows.select(F.col("vec_id").alias("id")), vectors.similar_links(rows, "vec_id", "embedding", [0.62]))
     return labels.groupBy("cluster").agg(F.count("*").alias("size")).orderBy(F.desc("size"), "cluster").limit(2)
 
 
