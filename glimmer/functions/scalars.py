@@ -169,10 +169,12 @@ def file_name(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
 
 
-def title_of(answer: Column, most_words: int = 6) -> Column:
-    """The first line without quotes, 80 characters at most; blank where it has too many words."""
-    line = F.substring(F.trim(F.regexp_replace(F.split_part(F.trim(answer), F.lit("\n"), F.lit(1)), "^[\"'“”]+|[\"'“”]+$", "")), 1, 80)
-    return F.when(F.size(F.split(line, r"\s+")) > most_words, "").otherwise(line)
+def title_of(answer: Column, most_words: int = 6, quotes: bool = True) -> Column:
+    """The first line without spaces of any kind around it, nor quotes unless they are kept, 80 characters at most; blank where it has too many words."""
+    trimmed = lambda c: F.regexp_replace(c, r"^\p{Zs}+|\p{Zs}+\z", "")
+    first = F.split_part(trimmed(answer), F.lit("\n"), F.lit(1))
+    line = F.substring(trimmed(F.regexp_replace(first, "^[\"'“”]+|[\"'“”]+$", "") if quotes else first), 1, 80)
+    return F.when(F.size(F.split(line, r"[\t\n\f\r ]+")) > most_words, "").otherwise(line)
 
 
 def fits_quota(size: Column, free: Column) -> Column:
