@@ -5,13 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glimmer.operators import metric
-from glimmer.operators.metric import roots
+from glimmer.operators.blocks import Blocks, roots
 from glimmer.operators.sequences import best_row
 from glimmer.shipping import ship
 from glimmer.store import removed, written
@@ -128,42 +127,44 @@ def evaluated(rows: DataFrame, label: str, cluster: str, gate: int) -> DataFrame
 
 
 def cut_vertices(edges: DataFrame, component: str = "component") -> DataFrame:
-    """(component, id, parts): nodes whose loss splits their component, by depth-first search of one component a group.
+    """(component, id, parts): nodes whose loss splits their component, and into how many parts.
 
-    For studies of single clusters; a component has to fit into a task.
+    Edges of a large component are dealt over tasks, which keep of each share links with the same blocks, fewer than twice
+    its nodes; shares double from round to round, until one is a component. So the last task of a component follows its
+    nodes, not its edges.
     """
-
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        near: dict[int, list[int]] = {}
-        for a, b in zip(pdf["a"].tolist(), pdf["b"].tolist(), strict=True):
-            near.setdefault(a, []).append(b)
-            near.setdefault(b, []).append(a)
-        order: dict[int, int] = {}
-        low: dict[int, int] = {}
-        parts: dict[int, int] = {}
-        for root in near:
-            if root in order:
-                continue
-            order[root] = low[root] = len(order)
-            stack, branches = [(root, None, iter(near[root]))], 0
-            while stack:
-                node, parent, rest = stack[-1]
-                child = next(rest, None)
-                if child is None:
-                    stack.pop()
-                    if parent is not None:
-                        low[parent] = min(low[parent], low[node])
-                        if parent == root:
-                            branches += 1
-                        elif low[node] >= order[parent]:
-                            parts[parent] = parts.get(parent, 1) + 1
-                elif child not in order:
-                    order[child] = low[child] = len(order)
-                    stack.append((child, node, iter(near[child])))
-                elif child != parent:
-                    low[node] = min(low[node], order[child])
-            if branches > 1:
-                parts[root] = branches
-        return pd.DataFrame({component: pdf[component].iloc[0], "id": list(parts), "parts": list(parts.values())})
-
-    return edges.groupBy(component).applyInPandas(search, f"{component} long, id long, parts long")
+    ship(edges.sparkSession)
+    kind = edges.schema[component].dataType
+
+    def found(table: pa.Table) -> tuple[np.ndarray, Blocks]:
+        ids, at = np.unique(np.concatenate([table.column(c).to_numpy() for c in "ab"]), return_inverse=True)
+        blocks = Blocks(len(ids))
+        blocks.add(at[: table.num_rows], at[table.num_rows :])
+        return ids, blocks
+
+    def named(table: pa.Table, columns: dict[str, np.ndarray]) -> pa.Table:
+        n = len(next(iter(columns.values())))
+        return pa.table({component: pa.array([table.column(component)[0].as_py()], table.schema.field(component).type).take(pa.array(np.zeros(n, np.int64))), **columns})
+
+    def fewer(table: pa.Table) -> pa.Table:
+        ids, blocks = found(table)
+        a, b = blocks.cycles()
+        return named(table, {"a": ids[a].astype(np.int64), "b": ids[b].astype(np.int64)})
+
+    def search(table: pa.Table) -> pa.Table:
+        ids, blocks = found(table)
+        parts = blocks.parts()
+        cut = parts > 1
+        return named(table, {"id": ids[cut].astype(np.int64), "parts": parts[cut].astype(np.int64)})
+
+    key, left, room = f"{component} {kind.simpleString()}", written(edges.select(component, "a", "b"), "links"), FEW
+    while True:
+        sizes = left.groupBy(F.col(component).alias("__of")).agg(F.count("*").alias("__n")).filter(F.col("__n") > room)
+        if sizes.isEmpty():
+            break
+        shares = F.pmod(F.xxhash64("a", "b"), F.ceil(F.col("__n") / room))
+        dealt = left.join(F.broadcast(sizes), F.col(component).eqNullSafe(F.col("__of")), "left").select(component, "a", "b", F.coalesce(shares, F.lit(0)).alias("__share"))
+        kept = written(dealt.groupBy(component, "__share").applyInArrow(fewer, f"{key}, a long, b long"), "links")
+        removed(left)
+        left, room = kept, room * 2
+    return left.groupBy(component).applyInArrow(search, f"{key}, id long, parts long")

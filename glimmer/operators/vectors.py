@@ -59,6 +59,11 @@ def similar_links(rows: DataFrame, id_column: str, vector: str, radii: list[floa
     return metric.links_within(metric.usable(rows, id_column, vector), radii)
 
 
+def similar_block_links(rows: DataFrame, id_column: str, vector: str, most: float) -> DataFrame:
+    """Links (a, b) with the blocks of all pairs within a cosine distance, for `clustering.cut_vertices`; far fewer than the pairs."""
+    return metric.block_links_within(metric.usable(rows, id_column, vector), most)
+
+
 def distance_quantiles(rows: DataFrame, id_column: str, vector: str, within: str, shares: list[float]) -> DataFrame:
     """Of all pairs of rows with the same value of the column `within`: it, n, low, high, mean and q, the quantiles of shares, of their cosine distances."""
     own = rows.select(F.col(within).alias("g"), F.col(id_column).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
