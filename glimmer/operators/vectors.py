@@ -91,9 +91,9 @@ def merge_suggestions(centers: DataFrame, key: str, low: float, high: float, rej
     return pairs
 
 
-def nearest_anchor(rows: DataFrame, anchors: DataFrame, id_column: str, vector: str, most: float) -> DataFrame:
-    """Each row's (query) nearest anchor (anchor, centroid) within `most`; of equal ones the largest anchor."""
-    return metric.closest_within(metric.usable(rows, id_column, vector), metric.usable(anchors, "anchor", "centroid"), most).select("query", "anchor")
+def nearest_anchor(rows: DataFrame, anchors: DataFrame, id_column: str, vector: str, most: float, digits: int = 12) -> DataFrame:
+    """Each row's (query) nearest anchor (anchor, centroid) within `most`; of those equal to that many digits the largest anchor."""
+    return metric.closest_within(metric.usable(rows, id_column, vector), metric.usable(anchors, "anchor", "centroid"), most, digits).select("query", "anchor")
 
 
 def prompt_margin(image: Column, documents: list[Column], photos: list[Column]) -> Column:
