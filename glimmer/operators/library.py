@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glimmer.operators.sequences import spread_positions, top_per_group
+from glimmer.operators.dealing import tasks_of
+from glimmer.operators.sequences import in_order, spread_positions, top_per_group
 
 SAMPLE_CHARS = 80
 
@@ -15,37 +16,48 @@ def _listed(rows: DataFrame, keys: list[str], value: Column, order: str, out: st
     return rows.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), value.alias("v")))), lambda s: s["v"]).alias(out))
 
 
+def sampled(texts: DataFrame) -> DataFrame:
+    """texts with their `chars` and a `sample` of 80 of these in place of the text, which may be long; those without text go."""
+    others = [c for c in texts.columns if c != "text"]
+    return texts.filter("text <> ''").select(*others, F.length("text").alias("chars"), F.substring("text", 1, SAMPLE_CHARS).alias("sample"))
+
+
 def album_summary(members: DataFrame, places: DataFrame, faces: DataFrame, texts: DataFrame) -> DataFrame:
     """album, assets, photos, videos, since, until, places, people, samples, names, covers of members (album, asset, taken_at, mime_type,
     file_name) that are shown.
 
-    places (asset, city, country), faces (asset, person, name), texts (asset, text): the three cities with most pictures, the three
-    named people on most of them, the three longest recognized texts, 80 characters of each, the first five file names, and three
-    photos for the cover (first, middle, last). Undated rows come last; lists are empty, not null.
+    places (asset, city, country), faces (asset, person, name), texts (asset, text, or asset, chars, sample of `sampled`): the three
+    cities with most pictures, the three named people on most of them, the three longest recognized texts, 80 characters of each, the
+    first five file names, and three photos for the cover (first, middle, last). Undated rows come last; lists are empty, not null.
     """
+    n = tasks_of(members, faces)
     video = F.coalesce(F.col("mime_type"), F.lit("")).startswith("video/")
-    sums = members.groupBy("album").agg(F.count("*").alias("assets"), F.count_if(~video).alias("photos"), F.count_if(video).alias("videos"), F.min("taken_at").alias("since"), F.max("taken_at").alias("until"))
-    cities = members.join(places.filter("city <> ''"), "asset").groupBy("album", "city", "country").agg(F.count("*").alias("n"))
-    top_cities = top_per_group(cities, 3, ["album"], [F.desc("n"), F.asc("city"), F.asc("country")])
-    named = members.join(faces.filter("name <> ''"), "asset").groupBy("album", "person", "name").agg(F.countDistinct("asset").alias("n"))
-    top_people = top_per_group(named, 3, ["album"], [F.desc("n"), F.asc("name"), F.asc("person")])
-    longest = top_per_group(members.join(texts.filter("text <> ''"), "asset"), 3, ["album"], [F.desc(F.length("text")), F.asc("asset")])
     by_time = [F.asc_nulls_last("taken_at"), F.asc("asset")]
-    first = top_per_group(members, 5, ["album"], by_time)
     whole = Window.partitionBy("album")
-    w = whole.orderBy(*by_time)
-    photos = members.filter(~video).withColumns({"place": F.row_number().over(w), "candidate": spread_positions(w, whole)})
+    kind = Window.partitionBy("album", "video")
+    placed = members.repartition(n, "album").withColumn("video", video).withColumns({"first": F.row_number().over(whole.orderBy(*by_time)), "place": F.row_number().over(kind.orderBy(*by_time)), "candidate": ~F.col("video") & spread_positions(kind.orderBy(*by_time), kind)})
+    sums = placed.groupBy("album").agg(
+        F.count("*").alias("assets"), F.count_if(~F.col("video")).alias("photos"), F.count_if("video").alias("videos"), F.min("taken_at").alias("since"), F.max("taken_at").alias("until"),
+        in_order(F.col("first") <= 5, "first", F.regexp_extract("file_name", "([^/]*)$", 1)).alias("names"), in_order(F.col("candidate") & F.col("album").isNotNull(), "place", F.col("asset")).alias("covers"),
+    )
+    own = members.select("asset", "album").repartition(n, "asset")
+    cities = own.join(places.filter("city <> ''"), "asset").select("album", "city", "country").repartition(n, "album").groupBy("album", "city", "country").agg(F.count("*").alias("n"))
+    top_cities = top_per_group(cities, 3, ["album"], [F.desc("n"), F.asc("city"), F.asc("country")])
+    met = own.join(faces.filter("name <> ''"), "asset").select("album", "person", "name", "asset").distinct()
+    named = met.repartition(n, "album").groupBy("album", "person", "name").agg(F.count("*").alias("n"))
+    top_people = top_per_group(named, 3, ["album"], [F.desc("n"), F.asc("name"), F.asc("person")])
+    cut = texts if "sample" in texts.columns else sampled(texts)
+    longest = top_per_group(own.join(cut, "asset").repartition(n, "album"), 3, ["album"], [F.desc("chars"), F.asc("asset")])
     parts = (
         _listed(top_cities, ["album"], F.struct("city", "country", "n"), "rank", "places"),
         _listed(top_people, ["album"], F.struct("name", "n"), "rank", "people"),
-        _listed(longest, ["album"], F.substring("text", 1, SAMPLE_CHARS), "rank", "samples"),
-        _listed(first, ["album"], F.regexp_extract("file_name", "([^/]*)$", 1), "rank", "names"),
-        _listed(photos.filter("candidate"), ["album"], F.col("asset"), "place", "covers"),
+        _listed(longest, ["album"], F.col("sample"), "rank", "samples"),
     )
     out = sums
     for p in parts:
         out = out.join(p, "album", "left")
-    return out.select(*sums.columns, *[F.coalesce(c, F.array().cast(p.schema[c].dataType)).alias(c) for p in parts for c in p.columns[1:]])
+    lists = [F.coalesce(c, F.array().cast(p.schema[c].dataType)).alias(c) for p in parts for c in p.columns[1:]]
+    return out.select(*sums.columns[:6], *lists, "names", "covers")
 
 
 def cover_ratios(moments: DataFrame, sizes: DataFrame) -> DataFrame:

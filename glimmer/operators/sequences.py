@@ -101,6 +101,11 @@ def spread_positions(w: WindowSpec, whole: WindowSpec) -> Column:
     return (place == 0) | (place == F.floor(n / 2)) | (place == n - 1)
 
 
+def in_order(chosen: Column, place: str, value: Column) -> Column:
+    """Aggregate: the values of the chosen rows, few of a group, by their place."""
+    return F.transform(F.sort_array(F.collect_list(F.when(chosen, F.struct(F.col(place).alias("o"), value.alias("v"))))), lambda s: s["v"])
+
+
 def next_positions(new: DataFrame, existing: DataFrame, keys: list[str], member: str, order: list[str]) -> DataFrame:
     """Rows to append to ordered sets: those not members yet, at places after the last one."""
     fresh = new.join(existing.select(*keys, member), [*keys, member], "left_anti").dropDuplicates([*keys, member])

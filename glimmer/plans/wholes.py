@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from glimmer.operators import library
+from glimmer.operators.dealing import tasks_of
 from glimmer.plans.registry import query
 
 _MEMBERS = """m AS (SELECT o_custkey AS album, o_orderkey AS asset, CASE WHEN o_orderkey % 13 <> 0 THEN o_orderdate END AS taken, CASE WHEN o_orderkey % 5 = 0 THEN 'video/mp4' ELSE 'image/jpeg' END AS mime, '/lib/' || o_orderkey % 9 || '/IMG_' || o_orderkey || '.jpg' AS f FROM orders)"""
@@ -34,7 +35,8 @@ def album_summaries(t):
     places = own.select("asset", F.when(k % 6 != 0, F.concat(F.lit("c"), k % 6)).otherwise("").alias("city"), F.concat(F.lit("l"), k % 2).alias("country"))
     faces = t("lineitem").select(F.col("l_orderkey").alias("asset"), F.col("l_suppkey").alias("person"), F.when(F.col("l_suppkey") % 3 == 0, F.concat(F.lit("n"), "l_suppkey")).otherwise("").alias("name"))
     n = t("documents").count()
-    texts = own.filter("asset % 4 = 1").select("asset", (k % n).alias("doc_id")).join(t("documents").select("doc_id", "text"), "doc_id").select("asset", "text")
+    asked = own.filter("asset % 4 = 1").select("asset", (k % n).alias("doc_id"))
+    texts = asked.repartition(tasks_of(asked), "doc_id").join(library.sampled(t("documents").select("doc_id", "text")), "doc_id").select("asset", "chars", "sample")
     out = library.album_summary(own, places, faces, texts)
     day = lambda c: F.date_format(c, "yyyy-MM-dd").alias(c)
     joined = lambda c, f: F.array_join(F.transform(c, f), ",").alias(c)
