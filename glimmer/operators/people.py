@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from glimmer.functions.predicates import person_listable
 from glimmer.functions.scalars import clamp
-from glimmer.operators.sequences import best_row, gap_segments, spread_positions, top_per_group
+from glimmer.operators.dealing import tasks_of
+from glimmer.operators.sequences import best_row, gap_segments, in_order, spread_positions, top_per_group
 from glimmer.operators.vectors import centroids, cosine_distance
 
 def listed(people: DataFrame, faces: DataFrame, floor: float) -> DataFrame:
@@ -42,14 +43,15 @@ def _listed(rows: DataFrame, value: str, place: str, name: str) -> DataFrame:
 
 def album_detail(members: DataFrame, faces: DataFrame) -> DataFrame:
     """album, assets, since, until, people (three), names (the first five), covers (first, middle, last) of members (album, asset, taken_at, file_name)."""
+    n = tasks_of(members, faces)
     whole = Window.partitionBy("album")
     w = whole.orderBy("taken_at", "asset")
-    placed = members.withColumn("place", F.row_number().over(w)).withColumn("candidate", spread_positions(w, whole))
-    counts = members.join(faces, "asset").groupBy("album", "person").agg(F.countDistinct("asset").alias("n"))
+    placed = members.repartition(n, "album").withColumn("place", F.row_number().over(w)).withColumn("candidate", spread_positions(w, whole))
+    sums = placed.groupBy("album").agg(F.count("*").alias("assets"), F.min("taken_at").alias("since"), F.max("taken_at").alias("until"), in_order(F.col("place") <= 5, "place", F.col("file_name")).alias("names"), in_order(F.col("candidate"), "place", F.col("asset").cast("string")).alias("covers"))
+    met = faces.repartition(n, "asset").join(members.select("asset", "album"), "asset").select("album", "person", "asset").distinct()
+    counts = met.repartition(n, "album").groupBy("album", "person").agg(F.count("*").alias("n"))
     top = _listed(top_per_group(counts, 3, ["album"], [F.desc("n"), F.asc("person")]), "person", "rank", "people")
-    names, covers = _listed(placed.filter("place <= 5"), "file_name", "place", "names"), _listed(placed.filter("candidate"), "asset", "place", "covers")
-    sums = members.groupBy("album").agg(F.count("*").alias("assets"), F.min("taken_at").alias("since"), F.max("taken_at").alias("until"))
-    return sums.join(top, "album", "left").join(names, "album").join(covers, "album")
+    return sums.join(top, "album", "left").select("album", "assets", "since", "until", "people", "names", "covers")
 
 
 def covers(rows: DataFrame, key: str, id_column: str, vector: str, score: str) -> DataFrame:
