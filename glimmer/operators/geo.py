@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glimmer.functions.scalars import haversine_km, metro_radius_km, region_of, spot_key
+from glimmer.operators.dealing import ROWS, tasks_for
+from glimmer.store import written
 
 SPOT_KM, SPOT_LEAST, SPOTS_MOST = 0.3, 3, 8
 
@@ -24,10 +26,20 @@ def _cell(lat: Column, lon: Column) -> list[Column]:
 
 
 def _near(points: DataFrame, targets: DataFrame) -> DataFrame:
-    """Points (id, lat, lon) with the targets (key, t_lat, t_lon, ...) of their cell of one degree and the eight around it."""
+    """Points (id, lat, lon) with the targets (key, t_lat, t_lon, ...) of their cell of one degree and the eight around it.
+
+    A cell with many pairs is dealt in parts of its points, each with all of its targets. The cells (64,800 at most) are broadcast.
+    """
     around = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)])
     spread = targets.withColumn("__d", F.explode(around)).select("*", (F.floor(F.col("t_lat") + 90) + F.col("__d.dy")).alias("__y"), (F.floor(F.col("t_lon") + 180) + F.col("__d.dx")).alias("__x")).drop("__d")
-    return points.select("*", *_cell(F.col("lat"), F.col("lon"))).join(spread, ["__y", "__x"]).drop("__y", "__x").withColumn("km", haversine_km(F.col("lat"), F.col("lon"), F.col("t_lat"), F.col("t_lon")))
+    own, at = points.select("*", *_cell(F.col("lat"), F.col("lon"))), ["__y", "__x"]
+    counts = own.groupBy(*at).agg(F.count("*").alias("__n")).join(spread.groupBy(*at).agg(F.count("*").alias("__m")), at)
+    cells = written(counts.select(*at, (F.col("__n") * F.col("__m")).alias("__pairs")), "cells")
+    tasks = tasks_for(points.sparkSession, cells.agg(F.sum("__pairs")).first()[0] or 0)
+    parts = F.broadcast(cells.select(*at, F.ceil(F.col("__pairs") / ROWS).alias("__parts")))
+    sided = own.join(parts, at).withColumn("__part", F.pmod(F.xxhash64("id"), F.col("__parts"))).drop("__parts").repartition(tasks, *at, "__part")
+    other = spread.join(parts, at).withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__parts") - 1))).drop("__parts").repartition(tasks, *at, "__part")
+    return sided.join(other, [*at, "__part"]).drop(*at, "__part").withColumn("km", haversine_km(F.col("lat"), F.col("lon"), F.col("t_lat"), F.col("t_lon")))
 
 
 def _on_sphere(lat: Column, lon: Column) -> list[Column]:
