@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from glimmer.functions.predicates import contains_any, has_word
 from glimmer.functions.scalars import place_name, place_name_or_country
+from glimmer.operators.dealing import tasks_of
 from glimmer.operators.sequences import best_row, next_positions, spread_positions, top_per_group, unique_names
 from glimmer.operators.sync import count_events
 from glimmer.plans.registry import query
@@ -84,9 +85,16 @@ SELECT l_suppkey AS person, count(DISTINCT l_orderkey)::BIGINT AS assets, strfti
   count(DISTINCT c_nationkey)::BIGINT AS places
 FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey GROUP BY 1""")
 def entity_stats(t):
-    rows = t("lineitem").join(t("orders"), F.col("o_orderkey") == F.col("l_orderkey")).join(t("customer"), F.col("c_custkey") == F.col("o_custkey"))
+    lines = t("lineitem").select(F.col("l_suppkey").alias("person"), "l_orderkey", "l_shipdate")
+    n = tasks_of(lines)
+    placed = t("orders").repartition(n, "o_custkey").join(t("customer"), F.col("c_custkey") == F.col("o_custkey")).select("o_orderkey", "c_nationkey").repartition(n, "o_orderkey")
+    placed = placed.withColumn("counts", F.col("c_nationkey").eqNullSafe(F.min("c_nationkey").over(Window.partitionBy("o_orderkey"))).cast("long"))  # once, if an order had several places
+    span = lambda first, last: (F.min(first).alias("first"), F.max(last).alias("last"))
+    met = lines.repartition(n, "l_orderkey").join(placed, F.col("o_orderkey") == F.col("l_orderkey"))
+    each = met.groupBy("person", "l_orderkey", "c_nationkey", "counts").agg(*span("l_shipdate", "l_shipdate"))
+    cells = each.groupBy("person", "c_nationkey").agg(F.sum("counts").alias("assets"), *span("first", "last"))
     day = lambda c: F.date_format(c, "yyyy-MM-dd")
-    return rows.groupBy(F.col("l_suppkey").alias("person")).agg(F.countDistinct("l_orderkey").alias("assets"), day(F.min("l_shipdate")).alias("first"), day(F.max("l_shipdate")).alias("last"), F.countDistinct("c_nationkey").alias("places"))
+    return cells.groupBy("person").agg(F.sum("assets").alias("assets"), day(F.min("first")).alias("first"), day(F.max("last")).alias("last"), F.count("c_nationkey").alias("places"))
 
 
 @query("JN-09 JN-11 JN-13 JN-15 AG-31", "SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
