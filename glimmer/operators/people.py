@@ -33,7 +33,8 @@ def shown(people: DataFrame, ids: DataFrame) -> DataFrame:
 def places(faces: DataFrame, geo: DataFrame) -> DataFrame:
     """person, city, assets of faces (asset, person) on pictures with a place (asset, city, lat, lon); (0, 0) is none."""
     own = geo.filter(~((F.col("lat") == 0) & (F.col("lon") == 0)))
-    return faces.join(own, "asset").groupBy("person", "city").agg(F.countDistinct("asset").alias("assets"))
+    met = faces.repartition(tasks_of(faces), "asset").join(own, "asset").select("person", "city", "asset").distinct()
+    return met.groupBy("person", "city").agg(F.count("*").alias("assets"))
 
 
 def _listed(rows: DataFrame, value: str, place: str, name: str) -> DataFrame:
