@@ -54,9 +54,9 @@ def similar_pairs(rows: DataFrame, id_column: str, vector: str, most: float, wit
     return metric.pairs_within_groups(own.filter(F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull())), most)
 
 
-def similar_links(rows: DataFrame, id_column: str, vector: str, radii: list[float]) -> DataFrame:
-    """Links (radius: its place in radii; a, b) with the components of all pairs within each cosine distance of radii."""
-    return metric.links_within(metric.usable(rows, id_column, vector), radii)
+def similar_links(rows: DataFrame, id_column: str, vector: str, radii: list[float], nested: bool = False) -> DataFrame:
+    """Links (radius: its place in radii; a, b) with the components of all pairs within each cosine distance of radii; nested: those of a radius and of the smaller ones before it."""
+    return metric.links_within(metric.usable(rows, id_column, vector), radii, nested)
 
 
 def similar_block_links(rows: DataFrame, id_column: str, vector: str, most: float) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from glimmer.functions.scalars import cover_score, display_score, document_verdict, face_quality, similarity_of
-from glimmer.operators.clustering import components, density_clusters, representatives
+from glimmer.operators.clustering import components, density_clusters, linked, representatives
 from glimmer.operators.sequences import score_cut
 from glimmer.operators.sync import ordered_union
 from glimmer.operators.vectors import centroids, confidence, distance_quantiles, l2, linear_head, merge_suggestions, nearest_anchor, nearest_each, norm, prompt_margin, similar_links, similar_pairs
@@ -183,18 +183,26 @@ def nearest_neighbor_distance(t):
     return near.groupBy(F.col("query").alias("vec_id")).agg(F.round(F.min(F.col("distance") * F.col("distance") / 2), 6).alias("nearest"))
 
 
+#: All radii of a sweep: the reference's, 0.40 to 0.60, and on to 0.72, as the cliff moves down as rows grow in number.
+SWEEP = tuple(e / 100 for e in range(40, 73, 2))
+
+
 @query("", " UNION ALL ".join(
-    "SELECT * FROM (" + _COMPONENTS.format(e=e) + f" SELECT {e}::DOUBLE AS epsilon, count(DISTINCT cluster)::BIGINT AS clusters, max(n)::BIGINT AS largest, round(avg(pure), 6) AS purity FROM (SELECT cluster, count(*) AS n, max(k) * 1.0 / count(*) AS pure FROM (SELECT cluster, label, count(*) OVER (PARTITION BY cluster, label) AS k FROM c JOIN v USING (vec_id)) GROUP BY 1))" for e in (0.6, 0.64)))
+    "SELECT * FROM (" + _COMPONENTS.format(e=e) + f" SELECT {e}::DOUBLE AS epsilon, count(DISTINCT cluster)::BIGINT AS clusters, max(n)::BIGINT AS largest, round(avg(pure), 6) AS purity FROM (SELECT cluster, count(*) AS n, max(k) * 1.0 / count(*) AS pure FROM (SELECT cluster, label, count(*) OVER (PARTITION BY cluster, label) AS k FROM c JOIN v USING (vec_id)) GROUP BY 1))" for e in SWEEP))
 def sweep_eval(t):
-    rows = t("embeddings")
-    radii, out = [0.6, 0.64], None
-    links = written(similar_links(rows, "vec_id", "embedding", radii), "links")
-    for k, e in enumerate(radii):
-        labels = components(rows.select(F.col("vec_id").alias("id")), links.filter(F.col("radius") == k)).join(rows.select(F.col("vec_id").alias("id"), "label"), "id")
-        kinds = labels.groupBy("component", "label").agg(F.count("*").alias("k")).groupBy("component").agg(F.sum("k").alias("n"), (F.max("k") / F.sum("k")).alias("pure"))
-        row = kinds.agg(F.lit(e).alias("epsilon"), F.count("*").alias("clusters"), F.max("n").alias("largest"), F.round(F.avg("pure"), 6).alias("purity"))
-        out = row if out is None else out.unionByName(row)
-    return out
+    """For each radius: clusters, rows of the largest, and purity against the labels, from where few rows meet to beyond the cliff."""
+    rows, labels, found = t("embeddings"), None, None
+    links = written(similar_links(rows, "vec_id", "embedding", list(SWEEP), nested=True), "links")
+    for k in range(len(SWEEP)):
+        more = links.filter(F.col("radius") == k).select("a", "b")
+        labels = linked(more if labels is None else more.union(labels))  # what a smaller radius connects stays so
+        found = labels.withColumn("radius", F.lit(k)) if found is None else found.unionByName(labels.withColumn("radius", F.lit(k)))
+    each = rows.filter("vec_id IS NOT NULL").select(F.col("vec_id").alias("id"), "label", F.explode(F.sequence(F.lit(0), F.lit(len(SWEEP) - 1))).alias("radius"))
+    of = each.join(found, ["radius", "id"], "left").withColumn("component", F.coalesce("component", "id"))
+    kinds = of.groupBy("radius", "component", "label").agg(F.count("*").alias("k")).groupBy("radius", "component").agg(F.sum("k").alias("n"), (F.max("k") / F.sum("k")).alias("pure"))
+    sums = kinds.groupBy("radius").agg(F.count("*").alias("clusters"), F.max("n").alias("largest"), F.round(F.avg("pure"), 6).alias("purity"))
+    radii = rows.sparkSession.range(len(SWEEP)).select(F.col("id").cast("int").alias("radius"))  # also where there are no rows
+    return radii.join(sums, "radius", "left").select(F.get(F.array(*map(F.lit, SWEEP)), F.col("radius")).alias("epsilon"), F.coalesce("clusters", F.lit(0).cast("long")).alias("clusters"), "largest", "purity")
 
 
 @query("VEC-20 AG-29", """
